@@ -32,9 +32,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from airrline.llm.common import as_bytes, sliced
 from airrline.plans.materialize import materialize
 
-ORDER = 4
-SHARE = 1e-6  # of the corpus, that a context or a common word needs
-WORD_BYTES = 64  # of a word that can count as common; with SHARE, this bounds the broadcast
+ORDER = 5
+SHARE = 5e-7  # of the corpus's bytes, that a trained node needs
+COMMON = 1e-6  # of the corpus's words, that a common word makes up
+WORD_BYTES = 64  # of a word that can count as common; with COMMON, this bounds the broadcast
 _PAD, _END, _DEPTH = 0xFE, 0xFF, 56  # the depth of a gram stands in its upper bits
 _BATCH = 4 << 20
 _HOLD = 3_000_000  # distinct grams held in a task before counts are handed on
@@ -275,7 +276,7 @@ def score(docs: DataFrame, training: DataFrame | None = None, id_col: str = "doc
     Repeated rows are scored (and learned) each; no training documents leave
     both models uniform.
 
-    Common words (a share of ``share`` or more, so at most 1 / share of them, up
+    Common words (a share of COMMON or more, so at most 1 / COMMON of them, up
     to WORD_BYTES long) are counted within a document against a broadcast list;
     all others are joined with the vocabulary by shuffle, where none is hot.
     """
@@ -284,7 +285,7 @@ def score(docs: DataFrame, training: DataFrame | None = None, id_col: str = "doc
     model = train(training, text_col, order, share)
     vocabulary = materialize(word_counts(training.select(text_col)))
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    common = (F.col("n") >= share * total) & (F.octet_length("word") <= WORD_BYTES)
+    common = (F.col("n") >= COMMON * total) & (F.octet_length("word") <= WORD_BYTES)
     listed = vocabulary.filter(common).toArrow()
     listed = (listed["word"].to_pylist(), listed["n"].to_pylist())
     shared = docs.sparkSession.sparkContext.broadcast((model, listed))
