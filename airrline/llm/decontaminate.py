@@ -90,7 +90,11 @@ class Index:
                     minor[i] += w
         self.minor_bound = [max(minor[b : b + BLOCK]) for b in range(0, len(items), BLOCK)]
         self.minor_most = max(minor, default=0.0)
-        self.impact = {t: dict(p) for t, p in postings.items()}
+        self.minor = minor
+        self.terms: list[dict[str, float]] = [{} for _ in items]
+        for t, p in postings.items():
+            for i, w in p:
+                self.terms[i][t] = w
         self.major = {}
         for t, p in postings.items():
             if t not in self.minor_terms:
@@ -122,9 +126,10 @@ class Index:
             elif upto[0][1][upto[0][0]] < pivot:
                 target = pivot
             else:
-                score = sum(w[pivot] for t in passage if (w := self.impact.get(t)) and pivot in w)
-                if score >= need:
-                    found.append((pivot, score))
+                if self.minor[pivot] + sum(self.terms[pivot].get(t, 0.0) for t in majors) >= need:
+                    score = sum(w for t, w in self.terms[pivot].items() if t in passage)
+                    if score >= need:
+                        found.append((pivot, score))
                 target = pivot + 1
             for c in upto:
                 if c[1][c[0]] < target:
