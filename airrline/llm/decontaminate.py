@@ -221,8 +221,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", th
     for k, index in enumerate(indexes):
         shared = docs.sparkSession.sparkContext.broadcast(index)
         name = f"__leaks_{k}"
-        schema = out.schema.add(name, kind)
         arrow = to_arrow_schema(out.schema).append(pa.field(name, leak))
+        schema = out.withColumn(name, F.lit(None).cast(kind)).schema
         at = out.columns.index(text_col)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, arrow=arrow, at=at) -> Iterator[pa.RecordBatch]:
