@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from airrline.llm import bpe, chat, decontaminate, ppm, quality, secrets, sharding, site_tree
+from airrline.llm import bpe, chat, decontaminate, near_dup, ppm, quality, secrets, sharding, site_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,3 +83,8 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(F.array_remove(kinds, k)).cast("long") for k in ("assign", "access", "hex")]
     counts = [(F.size("spans") - n).alias(f"n_{k}") for n, k in zip(counts, ("assign", "access", "hex"), strict=True)]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
