@@ -37,3 +37,11 @@ def as_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     at = np.frombuffer(offsets, np.int64)[big.offset : big.offset + len(big) + 1]
     raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and len(big) else np.zeros(0, np.uint8)
     return raw, at - at[0] if len(at) else np.zeros(1, np.int64)
+
+
+def release(df) -> None:
+    """Let Spark drop the shuffle files of finished steps now: its cleaner acts when the driver's JVM collects garbage."""
+    import gc
+
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
