@@ -21,7 +21,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from airrline.llm.common import as_bytes, sliced
 from airrline.llm.graph import components
@@ -147,25 +147,24 @@ def alignment(a: Sequence, b: dict, n_b: int) -> float:
     return matched / (len(a) + n_b - matched)
 
 
+def digest_of(text_col: str) -> Column:
+    """128 bits of a text's SHA-256; NULL counts as empty."""
+    return F.substring(F.unhex(F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256)), 1, 16)
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, digest, n, keys`` for every document: text digest (128 bits), number of shingles, sketch keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in sliced(batches, 1, _BATCH):
-            raw, at = as_bytes(batch.column(1))
-            hashes, begin = word_hashes(raw, at)
+        for batch in sliced(batches, 2, _BATCH):
+            hashes, begin = word_hashes(*as_bytes(batch.column(2)))
             parts = [labelled_shingles(hashes[a:b]) for a, b in pairwise(begin)]
             keys = [sketch(s) for s in parts]
-            whole = memoryview(np.ascontiguousarray(raw))
-            digests = [xxhash.xxh3_128_digest(whole[a:b]) for a, b in pairwise(at)]
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array([len(s) for s in parts], pa.int64()), lists], names=["id", "digest", "n", "keys"])
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in parts], pa.int64()), lists], names=["id", "digest", "n", "keys"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), digest_of(text_col).alias("digest"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, digest binary, n long, keys array<long>")
 
 
@@ -191,7 +190,7 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: ``id_col, class_id, n_links``.
+    """One row for each document: ``id_col, class_id, n_links, digest``.
 
     ``class_id`` is the smallest id among the documents linked with it, directly
     or through others (itself if none); ``n_links`` counts the links found to
@@ -199,7 +198,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     too, are one class; texts without words link to no other text; texts of one
     to four words have one shingle and link to those of the same words. Rows
     with a repeated id each come back; NULL ids form no class of their own but
-    share their text's, whose id is NULL only if all its ids are.
+    share their text's, whose id is NULL only if all its ids are. ``digest`` and
+    ``class`` tell texts and classes apart where ids repeat.
     """
     spark = docs.sparkSession
     drawn = materialize(sketches(docs, id_col, text_col))
@@ -242,8 +242,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().groupBy("a").agg(F.count("*").alias("n_links"))
     told = _with_class(nodes.select("node", "digest", "id"), classes, "node", "class").join(links.withColumnRenamed("a", "node"), "node", "left")
     smallest = told.groupBy("class").agg(F.min("id").alias("class_id"))
-    told = told.join(smallest, "class").select("digest", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return drawn.select("id", "digest").join(told, "digest").select(F.col("id").alias(id_col), "class_id", "n_links")
+    told = told.join(smallest, "class").select("digest", "class", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return drawn.select("id", "digest").join(told, "digest").select(F.col("id").alias(id_col), "class_id", "n_links", "digest", "class")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with one of each class: that with the smallest id (NULL ids last), once if its row repeats. All columns stay."""
+    found = near_duplicates(docs, id_col, text_col)
+    best = found.groupBy("class").agg(F.min(F.struct(F.col(id_col).isNull().alias("odd"), F.col(id_col).alias("id"), "digest")).alias("s"))
+    best = best.select(F.col("s.id").alias("__id"), F.col("s.digest").alias("__best"))
+    keyed = docs.withColumn("__digest", digest_of(text_col))
+    kept = keyed.join(best, (F.col("__digest") == F.col("__best")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates([id_col, "__digest"]).drop("__digest")
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -252,19 +262,10 @@ def _texts_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) ->
     Texts meet their node by id and digest, so a text's copies are dealt to
     many tasks and all but those with the smallest id go at once.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in sliced(batches, 1):
-            digests = [xxhash.xxh3_128_digest((t or "").encode("utf-8", "replace")) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), batch.column(1)], names=["id", "digest", "text"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    keyed = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, digest binary, text string")
+    keyed = docs.select(F.col(id_col).alias("id"), digest_of(text_col).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     right = nodes.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "node")
     found = keyed.join(right, (F.col("digest") == F.col("__digest")) & F.col("id").eqNullSafe(F.col("__id")))
-    return found.groupBy("node").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    return found.groupBy("node").agg(F.min("text").alias("text"))
 
 
 def _with_class(df: DataFrame, classes: DataFrame, node: str, name: str) -> DataFrame:
