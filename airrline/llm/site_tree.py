@@ -218,7 +218,7 @@ def tree_counts(pages: DataFrame, url_col: str = "url", html_col: str = "html")
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 host = host_of(url)
                 blocks, layouts = parse(page)
-                seen = {(crc32(b.path.encode()), 0, xxhash.xxh64_intdigest(b.text) >> 1) for b in blocks if not b.furniture and not b.plain}
+                seen = {(crc32(b.path.encode()), 0, xxhash.xxh64_intdigest(b.text) >> 1) for b in blocks}
                 seen |= {(crc32(p.encode()), 1, xxhash.xxh64_intdigest(x) >> 1) for p, x in layouts}
                 for key in seen:
                     counts[host, *key] += 1
