@@ -1,11 +1,17 @@
-"""Shared helpers: batches of bounded size, and text as bytes."""
+"""Shared helpers: batches of bounded size, text as bytes, and stored intermediate tables."""
 
 from __future__ import annotations
 
+import atexit
 from collections.abc import Iterator
+from contextlib import contextmanager, suppress
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from airrline.plans.materialize import ensure_checkpoint_dir
 
 MAX_BATCH_BYTES = 8 << 20  # of text worked on at once; a longer single text is still taken whole
 
@@ -39,9 +45,41 @@ def as_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0] if len(at) else np.zeros(1, np.int64)
 
 
-def release(df) -> None:
-    """Let Spark drop the shuffle files of finished steps now: its cleaner acts when the driver's JVM collects garbage."""
-    import gc
+@contextmanager
+def _shuffles_cleaned(spark):
+    """Within, Spark drops an execution's shuffle files as soon as it ends."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+_SCRATCH: dict[str, object] = {}
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a compressed table in the shared checkpoint folder and read it back.
+
+    Like a checkpoint, it survives lost executors; it takes less space, and the
+    shuffle files that made it go at once. Tables are deleted when the driver's
+    Python exits.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/airrline-{uuid4().hex}"
+    with _shuffles_cleaned(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    if not _SCRATCH:
+        atexit.register(_forget)
+    _SCRATCH[path] = spark
+    return spark.read.schema(df.schema).parquet(path)
+
 
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+def _forget() -> None:
+    for path, spark in _SCRATCH.items():
+        with suppress(Exception):  # the session may be gone; its folder is then the cluster's to clean
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _SCRATCH.clear()

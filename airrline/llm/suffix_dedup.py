@@ -28,21 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from airrline.llm.common import as_bytes, release, sliced
-from airrline.plans.materialize import materialize
+from airrline.llm.common import as_bytes, sliced, store
 
 LENGTH = 50
 GRAM = 20  # bytes hashed for an anchor
-_BATCH = 2 << 20
+_BATCH = 512 << 10  # small, so a batch's arrays stay in the processor's cache
 _BLOCK = 1 << 20  # bytes of stretches in a block; one anchor's always stay together
-_HOT = 100_000  # different stretches of an anchor, above which its strings are compared by a grouped minimum
-_R = 0x9E3779B97F4A7C15
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+_HOT = 1_000_000  # places of an anchor, above which its strings are compared by a grouped minimum
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0xBF58476D1CE4E5B9], np.uint64)
 
 
 def stretches(raw: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -51,34 +44,34 @@ def stretches(raw: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int =
     if raw.size < length:
         return none, none, none, none
     gram = min(gram, length)
-    power = np.full(raw.size + 1, np.uint64(_R))
-    power[0] = 1
-    power = np.cumprod(power, dtype=np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)])
-    back = np.full(raw.size - gram + 1, np.uint64(pow(_R, -1, 1 << 64)))
-    back[0] = 1
-    least = _mix((sums[gram:] - sums[:-gram]) * np.cumprod(back, dtype=np.uint64))
+    n = raw.size - gram + 1
+    # grams are hashed eight bytes at a time, from words that begin at every byte
+    words = np.ndarray((raw.size + 1,), "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
+    offsets = [*range(0, gram - 7, 8), *([gram - 8] if gram % 8 and gram > 8 else [])]
+    least = np.zeros(n, np.uint64)
+    for k, factor in zip(offsets or [0], _FACTORS, strict=False):
+        piece = words[k : k + n] if gram >= 8 else words[:n] << np.uint64(64 - 8 * gram)
+        least += (piece ^ (piece >> np.uint64(31))) * factor
+    least ^= least >> np.uint64(29)
+    least *= _FACTORS[-1]
     want, have = length - gram + 1, 1
     while have * 2 <= want:
         least = np.minimum(least[:-have], least[have:])
         have *= 2
     if have < want:
         least = np.minimum(least[: len(least) - (want - have)], least[want - have :])
-    edge = np.zeros(raw.size + 1, np.int64)
-    long = np.flatnonzero(np.diff(at) >= length)
-    np.add.at(edge, at[:-1][long], 1)
-    np.add.at(edge, at[1:][long] - length + 1, -1)
-    valid = np.cumsum(edge)[: len(least)] > 0
-    new = np.ones(len(least), bool)
-    new[1:] = least[1:] != least[:-1]
-    new[at[:-1][long]] = True
-    first = valid & new
-    first[1:] |= valid[1:] & ~valid[:-1]
-    last = valid.copy()
-    last[:-1] &= first[1:] | ~valid[1:]
-    start, end = np.flatnonzero(first), np.flatnonzero(last)
+    new = np.empty(len(least) + length, bool)
+    new[0] = True
+    np.not_equal(least[1:], least[:-1], out=new[1 : len(least)])
+    new[len(least) :] = False
+    new[at[:-1]] = True
+    new[np.maximum(at[1:] - length + 1, at[:-1])] = True  # where strings would run past their text
+    start = np.flatnonzero(new)
     text = np.searchsorted(at, start, "right") - 1
-    return text, least[start].astype(np.int64), start - at[text], end - start + 1
+    sizes = np.diff(np.append(start, len(new)))
+    fits = (text < len(at) - 1) & (start + length <= at[np.minimum(text + 1, len(at) - 1)])
+    start, text, sizes = start[fits], text[fits], sizes[fits]
+    return text, least[start].astype(np.int64), start - at[text], sizes
 
 
 def _digest(data) -> int:
@@ -122,9 +115,9 @@ def equal_prefixes(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray,
         sizes = hi - lo
         inside = np.repeat(lo - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
         parent = np.repeat(np.arange(len(lo)), sizes)
+        ranked = np.argsort(before[inside], kind="stable")  # the order of their new places
+        inside, parent = inside[ranked], parent[ranked]
         to, symbol = step[inside], before[inside]
-        ranked = np.argsort(to)
-        to, symbol, parent = to[ranked], symbol[ranked], parent[ranked]
         starts = np.flatnonzero(np.concatenate([[True], (symbol[1:] != symbol[:-1]) | (parent[1:] != parent[:-1])]))
         ends = np.concatenate([starts[1:], [len(to)]])
         lo, hi = to[starts], to[ends - 1] + 1
@@ -154,6 +147,29 @@ def first_owners(parts: list[bytes], owners: list[int], length: int = LENGTH) ->
     return [out[s : s + c] for s, c in zip(starts, count, strict=True)]
 
 
+def _may_share(parts: list[bytes], length: int) -> np.ndarray:
+    """Which parts have a string whose hash another place has too; the others need no sorting."""
+    sizes = np.array([len(p) for p in parts])
+    ends = np.cumsum(sizes)
+    raw = np.frombuffer(b"".join(parts), np.uint8)
+    power = np.full(raw.size + 1, _FACTORS[0])
+    power[0] = 1
+    back = np.full(raw.size + 1, np.uint64(pow(int(_FACTORS[0]), -1, 1 << 64)))
+    back[0] = 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * np.cumprod(power, dtype=np.uint64)[:-1], dtype=np.uint64)])
+    count = sizes - length + 1
+    owner = np.repeat(np.arange(len(parts)), count)
+    place = np.repeat(ends - sizes - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+    hashes = (sums[place + length] - sums[place]) * np.cumprod(back, dtype=np.uint64)[place]
+    order = np.argsort(hashes)
+    ranked = hashes[order]
+    same = ranked[1:] == ranked[:-1]
+    out = np.zeros(len(parts), bool)
+    out[owner[order[1:][same]]] = True
+    out[owner[order[:-1][same]]] = True
+    return out
+
+
 def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
@@ -225,7 +241,8 @@ def _covered(parts: DataFrame, length: int) -> DataFrame:
             alone[1:] &= ~same
             alone[:-1] &= ~same
             found: list[list[dict]] = [[] for _ in anchor]
-            several = np.flatnonzero(~alone).tolist()
+            several = np.flatnonzero(~alone)
+            several = several[_may_share([part[i] for i in several], length)].tolist() if len(several) else []
             if several:
                 first = first_owners([part[i] for i in several], [owner[i] for i in several], length)
                 for i, least in zip(several, first, strict=True):
@@ -305,29 +322,25 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     firsts = rows.groupBy("sha").agg(F.min("id").alias("first"))
 
     anchors = _anchors(source, length)
-    shared = anchors.groupBy("anchor").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo < hi").select("anchor")
-    shared = materialize(shared)
-    release(docs)
+    shared = anchors.groupBy("anchor").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count("*").alias("n"))
+    shared = store(shared.filter("lo < hi").select("anchor", "n"))
     of_text = anchors.join(shared, "anchor", "left_semi").groupBy("digest").agg(F.collect_set("anchor").alias("anchors"))
     of_first = firsts.select(F.col("first").alias("id"), F.conv(F.substring("sha", 1, 16), 16, -10).cast("long").alias("digest"))
-    candidates = materialize(_candidates(source, of_text.join(of_first, "digest")))
-    release(docs)
-
-    cut = _cut_out(candidates, length)
-    parts = cut.groupBy("anchor", "part").agg(F.min("id").alias("owner")).withColumn("hash", F.xxhash64("part"))
-    parts = materialize(parts)
-    release(docs)
-    crowded = materialize(parts.groupBy("anchor").count().filter(F.col("count") > hot).select("anchor"))
+    wanted = store(of_text.join(of_first, "digest"))
+    candidates = store(_candidates(source, wanted))
+
+    cut = store(_cut_out(candidates, length).withColumn("hash", F.xxhash64("part")))
+    parts = cut.groupBy("anchor", "hash", "part").agg(F.min("id").alias("owner"))
+    crowded = shared.filter(F.col("n") > hot).select("anchor")
     some = not crowded.isEmpty()
     usual = parts.join(crowded, "anchor", "left_anti") if some else parts
     covered = _covered(usual.repartition("anchor").sortWithinPartitions("anchor"), length)
     if some:
         covered = covered.unionByName(_covered_hot(parts.join(crowded, "anchor", "left_semi"), length))
-    places = cut.select("anchor", F.xxhash64("part").alias("hash"), "id", "digest", "start", "strings")
-    met = places.join(covered, ["anchor", "hash"])
+    met = cut.drop("part").join(covered, ["anchor", "hash"])
     every = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("strings").alias("end")))
     met = met.select("id", "digest", "start", F.explode(F.when(F.col("id") > F.col("owner"), every).otherwise(F.col("runs"))).alias("run"))
-    removed = met.select("id", "digest", (F.col("start") + F.col("run.first")).alias("from"), (F.col("start") + F.col("run.end") + (length - 1)).alias("to"))
+    removed = store(met.select("id", "digest", (F.col("start") + F.col("run.first")).alias("from"), (F.col("start") + F.col("run.end") + (length - 1)).alias("to")))
     lost = _kept(candidates, removed, length).withColumnsRenamed({"id": "__id", "digest": "__digest"})
 
     told = rows.join(firsts, "sha").withColumn("digest", F.conv(F.substring("sha", 1, 16), 16, -10).cast("long"))
