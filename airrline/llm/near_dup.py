@@ -8,9 +8,11 @@ in a sketch are candidates; they are linked if an alignment within a band of
 their shingle sequences matches four fifths of both together or more.
 
 Equal texts are one node from the start. Within a bucket, nodes are compared
-with one leader; those that do not join its class get a leader of their own in
-the next round, until all are settled. So no bucket is expanded into pairs, and
-counts and minima, not lists, are what is shuffled for hot buckets.
+with one leader, the one that is in most buckets, which settles groups of copies
+with as many comparisons as members. What then still has several classes in a
+bucket is compared across classes, in buckets of a bounded size; a larger bucket
+is split by a second sketch its nodes agree in. So no bucket is expanded into
+all pairs, and minima, not lists, are what is shuffled for hot ones.
 """
 
 from __future__ import annotations
@@ -23,15 +25,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from airrline.llm.common import as_bytes, sliced
+from airrline.llm.common import as_bytes, sliced, store
 from airrline.llm.graph import components
-from airrline.plans.materialize import materialize
 
 SHINGLE = 5
 SIMILAR = 0.8
 SKETCHES, ELEMENTS = 64, 8  # agree with odds of 0.8 ** 8 each at the threshold: all 64 miss once in 100,000
 SHORT, SHORT_SKETCHES, SHORT_ELEMENTS = 40, 24, 2  # shingles up to which a text has these sketches as well
-_BATCH = 2 << 20
+SMALL = 200  # nodes of a bucket whose classes are compared with each other
+REFINE = 3  # sketches more that a larger bucket's nodes must agree in, one by one
+_BATCH = 1 << 20
 _R = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 ** 64
 _MASK = (1 << 64) - 1
 _rng = np.random.default_rng(20)
@@ -201,43 +204,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share their text's, whose id is NULL only if all its ids are. ``digest`` and
     ``class`` tell texts and classes apart where ids repeat.
     """
-    spark = docs.sparkSession
-    drawn = materialize(sketches(docs, id_col, text_col))
+    drawn = store(sketches(docs, id_col, text_col))
     nodes = drawn.groupBy("digest").agg(F.min("id").alias("id"), F.min(F.struct("n", "keys")).alias("s"))
-    nodes = materialize(nodes.select("digest", "id", F.col("s.n").alias("n"), F.col("s.keys").alias("keys"), F.monotonically_increasing_id().alias("node")))
+    nodes = store(nodes.select("digest", "id", F.col("s.n").alias("n"), F.col("s.keys").alias("keys"), F.monotonically_increasing_id().alias("node")))
 
-    # buckets with more than one text
+    # buckets with more than one text; a node's rank is the number of its buckets
     every = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = every.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
-    rows = materialize(every.join(shared, "key", "left_semi"))
+    rows = every.join(shared, "key", "left_semi")
+    rows = store(rows.join(rows.groupBy("node").agg(F.count("*").alias("rank")), "node"))
     wanted = rows.select("node").distinct().join(nodes.select("node", "digest", "id"), "node")
-    texts = materialize(_texts_of(docs, wanted, id_col, text_col))
-
-    classes = nodes.select("node", F.col("node").alias("class")).limit(0)
-    edges = spark.createDataFrame([], "a long, b long")
-    tried = edges
-    first = True
-    while True:
-        lead = rows.groupBy("key").agg(F.min(F.struct("n", "node")).alias("s")).select("key", F.col("s.node").alias("a"), F.col("s.n").alias("n_a"))
-        met = rows.join(lead, "key").filter((F.col("node") != F.col("a")) & (F.col("n_a") >= SIMILAR * F.col("n")))
-        pairs = met.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("agree"))
-        if first:  # the leader a text meets most settles nearly all
-            pairs = pairs.groupBy("b").agg(F.max(F.struct("agree", "a")).alias("s")).select(F.col("s.a").alias("a"), "b")
-        else:
-            pairs = _apart(pairs.select("a", "b"), classes, "a", "b").join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
-        new = materialize(_verify(pairs, texts))
-        edges, tried = edges.unionByName(new), tried.unionByName(pairs)
-        classes = materialize(components(edges))
-        if not first:
-            lead_class = _with_class(lead, classes, "a", "class_a")
-            rest = _with_class(rows.join(lead_class.select("key", "class_a"), "key"), classes, "node", "class_b")
-            rest = rest.filter(F.col("class_a") != F.col("class_b")).select("key", "node", "n")
-            several = rest.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
-            rows = materialize(rest.join(several, "key", "left_semi"))
-            if rows.isEmpty():
-                break
-        first = False
+    texts = store(_texts_of(docs, wanted, id_col, text_col))
+
+    lead = rows.groupBy("key").agg(F.max(F.struct("rank", -F.col("node"), "n")).alias("s")).select("key", (-F.col("s.col2")).alias("a"), F.col("s.n").alias("n_a"))
+    met = rows.join(lead, "key").filter((F.col("node") != F.col("a")) & _lengths_allow("n", "n_a"))
+    met = store(met.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("agree")))
+    # the leader a text meets most settles nearly all; then its other leaders, where still apart
+    best = met.groupBy("b").agg(F.max(F.struct("agree", "a")).alias("s")).select(F.col("s.a").alias("a"), "b")
+    edges = store(_verify(best, texts))
+    classes = components(edges)
+    others = _apart(met.select("a", "b").join(best, ["a", "b"], "left_anti"), classes)
+    edges = store(edges.unionByName(_verify(others, texts)))
+    classes = components(edges)
+
+    buckets, tried = rows.select("key", "node", "n"), met.select("a", "b")
+    for level in range(REFINE + 1):
+        split = _with_class(buckets, classes, "node", "class").groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
+        open_ = store(buckets.join(split.select("key", "size"), "key"))
+        if open_.isEmpty():
+            break
+        small = open_ if level == REFINE else open_.filter(F.col("size") <= SMALL)
+        left, right = small.select("key", F.col("node").alias("a"), "n"), small.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"))
+        pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & _lengths_allow("n", "n_b")).select("a", "b").distinct()
+        pairs = _apart(pairs, classes).join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+        pairs = store(pairs)
+        edges, tried = store(edges.unionByName(_verify(pairs, texts))), tried.unionByName(pairs)
+        classes = components(edges)
+        large = open_.filter(F.col("size") > SMALL)
+        if level == REFINE or large.isEmpty():
+            break
+        again = large.select("key", "node", "n").join(rows.select("node", F.col("key").alias("with")), "node").filter(F.col("key") != F.col("with"))
+        both = F.xxhash64(F.least("key", "with"), F.greatest("key", "with"))
+        buckets = store(again.select(both.alias("key"), "node", "n").distinct())
 
     links = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().groupBy("a").agg(F.count("*").alias("n_links"))
     told = _with_class(nodes.select("node", "digest", "id"), classes, "node", "class").join(links.withColumnRenamed("a", "node"), "node", "left")
@@ -275,6 +283,12 @@ def _with_class(df: DataFrame, classes: DataFrame, node: str, name: str) -> Data
     return joined.withColumn(name, F.coalesce("__c", F.col(node))).drop("__n", "__c")
 
 
-def _apart(pairs: DataFrame, classes: DataFrame, a: str, b: str) -> DataFrame:
-    both = _with_class(_with_class(pairs, classes, a, "__ca"), classes, b, "__cb")
+def _lengths_allow(n: str, m: str) -> Column:
+    """Texts whose numbers of shingles differ more cannot be similar."""
+    return F.least(n, m) >= SIMILAR * F.greatest(n, m)
+
+
+def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes."""
+    both = _with_class(_with_class(pairs, classes, "a", "__ca"), classes, "b", "__cb")
     return both.filter(F.col("__ca") != F.col("__cb")).drop("__ca", "__cb")
