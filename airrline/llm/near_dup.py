@@ -9,10 +9,12 @@ their shingle sequences matches four fifths of both together or more.
 
 Equal texts are one node from the start. Within a bucket, nodes are compared
 with one leader, the one that is in most buckets, which settles groups of copies
-with as many comparisons as members. What then still has several classes in a
-bucket is compared across classes, in buckets of a bounded size; a larger bucket
-is split by a second sketch its nodes agree in. So no bucket is expanded into
-all pairs, and minima, not lists, are what is shuffled for hot ones.
+with as many comparisons as members. Where a bucket then still holds several
+classes, it is compared across them if it has a few nodes; a larger one is split
+by further sketches, and each part's nodes are compared with the part's leader.
+So comparisons stay in proportion to the rows of the buckets, and minima, not
+lists, are what is shuffled for hot ones. Similar texts share a dozen buckets
+and more, so a link that one bucket's leaders miss is met in others.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ SHINGLE = 5
 SIMILAR = 0.8
 SKETCHES, ELEMENTS = 64, 8  # agree with odds of 0.8 ** 8 each at the threshold: all 64 miss once in 100,000
 SHORT, SHORT_SKETCHES, SHORT_ELEMENTS = 40, 24, 2  # shingles up to which a text has these sketches as well
-SMALL = 200  # nodes of a bucket whose classes are compared with each other
-REFINE = 3  # sketches more that a larger bucket's nodes must agree in, one by one
+SMALL = 8  # nodes of a bucket whose classes are all compared with each other
+NEXT = 4  # sketches that split a larger bucket, each for itself
 _BATCH = 1 << 20
 _R = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 ** 64
 _MASK = (1 << 64) - 1
@@ -112,7 +114,7 @@ def sketch(s: np.ndarray) -> np.ndarray:
         keys.append(_keys(s, slice(0, SKETCHES), ELEMENTS))
     if 0 < len(s) <= SHORT:
         keys.append(_keys(s, slice(SKETCHES, None), SHORT_ELEMENTS))
-    return np.unique(np.concatenate(keys)).astype(np.int64) if keys else np.zeros(0, np.int64)
+    return np.concatenate(keys).astype(np.int64) if keys else np.zeros(0, np.int64)
 
 
 def text_shingles(text: str) -> list[tuple]:
@@ -209,11 +211,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = store(nodes.select("digest", "id", F.col("s.n").alias("n"), F.col("s.keys").alias("keys"), F.monotonically_increasing_id().alias("node")))
 
     # buckets with more than one text; a node's rank is the number of its buckets
-    every = nodes.select("node", "n", F.explode("keys").alias("key"))
+    every = nodes.select("node", "n", F.posexplode("keys").alias("place", "key"))
     shared = every.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
     rows = every.join(shared, "key", "left_semi")
-    rows = store(rows.join(rows.groupBy("node").agg(F.count("*").alias("rank")), "node"))
-    wanted = rows.select("node").distinct().join(nodes.select("node", "digest", "id"), "node")
+    rank = rows.groupBy("node").agg(F.count("*").alias("rank"))
+    wanted = store(rank.join(nodes.select("node", "digest", "id", F.concat("keys", "keys").alias("twice")), "node"))
+    following = F.slice("twice", F.col("place") + 2, F.lit(NEXT))
+    rows = store(rows.join(wanted.select("node", "rank", "twice"), "node").select("key", "node", "n", "rank", following.alias("next")))
     texts = store(_texts_of(docs, wanted, id_col, text_col))
 
     lead = rows.groupBy("key").agg(F.max(F.struct("rank", -F.col("node"), "n")).alias("s")).select("key", (-F.col("s.col2")).alias("a"), F.col("s.n").alias("n_a"))
@@ -227,25 +231,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = store(edges.unionByName(_verify(others, texts)))
     classes = components(edges)
 
-    buckets, tried = rows.select("key", "node", "n"), met.select("a", "b")
-    for level in range(REFINE + 1):
-        split = _with_class(buckets, classes, "node", "class").groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
-        open_ = store(buckets.join(split.select("key", "size"), "key"))
-        if open_.isEmpty():
-            break
-        small = open_ if level == REFINE else open_.filter(F.col("size") <= SMALL)
-        left, right = small.select("key", F.col("node").alias("a"), "n"), small.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"))
-        pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & _lengths_allow("n", "n_b")).select("a", "b").distinct()
-        pairs = _apart(pairs, classes).join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        pairs = store(pairs)
-        edges, tried = store(edges.unionByName(_verify(pairs, texts))), tried.unionByName(pairs)
-        classes = components(edges)
-        large = open_.filter(F.col("size") > SMALL)
-        if level == REFINE or large.isEmpty():
-            break
-        again = large.select("key", "node", "n").join(rows.select("node", F.col("key").alias("with")), "node").filter(F.col("key") != F.col("with"))
-        both = F.xxhash64(F.least("key", "with"), F.greatest("key", "with"))
-        buckets = store(again.select(both.alias("key"), "node", "n").distinct())
+    placed = _with_class(rows, classes, "node", "class")
+    split = placed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
+    placed = store(placed.join(split.select("key", "size"), "key"))
+    # small buckets: all that are still apart; large ones: with a leader in each bucket of two sketches
+    small = placed.filter(F.col("size") <= SMALL).select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("class").alias("class_a"))
+    other = small.select("key", F.col("a").alias("b"), F.col("n_a").alias("n_b"), F.col("class_a").alias("class_b"))
+    allowed = (F.col("class_a") != F.col("class_b")) & _lengths_allow("n_a", "n_b")
+    near = small.join(other, (small["key"] == other["key"]) & (F.col("a") < F.col("b")) & allowed).select("a", "b")
+    large = placed.filter(F.col("size") > SMALL).select("node", "n", "class", "rank", F.explode(F.transform("next", lambda k: F.xxhash64("key", k))).alias("both"))
+    lead = large.groupBy("both").agg(F.max(F.struct("rank", -F.col("node"), "n", "class")).alias("s"))
+    lead = lead.select(F.col("both").alias("of"), (-F.col("s.col2")).alias("a"), F.col("s.n").alias("n_a"), F.col("s.class").alias("class_a"))
+    allowed = (F.col("class_a") != F.col("class")) & _lengths_allow("n_a", "n")
+    far = large.join(lead, (F.col("both") == F.col("of")) & allowed).select("a", F.col("node").alias("b"))
+    pairs = near.unionByName(far).distinct().join(met.select("a", "b"), ["a", "b"], "left_anti")
+    edges = store(edges.unionByName(_verify(pairs, texts)))
+    classes = components(edges)
 
     links = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().groupBy("a").agg(F.count("*").alias("n_links"))
     told = _with_class(nodes.select("node", "digest", "id"), classes, "node", "class").join(links.withColumnRenamed("a", "node"), "node", "left")
