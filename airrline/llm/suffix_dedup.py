@@ -329,15 +329,19 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = store(of_text.join(of_first, "digest"))
     candidates = store(_candidates(source, wanted))
 
-    cut = store(_cut_out(candidates, length).withColumn("hash", F.xxhash64("part")))
-    parts = cut.groupBy("anchor", "hash", "part").agg(F.min("id").alias("owner"))
+    cut = store(_cut_out(candidates, length))
+    parts = cut.groupBy("anchor", "part").agg(F.min("id").alias("owner"))
+    named = F.xxhash64("part").alias("hash")  # of a stretch, among those of its anchor
     crowded = shared.filter(F.col("n") > hot).select("anchor")
     some = not crowded.isEmpty()
     usual = parts.join(crowded, "anchor", "left_anti") if some else parts
-    covered = _covered(usual.repartition("anchor").sortWithinPartitions("anchor"), length)
+    usual = usual.repartition("anchor").sortWithinPartitions("anchor").select("anchor", named, "part", "owner")
+    covered = _covered(usual, length)
     if some:
-        covered = covered.unionByName(_covered_hot(parts.join(crowded, "anchor", "left_semi"), length))
-    met = cut.drop("part").join(covered, ["anchor", "hash"])
+        busy = parts.join(crowded, "anchor", "left_semi").select("anchor", named, "part", "owner")
+        covered = covered.unionByName(_covered_hot(busy, length))
+    covered = store(covered)
+    met = cut.select("anchor", named, "id", "digest", "start", "strings").join(covered, ["anchor", "hash"])
     every = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("strings").alias("end")))
     met = met.select("id", "digest", "start", F.explode(F.when(F.col("id") > F.col("owner"), every).otherwise(F.col("runs"))).alias("run"))
     removed = store(met.select("id", "digest", (F.col("start") + F.col("run.first")).alias("from"), (F.col("start") + F.col("run.end") + (length - 1)).alias("to")))
