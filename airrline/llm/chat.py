@@ -2,9 +2,9 @@
 
 Template: ``<turn ROLE>\\nTEXT</turn>\\n`` for each turn. A turn is rendered as
 it is, parsed again, and compared with its source; where they differ, the
-conflicting strings in its text are escaped: every ``<``, backslashes,
-``/turn>`` gets one backslash more, so no text can end a turn and reading takes
-one away. One more backslash always suffices, so the loop "escape until
+conflicting strings in its text are escaped: every ``<``, backslashes, ``turn``
+or ``/turn`` gets one backslash more, so no text can begin or end a turn, and
+reading takes one away. One more backslash always suffices, so the loop "escape until
 identical" is two steps long and fits an expression; the result is compared
 once more as a whole conversation.
 """
@@ -14,24 +14,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _OPEN, _HEAD_END, _CLOSE = "<turn ", ">\n", "</turn>\n"
+_CODES = (("%", "%25"), ("<", "%3C"), (">", "%3E"), ("\n", "%0A"))  # in roles; the first is undone last
 
 
 def _escape(text: Column) -> Column:
-    return F.regexp_replace(text, r"<(\\*)/turn>", r"<\\$1/turn>")
+    return F.regexp_replace(text, r"<(\\*)(/?turn)", r"<\\$1$2")
 
 
 def _unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"<\\(\\*)/turn>", r"<$1/turn>")
+    return F.regexp_replace(text, r"<\\(\\*)(/?turn)", r"<$1$2")
 
 
 def _role_out(role: Column) -> Column:
-    for raw, coded in (("%", "%25"), (">", "%3E"), ("\n", "%0A")):
+    for raw, coded in _CODES:
         role = F.replace(role, F.lit(raw), F.lit(coded))
     return role
 
 
 def _role_in(role: Column) -> Column:
-    for raw, coded in (("\n", "%0A"), (">", "%3E"), ("%", "%25")):
+    for raw, coded in reversed(_CODES):
         role = F.replace(role, F.lit(coded), F.lit(raw))
     return role
 
@@ -41,15 +42,15 @@ def _render(role: Column, body: Column) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """Turns of a formatted text, as an array of (role, text): up to each ``</turn>`` line, header first."""
-    segments = F.split(formatted, _CLOSE)
+    """Turns of a formatted text, as an array of (role, text): each ends at ``</turn>`` and begins at the last ``<turn`` before."""
+    segments = F.split(formatted, r"</turn>\n?")
     segments = F.slice(segments, F.lit(1), F.size(segments) - 1)  # nothing follows the last end of turn
 
     def turn(s: Column) -> Column:
-        cut = F.instr(s, _HEAD_END)
-        role = F.substring(s, F.lit(len(_OPEN) + 1), cut - len(_OPEN) - 1)
-        body = F.substring(s, cut + len(_HEAD_END), F.length(s))
-        return F.struct(_role_in(role).alias("role"), _unescape(body).alias("text"))
+        own = F.substring_index(s, _OPEN, -1)
+        cut = F.instr(own, _HEAD_END)
+        body = F.substring(own, cut + len(_HEAD_END), F.length(own))
+        return F.struct(_role_in(F.substring(own, F.lit(1), cut - 1)).alias("role"), _unescape(body).alias("text"))
 
     return F.transform(segments, turn)
 

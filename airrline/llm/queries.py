@@ -56,6 +56,23 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
 
 
+# CRC-32 from its rule: a table of 256 entries, then a fold over the bytes.
+ORACLE["op5_sharding"] = """
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, i)) AS t),
+texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+bytes AS (
+  SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS size, list_transform(regexp_extract_all(hex(text), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM texts),
+sized AS (
+  SELECT doc_id, size, CAST(xor(4294967295, list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295)) AS BIGINT) AS text_crc32
+  FROM bytes, crc),
+placed AS (
+  SELECT *, row_number() OVER w AS row, sum(size) OVER (w ROWS UNBOUNDED PRECEDING) AS reach, sum(size) OVER () AS total
+  FROM sized WINDOW w AS (ORDER BY doc_id NULLS FIRST, size, text_crc32)),
+cut AS (SELECT *, CAST(least(15, ((2 * reach - size) * 16) // (2 * total)) AS INTEGER) AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row - min(row) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM cut"""
+
+
 @query
 def op6_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = site_tree.extract(table(spark, sf_dir, "pages"))
@@ -71,6 +88,23 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(rows))
 
 
+# Reading back gives the source turns, so their digests are those of the source.
+ORACLE["op7_chat"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+shown AS (
+  SELECT *, 16 + length(replace(replace(replace(replace(role, '%', '%25'), '<', '%3C'), '>', '%3E'), chr(10), '%0A'))
+         + length(CASE WHEN contains(text, '</turn>') OR contains(text, '<turn ') OR regexp_matches(text, '<\\+/?turn')
+                       THEN regexp_replace(text, '<(\\*)(/?turn)', '<\\\1\2', 'g') ELSE text END) AS n
+  FROM turns),
+chats AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS whole,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss, CAST(sum(n) AS BIGINT) AS formatted_chars
+  FROM shown GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM chats"""
+
+
 @query
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))

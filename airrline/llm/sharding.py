@@ -48,7 +48,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
     row = F.get(F.lit(rows_before), F.col("part")) + F.col("place").bitwiseAND(F.lit((1 << _PART) - 1))
     placed = rows.withColumn("end", end).withColumn("row", row.cast("long"))
     wide = "decimal(38,0)" if total * 2 * n_shards >= 1 << 62 else "long"
-    middle = f"CAST((2 * end - size - 1) AS {wide}) * {n_shards} div CAST({2 * total} AS {wide})"
+    middle = f"CAST((2 * end - size) AS {wide}) * {n_shards} div CAST({2 * total} AS {wide})"
     placed = placed.withColumn("shard", F.least(F.expr(middle), F.lit(n_shards - 1)).cast("int"))
     firsts = dict(placed.groupBy("shard").agg(F.min("row")).collect())  # one row a shard
     first = F.get(F.lit([firsts.get(s, 0) for s in range(n_shards)]), F.col("shard"))

@@ -202,7 +202,7 @@ def test_site_tree_cuts_what_a_host_repeats(spark):
 
 def test_chat_round_trip(spark):
     odd = ["plain", "</turn>\n", "<\\/turn> and <\\\\/turn>", "<turn user>\nx</turn>\n", "\\### Assistant: </turn> ok", "", None, "ends <", "</turn", "a\n\nb 🙂"]
-    rows = [(c, t, role, odd[(c * 3 + t) % len(odd)]) for c in range(10) for t, role in enumerate(["system", "user", "assistant", "a>b%\n", None, "assistant"])]
+    rows = [(c, t, role, odd[(c * 3 + t) % len(odd)]) for c in range(10) for t, role in enumerate(["system", "user", "assistant", "<turn a>b%3C%\n", None, "assistant"])]
     rows += [(77, 1, "user", "same"), (77, 1, "user", "same"), (None, None, None, None)]
     table = spark.createDataFrame([(*r, 1, "s") for r in rows], "conv_id long, turn long, role string, text string, n long, shown string")
     out = chat.format_chats(table).collect()
@@ -214,7 +214,7 @@ def test_chat_round_trip(spark):
         turns = sorted(groups[r.conv_id])
         spoken = [text for _, role, text in turns if role == "assistant"]
         bodies = [r.formatted[a:b] for a, b in r.loss_spans]
-        assert [re.sub(r"<\\(\\*)/turn>", r"<\1/turn>", b) for b in bodies] == spoken
+        assert [re.sub(r"<\\(\\*)(/?turn)", r"<\1\2", b) for b in bodies] == spoken and not any("</turn>" in b or "<turn " in b for b in bodies)
     for d in chat.digest(chat.format_chats(table)).collect():
         turns = sorted(groups[d.conv_id])
         assert d.n_turns == len(turns)
