@@ -239,12 +239,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other = small.select("key", F.col("a").alias("b"), F.col("n_a").alias("n_b"), F.col("class_a").alias("class_b"))
     allowed = (F.col("class_a") != F.col("class_b")) & _lengths_allow("n_a", "n_b")
     near = small.join(other, (small["key"] == other["key"]) & (F.col("a") < F.col("b")) & allowed).select("a", "b")
-    large = placed.filter(F.col("size") > SMALL).select("node", "n", "class", "rank", F.explode(F.transform("next", lambda k: F.xxhash64("key", k))).alias("both"))
-    lead = large.groupBy("both").agg(F.max(F.struct("rank", -F.col("node"), "n", "class")).alias("s"))
-    lead = lead.select(F.col("both").alias("of"), (-F.col("s.col2")).alias("a"), F.col("s.n").alias("n_a"), F.col("s.class").alias("class_a"))
+    large = placed.filter(F.col("size") > SMALL)
     allowed = (F.col("class_a") != F.col("class")) & _lengths_allow("n_a", "n")
-    far = large.join(lead, (F.col("both") == F.col("of")) & allowed).select("a", F.col("node").alias("b"))
-    pairs = near.unionByName(far).distinct().join(met.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = near
+    for i in range(NEXT):
+        part = large.select("node", "n", "class", "rank", F.xxhash64("key", F.col("next")[i]).alias("both"))
+        lead = part.groupBy("both").agg(F.max(F.struct("rank", -F.col("node"), "n", "class")).alias("s"))
+        lead = lead.select(F.col("both").alias("of"), (-F.col("s.col2")).alias("a"), F.col("s.n").alias("n_a"), F.col("s.class").alias("class_a"))
+        pairs = pairs.unionByName(part.join(lead, (F.col("both") == F.col("of")) & allowed).select("a", F.col("node").alias("b")))
+    pairs = pairs.distinct().join(met.select("a", "b"), ["a", "b"], "left_anti")
     edges = store(edges.unionByName(_verify(pairs, texts)))
     classes = components(edges)
 
