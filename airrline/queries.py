@@ -8,17 +8,19 @@ for a locus, ``value`` for UMIs.
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from airrline.dataset import ImmunData
-from airrline.names import COUNT, N_BARCODES, N_REPERTOIRES, PROPORTION, RECEPTOR, REPERTOIRE, c
+from airrline.names import COUNT, N_REPERTOIRES, PROPORTION, RECEPTOR, REPERTOIRE, c
 from airrline.operators import (
     agg_receptors, agg_repertoires, annotate_barcodes, annotate_chains, annotate_immundata, annotate_receptors,
     filter_barcodes, filter_immundata, filter_receptors, mutate_immundata,
 )
+from airrline.plans.materialize import ensure_checkpoint_dir
 from airrline.schema import make_receptor_schema, make_seq_options
-from airrline.sources.steps import make_barcode_prefix, make_productive_filter
+from airrline.sources import from_immunarch, make_barcode_prefix, make_productive_filter, read_immundata, read_repertoires, scan_tables, write_immundata
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -283,4 +285,38 @@ def _(spark, sf_dir):
     return make_barcode_prefix("o_orderpriority")(orders).select("o_orderkey", "imd_barcode")
 
 
-__all__ = ["N_BARCODES", "ORACLE", "QUERIES"]
+def _scratch(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/queries-{uuid4().hex}"
+
+
+@query("scan_parquet", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+def _(spark, sf_dir):
+    return scan_tables(spark, [f"{sf_dir}/orders.parquet"]).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+
+
+@query("ingest_repertoires", f"WITH {_SIMPLE}, {_REP.format(src='simple')} SELECT * FROM sizes")
+def _(spark, sf_dir):
+    idata = read_repertoires(spark, f"{sf_dir}/part.parquet", ["p_name", "p_type"], preprocess={}, postprocess={}, output_folder=_scratch(spark), repertoire_schema="p_brand")
+    return idata.repertoires
+
+
+@query("saved_round_trip", f"WITH {_SIMPLE} SELECT imd_chain_id, imd_receptor_id, p_name, p_type, p_brand FROM simple")
+def _(spark, sf_dir):
+    folder = _scratch(spark)
+    write_immundata(simple(spark, sf_dir), folder)
+    return read_immundata(spark, folder).annotations.select("imd_chain_id", RECEPTOR, "p_name", "p_type", "p_brand")
+
+
+@query("list_of_frames", """
+WITH rows AS (SELECT CASE WHEN p_size <= 25 THEN 'large' ELSE 'small' END AS repertoire_id, p_name, p_type FROM part)
+SELECT row_number() OVER (ORDER BY repertoire_id) AS imd_repertoire_id, repertoire_id, CAST(count(*) AS DOUBLE) AS n_barcodes, count(DISTINCT (p_name, p_type)) AS n_receptors
+FROM rows GROUP BY repertoire_id""")
+def _(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_name", "p_type", "p_size")
+    data = {"large": part.filter("p_size <= 25"), "small": part.filter("p_size > 25")}
+    meta = spark.range(2).select(F.when(F.col("id") == 0, "large").otherwise("small").alias("Sample"))
+    return from_immunarch(spark, {"data": data, "meta": meta}, _scratch(spark), ["p_name", "p_type"]).repertoires
+
+
+__all__ = ["ORACLE", "QUERIES"]

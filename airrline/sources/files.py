@@ -35,6 +35,18 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def first_line(spark: SparkSession, path: str) -> str:
+    """The first line of a text file, gzipped or not; empty for an empty file."""
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        inner = spark._jvm.java.util.zip.GZIPInputStream(stream) if path.endswith((".gz", ".gzip")) else stream
+        reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(inner, "UTF-8"))
+        return reader.readLine() or ""
+    finally:
+        stream.close()
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     fs, p = _fs(spark, path)
     stream = fs.create(p, True)

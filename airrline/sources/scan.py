@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession
 
 from airrline.names import FILENAME
-from airrline.sources.files import expand, plain, source_file
+from airrline.sources.files import expand, first_line, source_file
 
 _KIND = re.compile(r"\.(parquet|csv|tsv)(?:\.(?:gz|gzip))?$")
 
@@ -55,9 +56,11 @@ def scan_tables(spark: SparkSession, paths: Sequence[str], enforce_schema: bool
         return tagged(load(*paths) if kind == "parquet" else load(list(paths)))
     if kind == "parquet":
         return tagged(reader.option("mergeSchema", True).parquet(*paths))
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for p in paths:  # files with one header are one scan, so the plan grows with the layouts, not the files
-        by_header.setdefault(_header(spark, p), []).append(p)
+    with ThreadPool(16) as pool:
+        headers = pool.map(lambda p: first_line(spark, p), paths)
+    by_header: dict[str, list[str]] = {}
+    for p, header in zip(paths, headers, strict=True):  # files with one header are one scan, so the plan grows with the layouts, not the files
+        by_header.setdefault(header, []).append(p)
     parts = [tagged(load(group)) for group in by_header.values()]
     kinds: dict[str, set[str]] = {}
     for part in parts:
@@ -67,10 +70,3 @@ def scan_tables(spark: SparkSession, paths: Sequence[str], enforce_schema: bool
     parts = [p.withColumns({n: p[n].cast("string") for n in mixed if n in p.columns}) for p in parts]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
-
-def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    rows = spark.read.text(path).limit(1).collect()
-    return tuple(rows[0][0].split("\t" if ".tsv" in path else ",")) if rows else ()
-
-
-__all__ = ["file_kind", "plain", "resolve_paths", "scan_tables"]
