@@ -16,7 +16,7 @@ from airrline.sources.scan import file_kind, scan_tables
 from airrline.streaming import stream_annotations, stream_counts
 
 
-def test_names():
+def test_names(spark):
     assert imd_schema("receptor") == "imd_receptor_id" and len(imd_schema()) == 21 and imd_repertoire_schema() is None
     assert imd_rename_cols("10x")["locus"] == "chain" and len(imd_drop_cols("universal")) == 21 and len(imd_drop_cols()) == 14
     assert imd_files()["annotations"] == "annotations.parquet" and imd_meta_schema()["version"] == "version" and set(imd_schema_sym()) == set(imd_schema())
