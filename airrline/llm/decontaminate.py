@@ -202,20 +202,20 @@ def build_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, part_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
-    """Every document with ``leaks``: an array of (item_id, score, question, answer), empty if clean.
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, part_bytes: int = MAX_INDEX_BYTES, out_col: str = "leaks") -> DataFrame:
+    """Every document with ``leaks`` (or ``out_col``): an array of (item_id, score, question, answer), empty if clean.
 
-    All columns stay (one called ``leaks`` is replaced), NULL and empty texts
+    All columns stay (one of that name is replaced), NULL and empty texts
     are clean, repeated rows come back each. Whole texts are read. An empty
     benchmark leaves all clean. The indexes are broadcast one after another.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    docs = docs.drop("leaks")
+    docs = docs.drop(out_col)
     kind = "array<struct<item_id: long, score: double, question: double, answer: double>>"
     indexes = build_indexes(benchmark, threshold=threshold, part_bytes=part_bytes)
     if not indexes:
-        return docs.withColumn("leaks", F.array().cast(kind))
+        return docs.withColumn(out_col, F.array().cast(kind))
     out, names = docs, []
     leak = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
     for k, index in enumerate(indexes):
@@ -233,4 +233,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", th
 
         out = out.mapInArrow(run, schema)
         names.append(name)
-    return out.withColumn("leaks", F.concat(*names)).drop(*names)
+    return out.withColumn(out_col, F.concat(*names)).drop(*names)

@@ -152,15 +152,18 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: tuple[str, ...] = (), out_cols: tuple[str, str] = ("spans", "redacted")) -> DataFrame:
     """One row for each document: its spans, and with ``with_text`` the text without secrets.
 
     Returns ``id_col``, ``carry`` columns, ``spans`` (array of start, end, kind;
-    code points, end exclusive) and ``redacted``. NULL texts have no spans and
+    code points, end exclusive) and ``redacted``, the last two named by
+    ``out_cols``, which must not be among the others. NULL texts have no spans and
     stay NULL. Whole texts are read, documents without secrets come back too,
     repeated rows each.
     """
     names = [id_col, text_col, *carry]
+    if len({*names, *out_cols}) < len(names) + 2:
+        raise ValueError(f"columns named twice: {names}, {out_cols}")
     rows = docs.select(*names)
     keep = [i for i, n in enumerate(names) if n != text_col]
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
@@ -173,8 +176,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             columns.append(pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in s] for s in found], kind))
             if with_text:
                 columns.append(pa.array([redact(t, s) if s else t for t, s in zip(texts, found, strict=True)], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=[*[names[i] for i in keep], "spans", *(["redacted"] if with_text else [])])
+            yield pa.RecordBatch.from_arrays(columns, names=[*[names[i] for i in keep], out_cols[0], *(out_cols[1:] if with_text else [])])
 
     schema = ", ".join(f"`{rows.schema[i].name}` {rows.schema[i].dataType.simpleString()}" for i in keep)
-    schema += ", spans array<struct<start: long, end: long, kind: string>>" + (", redacted string" if with_text else "")
+    schema += f", `{out_cols[0]}` array<struct<start: long, end: long, kind: string>>" + (f", `{out_cols[1]}` string" if with_text else "")
     return rows.mapInArrow(run, schema)

@@ -27,15 +27,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item."""
-    found = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.filter(F.size("leaks") == 0).select(*docs.columns)
+    found = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out_col="__leaks")
+    return found.filter(F.size("__leaks") == 0).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by their kind; ``n_chars`` follows."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    found = secrets.find_secrets(docs, with_text=True, carry=rest).withColumnRenamed("redacted", "text")
-    changed = F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    found = secrets.find_secrets(docs, with_text=True, carry=rest, out_cols=("__spans", "__text"))
+    found = found.withColumnRenamed("__text", "text")
+    changed = F.when(F.size("__spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return found.withColumn("n_chars", changed).select(*docs.columns)
 
 

@@ -71,6 +71,19 @@ def test_stages(spark, tmp_path):
     assert sorted(map(str, (tuple(r) for r in corpus_pipeline.run(spark, folder).collect()))) == sorted(map(str, tokens))
 
 
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    folder = str(tmp_path)
+    _write(spark, folder)
+    names = ("n_words", "kept", "leaks", "spans", "redacted", "id", "digest", "node", "class", "row", "key", "ids")
+    table = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", *[f"concat('{n}', doc_id) AS {n}" for n in names])
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, table, folder).write.parquet(f"{folder}/out/{k}")
+        table = spark.read.parquet(f"{folder}/out/{k}")
+        if k < 4:
+            assert table.columns[5:] == list(names)
+            assert table.filter(" OR ".join(f"{n} <> concat('{n}', doc_id)" for n in names)).isEmpty()
+
+
 def test_queries_on_empty_tables(spark, tmp_path):
     kinds = {
         "documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string",
