@@ -23,7 +23,7 @@ from zlib import crc32
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from airrline.llm.common import sliced
+from airrline.llm.common import sliced, store
 
 LOW = 0.6  # importance up to which a node is cut
 LEAST_PAGES = 4  # of a node, before its entropies mean anything
@@ -260,7 +260,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     hosts Spark's adaptive join splits.
     """
     weak = importance(tree_counts(pages, url_col, html_col)).filter((F.col("importance") <= low) & (F.col("pages") >= LEAST_PAGES))
-    cut = weak.groupBy("host").agg(F.collect_set("node").alias("cut")).persist()
+    cut = store(weak.groupBy("host").agg(F.collect_set("node").alias("cut")))
     few = cut.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col))
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
