@@ -33,7 +33,7 @@ from airrline.llm.common import as_bytes, sliced, store
 LENGTH = 50
 GRAM = 20  # bytes hashed for an anchor
 _BATCH = 512 << 10  # small, so a batch's arrays stay in the processor's cache
-_BLOCK = 1 << 20  # bytes of stretches in a block; one anchor's always stay together
+_BLOCK = 256 << 10  # bytes of stretches in a block; one anchor's always stay together
 _HOT = 1_000_000  # places of an anchor, above which its strings are compared by a grouped minimum
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0xBF58476D1CE4E5B9], np.uint64)
 
