@@ -45,16 +45,20 @@ def as_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0] if len(at) else np.zeros(1, np.int64)
 
 
+# Within a stored step, shuffle files go as soon as it ends, and Python gets texts a few MB at a time.
+_STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
 @contextmanager
-def _shuffles_cleaned(spark):
-    """Within, Spark drops an execution's shuffle files as soon as it ends."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
+def _as_step(spark):
+    before = {name: spark.conf.get(name) for name in _STEP}
+    for name, value in _STEP.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 _SCRATCH: dict[str, object] = {}
@@ -69,7 +73,7 @@ def store(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/airrline-{uuid4().hex}"
-    with _shuffles_cleaned(spark):
+    with _as_step(spark):
         df.write.option("compression", "zstd").parquet(path)
     if not _SCRATCH:
         atexit.register(_forget)
