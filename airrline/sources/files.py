@@ -47,15 +47,19 @@ def first_line(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     fs, p = _fs(spark, path)
     stream = fs.create(p, True)
     try:
-        stream.write(bytearray(text.encode()))
+        stream.write(bytearray(data))
     finally:
         stream.close()
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_bytes(spark, path, text.encode())
+
+
 def source_file() -> Column:
     """The file a row was read from, as ``plain`` gives it."""
     path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
