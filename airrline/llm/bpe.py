@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from airrline.llm.common import MAX_BATCH_BYTES, sliced
+from airrline.llm.common import MAX_BATCH_BYTES, map_arrow, ship, sliced
 
 _MEMO = 1_000_000  # pairs and
 _PIECES = 250_000  # pieces remembered in a worker; both are only caches
@@ -186,7 +186,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
     rows = docs.select(id_col, text_col)
     kind = rows.schema[0].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, ids binary" + (", decoded binary" if with_decoded else "")
-    return rows.mapInArrow(run, schema)
+    return rows.transform(map_arrow, run, schema)
 
 
 def decode(tokens: DataFrame, rank_path: str, ids_col: str = "ids") -> DataFrame:
@@ -196,6 +196,8 @@ def decode(tokens: DataFrame, rank_path: str, ids_col: str = "ids") -> DataFrame
     with open(rank_path, "rb") as f:
         shared = tokens.sparkSession.sparkContext.broadcast(f.read())
 
+    ship(tokens.sparkSession)
+
     @F.pandas_udf("binary")
     def undo(ids):
         bpe = _loaded(shared.value, "")

@@ -3,19 +3,49 @@
 from __future__ import annotations
 
 import atexit
-from collections.abc import Iterator
+import io
+import os
+import zipfile
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
+from pathlib import Path
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from airrline.plans.materialize import ensure_checkpoint_dir
+from airrline.sources.files import write_bytes
 
+_PACKAGE = Path(__file__).resolve().parents[1]
+_SHIPPED: set[str] = set()
 MAX_BATCH_BYTES = 8 << 20  # of text worked on at once; a longer single text is still taken whole
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once a context, unless they are sure to find it themselves."""
+    home = _PACKAGE.parent
+    found = [Path(p).resolve() for p in [".", *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p]
+    sc = spark.sparkContext
+    if home in found or home.name == "site-packages" or sc.applicationId in _SHIPPED:
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(_PACKAGE.rglob("*.py")):
+            z.write(file, file.relative_to(home))
+    path = f"{ensure_checkpoint_dir(spark)}/airrline-{uuid4().hex}.zip"
+    write_bytes(spark, path, packed.getvalue())
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` of a function of this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: int, most: int = MAX_BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches where a text column would pass ``most`` bytes. Yields nothing for empty ones."""
     for batch in batches:

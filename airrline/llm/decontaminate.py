@@ -21,7 +21,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from airrline.llm.common import sliced
+from airrline.llm.common import map_arrow, sliced
 
 THRESHOLD = 0.6  # of an item's own score
 OVERLAP = 0.5  # of the word n-grams of question and of answer
@@ -182,7 +182,7 @@ def build_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
                     yield pa.RecordBatch.from_arrays([pa.array(["", *terms]), pa.array([len(words), *[1] * len(terms)], pa.int64())], names=["term", "n"])
 
     # the empty term gathers lengths
-    counts = items.select("text").mapInArrow(split, "term string, n long").groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("n"))
+    counts = items.select("text").transform(map_arrow, split, "term string, n long").groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("n"))
     whole = counts.filter("term = ''").first()
     if whole is None:
         return []
@@ -196,7 +196,7 @@ def build_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
         if parts == 1:
             df = {r["term"]: r["df"] for r in counts.collect()}
         else:
-            terms = mine.select("text").mapInArrow(split, "term string, n long").select("term").distinct()
+            terms = mine.select("text").transform(map_arrow, split, "term string, n long").select("term").distinct()
             df = {r["term"]: r["df"] for r in counts.join(terms, "term", "left_semi").collect()}
         out.append(Index(rows, df, whole["df"], whole["n"] / whole["df"], threshold))
     return out
@@ -231,6 +231,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", th
                 rows = [[dict(zip(("item_id", "score", "question", "answer"), x, strict=True)) for x in f] for f in found]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, leak)], names=arrow.names)
 
-        out = out.mapInArrow(run, schema)
+        out = out.transform(map_arrow, run, schema)
         names.append(name)
     return out.withColumn(out_col, F.concat(*names)).drop(*names)

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from airrline.llm.common import as_bytes, sliced, store
+from airrline.llm.common import as_bytes, map_arrow, sliced, store
 from airrline.llm.graph import components
 
 SHINGLE = 5
@@ -170,7 +170,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in parts], pa.int64()), lists], names=["id", "digest", "n", "keys"])
 
     rows = docs.select(F.col(id_col).alias("id"), digest_of(text_col).alias("digest"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, digest binary, n long, keys array<long>")
+    return rows.transform(map_arrow, run, f"id {rows.schema['id'].dataType.simpleString()}, digest binary, n long, keys array<long>")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     found.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in found], pa.int64()), pa.array([b[i] for i in found], pa.int64())], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.transform(map_arrow, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

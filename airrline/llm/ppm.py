@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from airrline.llm.common import as_bytes, sliced
+from airrline.llm.common import as_bytes, map_arrow, sliced
 from airrline.plans.materialize import materialize
 
 ORDER = 5
@@ -80,7 +80,7 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
         if held:
             yield from batch_of(*add(*map(np.concatenate, zip(*held, strict=True))))
 
-    return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.transform(map_arrow, run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 class _Lookup:
@@ -230,7 +230,7 @@ def score_adaptive(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=[id_col, "score"])
 
     rows = docs.select(id_col, text_col)
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, score double")
+    return rows.transform(map_arrow, run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, score double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -256,7 +256,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 held.clear()
         yield _word_rows(held)
 
-    return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.transform(map_arrow, run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _word_rows(held: Counter) -> pa.RecordBatch:
@@ -327,7 +327,7 @@ def score(docs: DataFrame, training: DataFrame | None = None, id_col: str = "doc
             ], names=["key", "id", "held_out", "n_tokens", "n_known", "common", "score", "word", "n"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).alias("text"))
-    told = rows.mapInArrow(run, fields.format(rows.schema["id"].dataType.simpleString()))
+    told = rows.transform(map_arrow, run, fields.format(rows.schema["id"].dataType.simpleString()))
     rare = vocabulary.filter(~common).select("word", F.col("n").alias("c"))
     joined = told.join(rare, "word", "left")
     seen = F.col("c").isNotNull()

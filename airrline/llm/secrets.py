@@ -21,7 +21,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from airrline.llm.common import sliced
+from airrline.llm.common import map_arrow, sliced
 
 # The base patterns, in the order of their kinds.
 ASSIGN = re.compile(r"""(?a:([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
@@ -180,4 +180,4 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     schema = ", ".join(f"`{rows.schema[i].name}` {rows.schema[i].dataType.simpleString()}" for i in keep)
     schema += f", `{out_cols[0]}` array<struct<start: long, end: long, kind: string>>" + (f", `{out_cols[1]}` string" if with_text else "")
-    return rows.mapInArrow(run, schema)
+    return rows.transform(map_arrow, run, schema)

@@ -23,7 +23,7 @@ from zlib import crc32
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from airrline.llm.common import sliced, store
+from airrline.llm.common import map_arrow, sliced, store
 
 LOW = 0.6  # importance up to which a node is cut
 LEAST_PAGES = 4  # of a node, before its entropies mean anything
@@ -227,7 +227,7 @@ def tree_counts(pages: DataFrame, url_col: str = "url", html_col: str = "html")
                 counts.clear()
         yield table(counts)
 
-    counts = pages.select(url_col, html_col).mapInArrow(run, "host string, node long, kind int, value long, n long")
+    counts = pages.select(url_col, html_col).transform(map_arrow, run, "host string, node long, kind int, value long, n long")
     return counts.groupBy("host", "node", "kind", "value").agg(F.sum("n").alias("n"))
 
 
@@ -272,4 +272,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=[id_col, url_col, "text"])
 
     kinds = [rows.schema[i].dataType.simpleString() for i in (0, 1)]
-    return rows.mapInArrow(run, f"`{id_col}` {kinds[0]}, `{url_col}` {kinds[1]}, text string")
+    return rows.transform(map_arrow, run, f"`{id_col}` {kinds[0]}, `{url_col}` {kinds[1]}, text string")

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from airrline.llm.common import as_bytes, sliced, store
+from airrline.llm.common import as_bytes, map_arrow, sliced, store
 
 LENGTH = 50
 GRAM = 20  # bytes hashed for an anchor
@@ -184,7 +184,7 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
             digests = np.array([_digest(whole[a:b]) if b - a >= length else 0 for a, b in pairwise(at)], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(digests[text] if len(text) else text)], names=["anchor", "digest"])
 
-    return docs.select("text").mapInArrow(run, "anchor long, digest long")
+    return docs.select("text").transform(map_arrow, run, "anchor long, digest long")
 
 
 def _candidates(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def _candidates(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             digests = [_digest(whole[a:b]) for a, b in pairwise(at)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.int64()), batch.column(1)], names=["id", "digest", "text"])
 
-    keyed = docs.mapInArrow(run, "id long, digest long, text string")
+    keyed = docs.transform(map_arrow, run, "id long, digest long, text string")
     return keyed.join(wanted, ["id", "digest"]).dropDuplicates(["id", "digest"])
 
 
@@ -219,7 +219,7 @@ def _cut_out(candidates: DataFrame, length: int) -> DataFrame:
             ids, digests = batch.column(0).to_numpy(zero_copy_only=False)[text], batch.column(1).to_numpy(zero_copy_only=False)[text]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip((anchor, parts, ids, digests, start, strings), kinds, strict=True)], names=[n for n, _ in kinds])
 
-    return candidates.select("id", "digest", "text", "anchors").mapInArrow(run, "anchor long, part binary, id long, digest long, start long, strings long")
+    return candidates.select("id", "digest", "text", "anchors").transform(map_arrow, run, "anchor long, part binary, id long, digest long, start long, strings long")
 
 
 def _covered(parts: DataFrame, length: int) -> DataFrame:
@@ -262,7 +262,7 @@ def _covered(parts: DataFrame, length: int) -> DataFrame:
         if held[0]:
             yield flush(len(held[0]))
 
-    return parts.select("anchor", "hash", "part", "owner").mapInArrow(run, "anchor long, hash long, owner long, runs array<struct<first: long, end: long>>")
+    return parts.select("anchor", "hash", "part", "owner").transform(map_arrow, run, "anchor long, hash long, owner long, runs array<struct<first: long, end: long>>")
 
 
 def _covered_hot(parts: DataFrame, length: int) -> DataFrame:
@@ -300,7 +300,7 @@ def _kept(candidates: DataFrame, removed: DataFrame, length: int) -> DataFrame:
 
     spans = removed.groupBy("id", "digest").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     both = candidates.join(spans, ["id", "digest"]).select("id", "digest", "text", "spans")
-    return both.mapInArrow(run, "id long, digest long, n_removed long, n_spans long, kept binary")
+    return both.transform(map_arrow, run, "id long, digest long, n_removed long, n_spans long, kept binary")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = _HOT) -> DataFrame:
