@@ -11,7 +11,7 @@ from airrline.schema import ReceptorSchema, as_receptor_schema
 
 
 @dataclass(frozen=True)
-class ImmunData:
+class AirrData:
     """Chain-level annotations with receptor ids, and optionally a table of repertoires.
 
     Every operation returns a new object; nothing runs until an action.
@@ -56,15 +56,15 @@ class ImmunData:
         """One row: the number of chains, as ``n``."""
         return self.annotations.agg(F.count("*").alias("n"))
 
-    def filter(self, *conditions, seq_options=None, keep_repertoires: bool = True) -> ImmunData:
-        from airrline.operators.filters import filter_immundata
+    def filter(self, *conditions, seq_options=None, keep_repertoires: bool = True) -> AirrData:
+        from airrline.operators.filters import filter_data
 
-        return filter_immundata(self, *conditions, seq_options=seq_options, keep_repertoires=keep_repertoires)
+        return filter_data(self, *conditions, seq_options=seq_options, keep_repertoires=keep_repertoires)
 
-    def mutate(self, seq_options=None, **columns) -> ImmunData:
-        from airrline.operators.mutate import mutate_immundata
+    def mutate(self, seq_options=None, **columns) -> AirrData:
+        from airrline.operators.mutate import mutate_data
 
-        return mutate_immundata(self, seq_options=seq_options, **columns)
+        return mutate_data(self, seq_options=seq_options, **columns)
 
     def describe(self, n: int = 10) -> str:
         """Text with the first rows of each table, and the schemas."""
@@ -74,7 +74,7 @@ class ImmunData:
             parts += [f"Repertoire columns: {', '.join(self.schema_repertoire)}", "Repertoires:", _head(self.repertoires, n)]
         return "\n".join(parts)
 
-    def print(self, n: int = 10) -> ImmunData:
+    def print(self, n: int = 10) -> AirrData:
         print(self.describe(n))
         return self
 

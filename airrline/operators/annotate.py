@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 
-from airrline.dataset import ImmunData
+from airrline.dataset import AirrData
 from airrline.names import BARCODE, CHAIN, RECEPTOR, c
 from airrline.operators.repertoires import rebuild
 from airrline.plans.joins import null_safe_join
@@ -15,7 +15,7 @@ MAX_COLUMNS = 100
 ROW_NAMES = "<rownames>"
 
 
-def annotate_immundata(idata: ImmunData, annotations, by: Mapping[str, str], keep_repertoires: bool = True, remove_limit: bool = False) -> ImmunData:
+def annotate_data(idata: AirrData, annotations, by: Mapping[str, str], keep_repertoires: bool = True, remove_limit: bool = False) -> AirrData:
     """Left-join ``annotations`` (a Spark or pandas frame); ``by`` maps the dataset's column to theirs.
 
     NULL keys match NULL. A key that occurs more than once there repeats the
@@ -42,22 +42,22 @@ def annotate_immundata(idata: ImmunData, annotations, by: Mapping[str, str], kee
     return rebuild(idata, null_safe_join(rows, right, list(by)), keep_repertoires)
 
 
-annotate = annotate_immundata
+annotate = annotate_data
 
 
-def annotate_receptors(idata: ImmunData, annotations, annot_col: str = RECEPTOR, keep_repertoires: bool = True, remove_limit: bool = False) -> ImmunData:
-    return annotate_immundata(idata, annotations, {RECEPTOR: annot_col}, keep_repertoires, remove_limit)
+def annotate_receptors(idata: AirrData, annotations, annot_col: str = RECEPTOR, keep_repertoires: bool = True, remove_limit: bool = False) -> AirrData:
+    return annotate_data(idata, annotations, {RECEPTOR: annot_col}, keep_repertoires, remove_limit)
 
 
-def annotate_barcodes(idata: ImmunData, annotations, annot_col: str = ROW_NAMES, keep_repertoires: bool = True, remove_limit: bool = False) -> ImmunData:
+def annotate_barcodes(idata: AirrData, annotations, annot_col: str = ROW_NAMES, keep_repertoires: bool = True, remove_limit: bool = False) -> AirrData:
     """By cell. ``<rownames>`` takes the index of a pandas frame; a Spark frame has none and needs a column."""
     if annot_col == ROW_NAMES:
         if isinstance(annotations, DataFrame):
             raise ValueError("a Spark frame has no row names; name the barcode column")
         annot_col = "imd_row_names"
         annotations = annotations.rename_axis(None).reset_index(names=annot_col)
-    return annotate_immundata(idata, annotations, {BARCODE: annot_col}, keep_repertoires, remove_limit)
+    return annotate_data(idata, annotations, {BARCODE: annot_col}, keep_repertoires, remove_limit)
 
 
-def annotate_chains(idata: ImmunData, annotations, annot_col: str = CHAIN, keep_repertoires: bool = True, remove_limit: bool = False) -> ImmunData:
-    return annotate_immundata(idata, annotations, {CHAIN: annot_col}, keep_repertoires, remove_limit)
+def annotate_chains(idata: AirrData, annotations, annot_col: str = CHAIN, keep_repertoires: bool = True, remove_limit: bool = False) -> AirrData:
+    return annotate_data(idata, annotations, {CHAIN: annot_col}, keep_repertoires, remove_limit)

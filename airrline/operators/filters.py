@@ -8,7 +8,7 @@ from operator import and_
 
 from pyspark.sql import Column, functions as F
 
-from airrline.dataset import ImmunData
+from airrline.dataset import AirrData
 from airrline.functions.sequences import match_predicate
 from airrline.names import BARCODE, RECEPTOR, c
 from airrline.operators.repertoires import rebuild
@@ -16,7 +16,7 @@ from airrline.plans.joins import semi_join_values
 from airrline.schema import SeqOptions, check_seq_options
 
 
-def filter_immundata(idata: ImmunData, *conditions: Column | str, seq_options: SeqOptions | None = None, keep_repertoires: bool = True) -> ImmunData:
+def filter_data(idata: AirrData, *conditions: Column | str, seq_options: SeqOptions | None = None, keep_repertoires: bool = True) -> AirrData:
     """Keep chains for which all conditions hold (NULL counts as no) and the sequence matches.
 
     Exact matching works on receptors: all chains of a receptor that has one
@@ -37,11 +37,11 @@ def filter_immundata(idata: ImmunData, *conditions: Column | str, seq_options: S
     return rebuild(idata, rows, keep_repertoires)
 
 
-def filter_barcodes(idata: ImmunData, barcodes: Sequence, keep_repertoires: bool = True) -> ImmunData:
+def filter_barcodes(idata: AirrData, barcodes: Sequence, keep_repertoires: bool = True) -> AirrData:
     """Keep the chains of the listed cells."""
     return rebuild(idata, semi_join_values(idata.annotations, BARCODE, barcodes), keep_repertoires)
 
 
-def filter_receptors(idata: ImmunData, receptors: Sequence[int], keep_repertoires: bool = True) -> ImmunData:
+def filter_receptors(idata: AirrData, receptors: Sequence[int], keep_repertoires: bool = True) -> AirrData:
     """Keep the chains of the listed receptors."""
     return rebuild(idata, semi_join_values(idata.annotations, RECEPTOR, receptors), keep_repertoires)

@@ -6,13 +6,13 @@ from dataclasses import replace
 
 from pyspark.sql import Column, functions as F
 
-from airrline.dataset import ImmunData
+from airrline.dataset import AirrData
 from airrline.functions.sequences import match_columns
 from airrline.names import SCHEMA
 from airrline.schema import SeqOptions, check_seq_options, pattern_columns
 
 
-def mutate_immundata(idata: ImmunData, seq_options: SeqOptions | None = None, **columns: Column | str) -> ImmunData:
+def mutate_data(idata: AirrData, seq_options: SeqOptions | None = None, **columns: Column | str) -> AirrData:
     """Add or change columns in the order given; later ones may use earlier ones.
 
     Reserved names are refused. Sequence options add a column for each pattern;

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from airrline.dataset import ImmunData
+from airrline.dataset import AirrData
 from airrline.names import BARCODE, CHAIN, COUNT, LOCUS, N_CHAINS, RECEPTOR, c
 from airrline.plans.ids import dense_ids, hash_ids
 from airrline.plans.joins import null_safe_join
@@ -22,7 +22,7 @@ def agg_receptors(
     umi_col: str | None = None,
     order_by: Sequence[str] = (),
     id_strategy: str = "dense",
-) -> ImmunData:
+) -> AirrData:
     """Give every chain a chain id, a barcode and a receptor id.
 
     A receptor is a distinct tuple of the schema's features (NULL equals NULL).
@@ -64,10 +64,10 @@ def agg_receptors(
     rows = rows.withColumn(BARCODE, c(barcode_col) if barcode_col else c(CHAIN))
     rows = rows.withColumn(N_CHAINS, c(count_col).cast("double") if count_col else F.lit(1.0)).withColumn(COUNT, F.lit(0.0))
     if len(chains) == 2:
-        return ImmunData(schema, _pair(rows, chains, umi_col))
+        return AirrData(schema, _pair(rows, chains, umi_col))
     ids = rows.select(*[c(f) for f in features]).distinct()
     ids = dense_ids(ids, RECEPTOR, features) if id_strategy == "dense" else hash_ids(ids, RECEPTOR, features)
-    return ImmunData(schema, null_safe_join(rows, ids, features))
+    return AirrData(schema, null_safe_join(rows, ids, features))
 
 
 def _pair(rows: DataFrame, chains: Sequence[str], umi_col: str) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from airrline.dataset import ImmunData
+from airrline.dataset import AirrData
 from airrline.names import COUNT, N_BARCODES, N_CHAINS, N_RECEPTORS, N_REPERTOIRES, PROPORTION, RECEPTOR, REPERTOIRE, c
 from airrline.plans.ids import dense_ids
 from airrline.plans.joins import null_safe_join
@@ -15,7 +15,7 @@ from airrline.plans.joins import null_safe_join
 _SUMMARY = (REPERTOIRE, COUNT, PROPORTION, N_REPERTOIRES, N_BARCODES, N_RECEPTORS)
 
 
-def agg_repertoires(idata: ImmunData, schema: str | Sequence[str] = "repertoire_id") -> ImmunData:
+def agg_repertoires(idata: AirrData, schema: str | Sequence[str] = "repertoire_id") -> AirrData:
     """Group receptors into repertoires by ``schema`` and count them.
 
     The counts of (repertoire, receptor) are made first; sizes, proportions and
@@ -42,7 +42,7 @@ def agg_repertoires(idata: ImmunData, schema: str | Sequence[str] = "repertoire_
     return replace(idata, annotations=null_safe_join(out, public, [RECEPTOR]), repertoire_table=sizes, schema_repertoire=keys)
 
 
-def rebuild(idata: ImmunData, annotations, keep_repertoires: bool) -> ImmunData:
+def rebuild(idata: AirrData, annotations, keep_repertoires: bool) -> AirrData:
     """The same dataset over other rows; repertoires are counted again, or dropped (their columns stay as they were)."""
     bare = replace(idata, annotations=annotations, repertoire_table=None, schema_repertoire=())
     return agg_repertoires(bare, idata.schema_repertoire) if keep_repertoires and idata.schema_repertoire else bare

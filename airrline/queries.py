@@ -12,15 +12,15 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from airrline.dataset import ImmunData
+from airrline.dataset import AirrData
 from airrline.names import COUNT, N_REPERTOIRES, PROPORTION, RECEPTOR, REPERTOIRE, c
 from airrline.operators import (
-    agg_receptors, agg_repertoires, annotate_barcodes, annotate_chains, annotate_immundata, annotate_receptors,
-    filter_barcodes, filter_immundata, filter_receptors, mutate_immundata,
+    agg_receptors, agg_repertoires, annotate_barcodes, annotate_chains, annotate_data, annotate_receptors,
+    filter_barcodes, filter_data, filter_receptors, mutate_data,
 )
 from airrline.plans.materialize import ensure_checkpoint_dir
 from airrline.schema import make_receptor_schema, make_seq_options
-from airrline.sources import from_immunarch, make_barcode_prefix, make_productive_filter, read_immundata, read_repertoires, scan_tables, write_immundata
+from airrline.sources import from_frames, make_barcode_prefix, make_productive_filter, open_dataset, read_repertoires, scan_tables, save_dataset
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,15 +64,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def simple(spark: SparkSession, sf_dir: str) -> ImmunData:
+def simple(spark: SparkSession, sf_dir: str) -> AirrData:
     return agg_receptors(table(spark, sf_dir, "part"), ["p_name", "p_type"], order_by=["p_partkey"])
 
 
-def bulk(spark: SparkSession, sf_dir: str) -> ImmunData:
+def bulk(spark: SparkSession, sf_dir: str) -> AirrData:
     return agg_receptors(table(spark, sf_dir, "part"), ["p_name", "p_type"], count_col="p_size", order_by=["p_partkey"])
 
 
-def cells(spark: SparkSession, sf_dir: str) -> ImmunData:
+def cells(spark: SparkSession, sf_dir: str) -> AirrData:
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value").filter("value >= 100")
     schema = make_receptor_schema(["value"], ["click", "view"])
     return agg_receptors(events, schema, barcode_col="user_id", locus_col="event_type", umi_col="value", order_by=["event_id"])
@@ -145,13 +145,13 @@ def _(spark, sf_dir):
     return rows.select(RECEPTOR, N_REPERTOIRES).filter(F.col(N_REPERTOIRES) >= 5).distinct()
 
 
-def _ids(idata: ImmunData) -> DataFrame:
+def _ids(idata: AirrData) -> DataFrame:
     return idata.annotations.select("imd_chain_id", RECEPTOR)
 
 
 @query("filter_predicate", f"WITH {_SIMPLE} SELECT imd_chain_id, imd_receptor_id FROM simple WHERE p_type = 'PROMO' AND p_size > 10")
 def _(spark, sf_dir):
-    return _ids(filter_immundata(simple(spark, sf_dir), F.col("p_type") == "PROMO", "p_size > 10"))
+    return _ids(filter_data(simple(spark, sf_dir), F.col("p_type") == "PROMO", "p_size > 10"))
 
 
 # Patterns are made from the rows at hand: the smallest and largest names of the table.
@@ -167,34 +167,34 @@ _HAM = "CASE WHEN length(p_name) = length({p}) THEN hamming(p_name, {p}) END"
 
 @query("filter_exact", f"WITH {_SIMPLE}, {_LO_HI} SELECT imd_chain_id, imd_receptor_id FROM simple, pat WHERE p_name IN (a, b)")
 def _(spark, sf_dir):
-    return _ids(filter_immundata(simple(spark, sf_dir), seq_options=make_seq_options("p_name", _patterns(spark, sf_dir))))
+    return _ids(filter_data(simple(spark, sf_dir), seq_options=make_seq_options("p_name", _patterns(spark, sf_dir))))
 
 
 @query("filter_exact_with_predicate", f"""WITH {_SIMPLE}, {_LO_HI}
 SELECT imd_chain_id, imd_receptor_id FROM simple
 WHERE imd_receptor_id IN (SELECT imd_receptor_id FROM simple, pat WHERE p_size > 40 AND p_name IN (a, b))""")
 def _(spark, sf_dir):
-    return _ids(filter_immundata(simple(spark, sf_dir), "p_size > 40", seq_options=make_seq_options("p_name", _patterns(spark, sf_dir))))
+    return _ids(filter_data(simple(spark, sf_dir), "p_size > 40", seq_options=make_seq_options("p_name", _patterns(spark, sf_dir))))
 
 
 @query("filter_regex", f"WITH {_SIMPLE} SELECT imd_chain_id, imd_receptor_id FROM simple WHERE regexp_matches(p_name, '^b') OR regexp_matches(p_name, 'e.*r')")
 def _(spark, sf_dir):
-    return _ids(filter_immundata(simple(spark, sf_dir), seq_options=make_seq_options("p_name", ["^b", "e.*r"], "regex")))
+    return _ids(filter_data(simple(spark, sf_dir), seq_options=make_seq_options("p_name", ["^b", "e.*r"], "regex")))
 
 
 @query("filter_lev", f"WITH {_SIMPLE}, {_LO_HI} SELECT imd_chain_id, imd_receptor_id FROM simple, pat WHERE least({_LEV.format(p='a')}, {_LEV.format(p='b')}) <= 4")
 def _(spark, sf_dir):
-    return _ids(filter_immundata(simple(spark, sf_dir), seq_options=make_seq_options("p_name", _patterns(spark, sf_dir), "lev", 4)))
+    return _ids(filter_data(simple(spark, sf_dir), seq_options=make_seq_options("p_name", _patterns(spark, sf_dir), "lev", 4)))
 
 
 @query("filter_hamm", f"WITH {_SIMPLE}, {_LO_HI} SELECT imd_chain_id, imd_receptor_id FROM simple, pat WHERE least({_HAM.format(p='a')}, {_HAM.format(p='b')}) <= 5")
 def _(spark, sf_dir):
-    return _ids(filter_immundata(simple(spark, sf_dir), seq_options=make_seq_options("p_name", _patterns(spark, sf_dir), "hamm", 5)))
+    return _ids(filter_data(simple(spark, sf_dir), seq_options=make_seq_options("p_name", _patterns(spark, sf_dir), "hamm", 5)))
 
 
 @query("filter_then_reaggregate", f"""WITH {_SIMPLE}, kept AS (SELECT * FROM simple WHERE p_size <= 25), {_REP.format(src='kept')} SELECT * FROM sizes""")
 def _(spark, sf_dir):
-    return filter_immundata(agg_repertoires(simple(spark, sf_dir), "p_brand"), "p_size <= 25").repertoires
+    return filter_data(agg_repertoires(simple(spark, sf_dir), "p_brand"), "p_size <= 25").repertoires
 
 
 @query("filter_barcodes", f"WITH {_SIMPLE} SELECT imd_chain_id, imd_receptor_id FROM simple WHERE imd_barcode IN (1, 5, 9, 77)")
@@ -208,13 +208,13 @@ def _(spark, sf_dir):
 
 
 def _mutated(spark, sf_dir, method, patterns, prefix) -> DataFrame:
-    out = mutate_immundata(simple(spark, sf_dir), seq_options=make_seq_options("p_name", patterns, method))
+    out = mutate_data(simple(spark, sf_dir), seq_options=make_seq_options("p_name", patterns, method))
     return out.annotations.select("imd_chain_id", f"{prefix}1", f"{prefix}2")
 
 
 @query("mutate_expressions", f"WITH {_SIMPLE} SELECT imd_chain_id, p_size * 2 AS twice, p_size * 2 + 1 AS more FROM simple")
 def _(spark, sf_dir):
-    return mutate_immundata(simple(spark, sf_dir), twice="p_size * 2", more=F.col("twice") + 1).annotations.select("imd_chain_id", "twice", "more")
+    return mutate_data(simple(spark, sf_dir), twice="p_size * 2", more=F.col("twice") + 1).annotations.select("imd_chain_id", "twice", "more")
 
 
 @query("mutate_exact", f"WITH {_SIMPLE}, {_LO_HI} SELECT imd_chain_id, p_name = a AS imd_sim_exact_1, p_name = b AS imd_sim_exact_2 FROM simple, pat")
@@ -258,7 +258,7 @@ def _(spark, sf_dir):
 @query("annotate_multi_match", f"WITH {_SIMPLE} SELECT imd_chain_id, l_orderkey, l_linenumber FROM simple LEFT JOIN lineitem ON l_partkey = p_partkey")
 def _(spark, sf_dir):
     notes = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber")
-    return annotate_immundata(simple(spark, sf_dir), notes, {"p_partkey": "l_partkey"}).annotations.select("imd_chain_id", "l_orderkey", "l_linenumber")
+    return annotate_data(simple(spark, sf_dir), notes, {"p_partkey": "l_partkey"}).annotations.select("imd_chain_id", "l_orderkey", "l_linenumber")
 
 
 @query("metadata_join", "SELECT c_custkey, c_name, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
@@ -304,8 +304,8 @@ def _(spark, sf_dir):
 @query("saved_round_trip", f"WITH {_SIMPLE} SELECT imd_chain_id, imd_receptor_id, p_name, p_type, p_brand FROM simple")
 def _(spark, sf_dir):
     folder = _scratch(spark)
-    write_immundata(simple(spark, sf_dir), folder)
-    return read_immundata(spark, folder).annotations.select("imd_chain_id", RECEPTOR, "p_name", "p_type", "p_brand")
+    save_dataset(simple(spark, sf_dir), folder)
+    return open_dataset(spark, folder).annotations.select("imd_chain_id", RECEPTOR, "p_name", "p_type", "p_brand")
 
 
 @query("list_of_frames", """
@@ -316,7 +316,7 @@ def _(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_name", "p_type", "p_size")
     data = {"large": part.filter("p_size <= 25"), "small": part.filter("p_size > 25")}
     meta = spark.range(2).select(F.when(F.col("id") == 0, "large").otherwise("small").alias("Sample"))
-    return from_immunarch(spark, {"data": data, "meta": meta}, _scratch(spark), ["p_name", "p_type"]).repertoires
+    return from_frames(spark, {"data": data, "meta": meta}, _scratch(spark), ["p_name", "p_type"]).repertoires
 
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -8,7 +8,7 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-from airrline.dataset import ImmunData
+from airrline.dataset import AirrData
 from airrline.sources.ingest import read_repertoires
 
 _AMINO = "ACDEFGHIKLMNPQRSTVWY"
@@ -31,11 +31,11 @@ def write_sample_files(folder: str, rows: int = 1000, seed: int = 7) -> str:
     return sheet
 
 
-def get_test_idata(spark: SparkSession, folder: str | None = None) -> ImmunData:
+def get_test_idata(spark: SparkSession, folder: str | None = None) -> AirrData:
     """The sample, read with its metadata into ``folder`` (by default a new one, for local sessions)."""
     folder = folder or tempfile.mkdtemp(prefix="airrline-sample-")
     sheet = write_sample_files(folder)
     return read_repertoires(spark, "<metadata>", ["cdr3_aa", "v_call"], metadata=sheet, output_folder=os.path.join(folder, "saved"))
 
 
-get_test_immundata = get_test_idata
+get_test_data = get_test_idata

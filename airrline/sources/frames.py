@@ -7,15 +7,15 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from airrline.dataset import ImmunData
+from airrline.dataset import AirrData
 from airrline.names import FILENAME
 from airrline.operators.receptors import agg_receptors
 from airrline.operators.repertoires import agg_repertoires
 from airrline.plans.joins import null_safe_join
-from airrline.sources.saved import read_immundata, write_immundata
+from airrline.sources.saved import open_dataset, save_dataset
 
 
-def from_immunarch(spark: SparkSession, imm: Mapping, output_folder: str, schema: Sequence[str] = ("CDR3.aa", "V.name")) -> ImmunData:
+def from_frames(spark: SparkSession, imm: Mapping, output_folder: str, schema: Sequence[str] = ("CDR3.aa", "V.name")) -> AirrData:
     """``imm["data"]``: frames (Spark or pandas) by name, or a list; ``imm["meta"]``: a frame with ``Sample``.
 
     Each frame gets its name as ``repertoire_id`` unless it has that column.
@@ -40,6 +40,6 @@ def from_immunarch(spark: SparkSession, imm: Mapping, output_folder: str, schema
     idata = agg_receptors(rows, list(schema))
     sheet = frame(meta).drop(FILENAME).withColumn(FILENAME, F.concat(F.col("Sample"), F.lit(".tsv")))
     sheet = sheet.select(*[F.col(f"`{x}`") for x in sheet.columns if x == FILENAME or x not in idata.annotations.columns])
-    saved = ImmunData(idata.schema_receptor, null_safe_join(idata.annotations, sheet, [FILENAME]))
-    write_immundata(saved, output_folder)
-    return agg_repertoires(read_immundata(spark, output_folder), "repertoire_id")
+    saved = AirrData(idata.schema_receptor, null_safe_join(idata.annotations, sheet, [FILENAME]))
+    save_dataset(saved, output_folder)
+    return agg_repertoires(open_dataset(spark, output_folder), "repertoire_id")

@@ -7,14 +7,14 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from airrline.dataset import ImmunData
+from airrline.dataset import AirrData
 from airrline.names import FILENAME, c, imd_rename_cols
 from airrline.operators.receptors import agg_receptors
 from airrline.operators.repertoires import agg_repertoires
 from airrline.plans.joins import null_safe_join
 from airrline.schema import ReceptorSchema, as_receptor_schema
 from airrline.sources.metadata import read_metadata
-from airrline.sources.saved import read_immundata, write_immundata
+from airrline.sources.saved import open_dataset, save_dataset
 from airrline.sources.scan import resolve_paths, scan_tables
 from airrline.sources.steps import Step, make_default_postprocessing, make_default_preprocessing
 
@@ -32,7 +32,7 @@ def rename_present(dataset: DataFrame, renames: Mapping[str, str]) -> DataFrame:
 
 def default_folder(first: str) -> str:
     stem = posixpath.splitext(posixpath.basename(first))[0]
-    return posixpath.join(posixpath.dirname(first), f"immundata-{stem}")
+    return posixpath.join(posixpath.dirname(first), f"airrline-{stem}")
 
 
 def read_repertoires(
@@ -52,7 +52,7 @@ def read_repertoires(
     output_folder: str | None = None,
     repertoire_schema: str | Sequence[str] | None = None,
     partition_by: tuple[str, ...] = (),
-) -> ImmunData:
+) -> AirrData:
     """Scan, rename, preprocess, assign receptors, join metadata, postprocess, save, reopen, and count repertoires.
 
     ``path``: files or globs, or ``"<metadata>"`` for the files the metadata
@@ -93,8 +93,8 @@ def read_repertoires(
         rows = step(rows)
 
     folder = output_folder or default_folder(paths[0])
-    write_immundata(ImmunData(idata.schema_receptor, rows), folder, partition_by)
-    saved = read_immundata(spark, folder)
+    save_dataset(AirrData(idata.schema_receptor, rows), folder, partition_by)
+    saved = open_dataset(spark, folder)
     if repertoire_schema is None:
         return saved
     keys = [repertoire_schema] if isinstance(repertoire_schema, str) else list(repertoire_schema)

@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import SparkSession
 
-from airrline.dataset import ImmunData
+from airrline.dataset import AirrData
 from airrline.names import FILES, META_SCHEMA
 from airrline.operators.repertoires import agg_repertoires
 from airrline.schema import make_receptor_schema
@@ -15,7 +15,7 @@ from airrline.sources.files import exists, read_text, write_text
 VERSION = "0.0.3"  # of the layout
 
 
-def write_immundata(idata: ImmunData, output_folder: str, partition_by: tuple[str, ...] = ()) -> ImmunData:
+def save_dataset(idata: AirrData, output_folder: str, partition_by: tuple[str, ...] = ()) -> AirrData:
     """Save as zstd Parquet and JSON, replacing what is there; returns the dataset."""
     spark = idata.annotations.sparkSession
     writer = idata.annotations.write.mode("overwrite").option("compression", "zstd").option("parquet.compression.codec.zstd.level", 9)
@@ -33,7 +33,7 @@ def _listed(value) -> list[str]:
     return [value] if isinstance(value, str) else list(value or [])
 
 
-def read_immundata(spark: SparkSession, path: str) -> ImmunData:
+def open_dataset(spark: SparkSession, path: str) -> AirrData:
     """Open a saved dataset; repertoires are counted again if it has them."""
     parquet, meta_path = f"{path}/{FILES['annotations']}", f"{path}/{FILES['metadata']}"
     for p in (path, parquet, meta_path):
@@ -42,6 +42,6 @@ def read_immundata(spark: SparkSession, path: str) -> ImmunData:
     meta = json.loads(read_text(spark, meta_path))
     receptor = meta[META_SCHEMA["receptor_schema"]]
     schema = make_receptor_schema(_listed(receptor["features"]), _listed(receptor.get("chains")))
-    idata = ImmunData(schema, spark.read.parquet(parquet))
+    idata = AirrData(schema, spark.read.parquet(parquet))
     keys = _listed(meta.get(META_SCHEMA["repertoire_schema"]))
     return agg_repertoires(idata, keys) if keys else idata

@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from airrline import (
-    agg_receptors, agg_repertoires, annotate, annotate_barcodes, annotate_chains, annotate_receptors, filter_barcodes, filter_immundata,
-    filter_receptors, make_receptor_schema, make_seq_options, mutate_immundata,
+    agg_receptors, agg_repertoires, annotate, annotate_barcodes, annotate_chains, annotate_receptors, filter_barcodes, filter_data,
+    filter_receptors, make_receptor_schema, make_seq_options, mutate_data,
 )
 
 SEQ = ["CASSA", "CASSB", "CASS", "CASSA", None, "", "é'x", "CxSSA", "CASSAB", "CASSA"]
@@ -33,36 +33,36 @@ def edit(a, b):
 
 
 def test_predicates_count_again(idata):
-    out = filter_immundata(idata, F.col("v") == "V1", "pos < 8")
+    out = filter_data(idata, F.col("v") == "V1", "pos < 8")
     assert kept(out) == [1, 4, 7] and out.schema_repertoire == ("sample",)
     assert sum(r.n_barcodes for r in out.repertoires.collect()) == 3
-    bare = filter_immundata(idata, "pos < 3", keep_repertoires=False)
+    bare = filter_data(idata, "pos < 3", keep_repertoires=False)
     assert bare.repertoires is None and "imd_count" in bare.annotations.columns
     with pytest.raises(ValueError):
-        filter_immundata(idata)
+        filter_data(idata)
 
 
 def test_exact_works_on_receptors(idata):
     exact = make_seq_options("seq", "CASSA")
-    assert kept(filter_immundata(idata, seq_options=exact)) == [0, 3, 9]
+    assert kept(filter_data(idata, seq_options=exact)) == [0, 3, 9]
     # rows 0, 3, 9 are one receptor; the predicate finds it by row 0 and is not asked again
-    assert kept(filter_immundata(idata, "pos = 0", seq_options=exact)) == [0, 3, 9]
+    assert kept(filter_data(idata, "pos = 0", seq_options=exact)) == [0, 3, 9]
     assert kept(idata.filter(seq_options=make_seq_options("seq", ["é'x", ""]))) == [5, 6]
 
 
 def test_regex_lev_hamm(idata):
-    assert kept(filter_immundata(idata, seq_options=make_seq_options("seq", ["^CA", "x$"], "regex"))) == [0, 1, 2, 3, 6, 8, 9]
+    assert kept(filter_data(idata, seq_options=make_seq_options("seq", ["^CA", "x$"], "regex"))) == [0, 1, 2, 3, 6, 8, 9]
     for d in (0, 1, 2):
         near = [i for i, s in enumerate(SEQ) if s is not None and any(edit(s, p) <= d for p in ("CASSA", "é'"))]
-        assert kept(filter_immundata(idata, seq_options=make_seq_options("seq", ["CASSA", "é'"], "lev", d))) == near
+        assert kept(filter_data(idata, seq_options=make_seq_options("seq", ["CASSA", "é'"], "lev", d))) == near
         same = [i for i, s in enumerate(SEQ) if s is not None and len(s) == 5 and sum(a != b for a, b in zip(s, "CASSA", strict=True)) <= d]
-        assert kept(filter_immundata(idata, seq_options=make_seq_options("seq", "CASSA", "hamm", d))) == same
+        assert kept(filter_data(idata, seq_options=make_seq_options("seq", "CASSA", "hamm", d))) == same
     with pytest.raises(ValueError, match="max_dist"):
-        filter_immundata(idata, seq_options=make_seq_options("seq", "A", "lev"))
+        filter_data(idata, seq_options=make_seq_options("seq", "A", "lev"))
     with pytest.raises(ValueError):
         make_seq_options("seq", "A", "lev", 1.5)
     with pytest.raises(ValueError):
-        filter_immundata(idata, seq_options=make_seq_options("other", "A"))
+        filter_data(idata, seq_options=make_seq_options("other", "A"))
 
 
 def test_ids(idata):
@@ -74,13 +74,13 @@ def test_ids(idata):
 
 
 def test_mutate(idata):
-    out = mutate_immundata(idata, twice=F.col("pos") * 2, more="twice + 1")
+    out = mutate_data(idata, twice=F.col("pos") * 2, more="twice + 1")
     assert {(r.twice, r.more) for r in out.annotations.collect()} == {(2 * i, 2 * i + 1) for i in range(len(SEQ))}
     assert out.repertoires.count() == idata.repertoires.count()
     for name in ("imd_count", "locus", "filename"):
         with pytest.raises(ValueError, match="reserved"):
-            mutate_immundata(idata, **{name: F.lit(1)})
-    rows = {r.pos: r for r in mutate_immundata(idata, seq_options=make_seq_options("seq", ["CASSA", "CASS"], "lev", name_type="pattern")).annotations.collect()}
+            mutate_data(idata, **{name: F.lit(1)})
+    rows = {r.pos: r for r in mutate_data(idata, seq_options=make_seq_options("seq", ["CASSA", "CASS"], "lev", name_type="pattern")).annotations.collect()}
     assert all(rows[i]["imd_sim_lev_CASSA"] == (None if s is None else edit(s, "CASSA")) for i, s in enumerate(SEQ))
     rows = {r.pos: r for r in idata.mutate(seq_options=make_seq_options("seq", ["CASSB"], "hamm")).annotations.collect()}
     assert len(rows) == len(SEQ) and rows[0]["imd_sim_hamm_1"] == 1 and rows[2]["imd_sim_hamm_1"] is None and rows[4]["imd_sim_hamm_1"] is None

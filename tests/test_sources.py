@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from airrline import (
-    agg_receptors, from_immunarch, get_test_idata, imd_drop_cols, imd_files, imd_meta_schema, imd_rename_cols, imd_repertoire_schema, imd_schema,
+    agg_receptors, from_frames, get_test_idata, imd_drop_cols, imd_files, imd_meta_schema, imd_rename_cols, imd_repertoire_schema, imd_schema,
     imd_schema_sym, make_barcode_prefix, make_default_postprocessing, make_default_preprocessing, make_exclude_columns, make_productive_filter,
-    read_immundata, read_metadata, read_repertoires, write_immundata,
+    open_dataset, read_metadata, read_repertoires, save_dataset,
 )
 from airrline.samples import write_sample_files
 from airrline.sources.scan import file_kind, scan_tables
@@ -34,21 +34,21 @@ def test_sample_round_trip(spark, tmp_path):
     assert {r[0] for r in rows.select(F.substring("imd_barcode", 1, 3)).distinct().collect()} == {"S1_", "S2_"}
     meta = json.loads((tmp_path / "saved" / "metadata.json").read_text())
     assert meta["receptor_schema"] == {"features": ["cdr3_aa", "v_call"], "chains": {}} and meta["repertoire_schema"] == {}
-    again = read_immundata(spark, str(tmp_path / "saved"))
+    again = open_dataset(spark, str(tmp_path / "saved"))
     assert again.annotations.exceptAll(rows).isEmpty() and again.annotations.count() == rows.count()
     by_sheet = read_repertoires(spark, str(tmp_path / "*1k*.tsv"), ["cdr3_aa"], metadata=str(tmp_path / "metadata.tsv"), output_folder=str(tmp_path / "b"), repertoire_schema="Therapy")
     assert by_sheet.repertoires.count() == 2
-    write_immundata(by_sheet, str(tmp_path / "c"))
-    assert read_immundata(spark, str(tmp_path / "c")).schema_repertoire == ("Therapy",)
+    save_dataset(by_sheet, str(tmp_path / "c"))
+    assert open_dataset(spark, str(tmp_path / "c")).schema_repertoire == ("Therapy",)
     with pytest.raises(FileNotFoundError):
-        read_immundata(spark, str(tmp_path / "nowhere"))
+        open_dataset(spark, str(tmp_path / "nowhere"))
 
 
 def test_ingest_options_and_errors(spark, tmp_path):
     write_sample_files(str(tmp_path), 50)
     one = str(tmp_path / "sample_0_1k.tsv")
     plain = read_repertoires(spark, one, ["cdr3_aa"], preprocess={}, postprocess={})
-    assert plain.annotations.count() == 50 and os.path.exists(tmp_path / "immundata-sample_0_1k" / "metadata.json")
+    assert plain.annotations.count() == 50 and os.path.exists(tmp_path / "airrline-sample_0_1k" / "metadata.json")
     steps = {"drop": make_exclude_columns(["sequence", "fwr1", "absent"])}
     named = read_repertoires(spark, one, ["cdr3", "v_call"], preprocess=steps, postprocess={}, rename_columns={"cdr3": "cdr3_aa"}, output_folder=str(tmp_path / "o"))
     assert not {"sequence", "fwr1", "cdr3_aa"} & set(named.annotations.columns) and named.schema_receptor.features == ("cdr3", "v_call")
@@ -115,11 +115,11 @@ def test_steps(spark):
 def test_list_of_frames(spark, tmp_path):
     data = {"one": pd.DataFrame({"CDR3.aa": ["A", "B"], "V.name": ["v", "v"]}), "two": spark.createDataFrame([("A", "v", 5)], "`CDR3.aa` string, `V.name` string, Clones int")}
     meta = pd.DataFrame({"Sample": ["one", "two"], "Status": ["x", "y"]})
-    idata = from_immunarch(spark, {"data": data, "meta": meta}, str(tmp_path / "o"))
+    idata = from_frames(spark, {"data": data, "meta": meta}, str(tmp_path / "o"))
     assert {(r.repertoire_id, r.n_receptors) for r in idata.repertoires.collect()} == {("one", 2), ("two", 1)}
     assert idata.annotations.filter("Status = 'y'").first().n_repertoires == 2
     with pytest.raises(ValueError):
-        from_immunarch(spark, {"data": data}, str(tmp_path / "q"))
+        from_frames(spark, {"data": data}, str(tmp_path / "q"))
 
 
 def test_streaming(spark, tmp_path):
