@@ -29,16 +29,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from airrline.llm.common import as_bytes, map_arrow, sliced
-from airrline.plans.materialize import materialize
+from airrline.llm.common import as_bytes, map_arrow, sliced, store
 
 ORDER = 5
 SHARE = 5e-7  # of the corpus's bytes, that a trained node needs
 COMMON = 1e-6  # of the corpus's words, that a common word makes up
 WORD_BYTES = 64  # of a word that can count as common; with COMMON, this bounds the broadcast
 _PAD, _END, _DEPTH = 0xFE, 0xFF, 56  # the depth of a gram stands in its upper bits
-_BATCH = 4 << 20
-_HOLD = 3_000_000  # distinct grams held in a task before counts are handed on
+_BATCH = 1 << 20
+_HOLD = 1_500_000  # distinct grams held in a task before counts are handed on
 
 
 def _symbols(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +72,7 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in sliced(batches, 0, _BATCH):
             held.append(np.unique(_symbols(batch.column(0), order)[0], return_counts=True))
-            if len(held) > 4:
+            if len(held) > 8:
                 held = [add(*map(np.concatenate, zip(*held, strict=True)))]
                 if len(held[0][0]) > _HOLD:
                     yield from batch_of(*held.pop())
@@ -251,7 +250,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 held.update(_words(text))
             held[b""] += batch.num_rows
-            if len(held) > 500_000:
+            if len(held) > 300_000:
                 yield _word_rows(held)
                 held.clear()
         yield _word_rows(held)
@@ -283,7 +282,7 @@ def score(docs: DataFrame, training: DataFrame | None = None, id_col: str = "doc
     held = held_out(id_col)
     training = docs.filter(~held) if training is None else training
     model = train(training, text_col, order, share)
-    vocabulary = materialize(word_counts(training.select(text_col)))
+    vocabulary = store(word_counts(training.select(text_col)))
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     common = (F.col("n") >= COMMON * total) & (F.octet_length("word") <= WORD_BYTES)
     listed = vocabulary.filter(common).toArrow()
