@@ -86,21 +86,22 @@ class _Lookup:
     """Index of codes in a sorted table, -1 if absent: a hash table, and a search for the few that collide."""
 
     def __init__(self, codes: np.ndarray):
-        self.bits = max(4, (8 * len(codes)).bit_length())
-        self.keys = np.full(1 << self.bits, np.uint64((1 << 64) - 1))
+        self.codes = codes
+        self.bits = max(4, (4 * len(codes)).bit_length())
         self.at = np.full(1 << self.bits, -1, np.int32)
         slot = self._slot(codes)
-        self.keys[slot] = codes
         self.at[slot] = np.arange(len(codes))
-        lost = np.flatnonzero(self.keys[slot] != codes)
+        lost = np.flatnonzero(self.at[slot] != np.arange(len(codes)))
         self.lost, self.lost_at = codes[lost], lost.astype(np.int32)
 
     def _slot(self, codes: np.ndarray) -> np.ndarray:
         return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def __call__(self, codes: np.ndarray) -> np.ndarray:
-        slot = self._slot(codes)
-        found = np.where(self.keys[slot] == codes, self.at[slot], -1)
+        if not len(self.codes):
+            return np.full(len(codes), -1, np.int32)
+        found = self.at[self._slot(codes)]
+        found[self.codes[found] != codes] = -1
         if len(self.lost):
             miss = np.flatnonzero(found < 0)
             i = np.minimum(np.searchsorted(self.lost, codes[miss]), len(self.lost) - 1)
