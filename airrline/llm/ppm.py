@@ -184,7 +184,7 @@ class Model:
 def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, share: float = SHARE) -> Model:
     """Gather a model's counts over all of ``docs``; NULL texts are empty. No documents give an empty model."""
     total = docs.agg(F.sum(F.octet_length(F.coalesce(text_col, F.lit(""))).cast("long") + F.lit(1))).first()[0] or 0
-    kept = gram_counts(docs.select(text_col), order).filter(F.col("n") >= max(1, math.ceil(share * total))).toArrow()
+    kept = store(gram_counts(docs.select(text_col), order).filter(F.col("n") >= max(1, math.ceil(share * total)))).toArrow()
     return Model(order, kept["gram"].to_numpy(), kept["n"].to_numpy(), uuid4().hex)
 
 
@@ -327,7 +327,7 @@ def score(docs: DataFrame, training: DataFrame | None = None, id_col: str = "doc
             ], names=["key", "id", "held_out", "n_tokens", "n_known", "common", "score", "word", "n"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).alias("text"))
-    told = rows.transform(map_arrow, run, fields.format(rows.schema["id"].dataType.simpleString()))
+    told = store(rows.transform(map_arrow, run, fields.format(rows.schema["id"].dataType.simpleString())))
     rare = vocabulary.filter(~common).select("word", F.col("n").alias("c"))
     joined = told.join(rare, "word", "left")
     seen = F.col("c").isNotNull()
