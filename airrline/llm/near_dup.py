@@ -10,11 +10,11 @@ their shingle sequences matches four fifths of both together or more.
 Equal texts are one node from the start. Within a bucket, nodes are compared
 with one leader, the one that is in most buckets, which settles groups of copies
 with as many comparisons as members. Where a bucket then still holds several
-classes, it is compared across them if it has a few nodes; a larger one is split
-by further sketches, and each part's nodes are compared with the part's leader.
-So comparisons stay in proportion to the rows of the buckets, and minima, not
-lists, are what is shuffled for hot ones. Similar texts share a dozen buckets
-and more, so a link that one bucket's leaders miss is met in others.
+classes, nodes outside its largest class lead in turn, one a bucket and round,
+while that brings classes together. What is then still apart is compared pair by
+pair, large buckets in blocks, so of the texts that share a bucket all are in one
+class or have been compared: comparisons grow with the nodes outside the largest
+class of a bucket times its size.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ SHINGLE = 5
 SIMILAR = 0.8
 SKETCHES, ELEMENTS = 64, 8  # agree with odds of 0.8 ** 8 each at the threshold: all 64 miss once in 100,000
 SHORT, SHORT_SKETCHES, SHORT_ELEMENTS = 40, 24, 2  # shingles up to which a text has these sketches as well
-SMALL = 8  # nodes of a bucket whose classes are all compared with each other
-NEXT = 4  # sketches that split a larger bucket, each for itself
+STALLED = 0.8  # share of the pairs apart that a round of leaders may leave, for another round to follow
+BLOCK = 1000  # nodes of a bucket that meet those outside its largest class in one place
 _BATCH = 1 << 20
 _R = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 ** 64
 _MASK = (1 << 64) - 1
@@ -211,13 +211,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = store(nodes.select("digest", "id", F.col("s.n").alias("n"), F.col("s.keys").alias("keys"), F.monotonically_increasing_id().alias("node")))
 
     # buckets with more than one text; a node's rank is the number of its buckets
-    every = nodes.select("node", "n", F.posexplode("keys").alias("place", "key"))
+    every = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = every.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
     rows = every.join(shared, "key", "left_semi")
     rank = rows.groupBy("node").agg(F.count("*").alias("rank"))
-    wanted = store(rank.join(nodes.select("node", "digest", "id", F.concat("keys", "keys").alias("twice")), "node"))
-    following = F.slice("twice", F.col("place") + 2, F.lit(NEXT))
-    rows = store(rows.join(wanted.select("node", "rank", "twice"), "node").select("key", "node", "n", "rank", following.alias("next")))
+    wanted = store(rank.join(nodes.select("node", "digest", "id"), "node"))
+    rows = store(rows.join(wanted.select("node", "rank"), "node").select("key", "node", "n", "rank"))
     texts = store(_texts_of(docs, wanted, id_col, text_col))
 
     lead = rows.groupBy("key").agg(F.max(F.struct("rank", -F.col("node"), "n")).alias("s")).select("key", (-F.col("s.col2")).alias("a"), F.col("s.n").alias("n_a"))
@@ -231,25 +230,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = store(edges.unionByName(_verify(others, texts)))
     classes = components(edges)
 
-    placed = _with_class(rows, classes, "node", "class")
-    split = placed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
-    placed = store(placed.join(split.select("key", "size"), "key"))
-    # small buckets: all that are still apart; large ones: with a leader in each bucket of two sketches
-    small = placed.filter(F.col("size") <= SMALL).select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("class").alias("class_a"))
-    other = small.select("key", F.col("a").alias("b"), F.col("n_a").alias("n_b"), F.col("class_a").alias("class_b"))
-    allowed = (F.col("class_a") != F.col("class_b")) & _lengths_allow("n_a", "n_b")
-    near = small.join(other, (small["key"] == other["key"]) & (F.col("a") < F.col("b")) & allowed).select("a", "b")
-    large = placed.filter(F.col("size") > SMALL)
-    allowed = (F.col("class_a") != F.col("class")) & _lengths_allow("n_a", "n")
-    pairs = near
-    for i in range(NEXT):
-        part = large.select("node", "n", "class", "rank", F.xxhash64("key", F.col("next")[i]).alias("both"))
-        lead = part.groupBy("both").agg(F.max(F.struct("rank", -F.col("node"), "n", "class")).alias("s"))
-        lead = lead.select(F.col("both").alias("of"), (-F.col("s.col2")).alias("a"), F.col("s.n").alias("n_a"), F.col("s.class").alias("class_a"))
-        pairs = pairs.unionByName(part.join(lead, (F.col("both") == F.col("of")) & allowed).select("a", F.col("node").alias("b")))
-    pairs = pairs.distinct().join(met.select("a", "b"), ["a", "b"], "left_anti")
-    edges = store(edges.unionByName(_verify(pairs, texts)))
-    classes = components(edges)
+    # a bucket's nodes outside its largest class lead in turn while that brings classes together; then all that are apart meet
+    tested, before = met.select("a", "b"), None
+    while True:
+        placed = store(_unsettled(rows.select("key", "node", "n"), classes))
+        pairs_left = placed.filter("outside").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        if not pairs_left or (before is not None and pairs_left > STALLED * before):
+            break
+        before = pairs_left
+        turn = F.xxhash64("key", "node", F.lit(before))  # another order each round
+        lead = placed.filter("outside").groupBy("key").agg(F.min(F.struct(turn.alias("turn"), "node", "n", "class")).alias("s"))
+        lead = lead.select("key", F.col("s.node").alias("a"), F.col("s.n").alias("n_a"), F.col("s.class").alias("class_a"))
+        pairs = placed.join(lead, "key").filter((F.col("class") != F.col("class_a")) & _lengths_allow("n", "n_a")).select("a", F.col("node").alias("b"))
+        pairs = store(_untested(pairs, tested))
+        edges = store(edges.unionByName(_verify(pairs, texts)))
+        tested, classes = tested.unionByName(pairs), components(edges)
+    if pairs_left:
+        edges = store(edges.unionByName(_verify(store(_untested(_across(placed), tested)), texts)))
+        classes = components(edges)
 
     links = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().groupBy("a").agg(F.count("*").alias("n_links"))
     told = _with_class(nodes.select("node", "digest", "id"), classes, "node", "class").join(links.withColumnRenamed("a", "node"), "node", "left")
@@ -296,3 +294,30 @@ def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of different classes."""
     both = _with_class(_with_class(pairs, classes, "a", "__ca"), classes, "b", "__cb")
     return both.filter(F.col("__ca") != F.col("__cb")).drop("__ca", "__cb")
+
+
+def _unsettled(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (key, node, n) of buckets with several classes: ``class``, the bucket's ``size``, and whether the node is ``outside`` its largest class."""
+    placed = _with_class(rows, classes, "node", "class")
+    sizes = placed.groupBy("key", "class").agg(F.count("*").alias("m"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("m", "class")).alias("s"), F.sum("m").alias("size"), F.count("*").alias("n_classes"))
+    most = most.filter("n_classes > 1").select("key", "size", F.col("s.class").alias("largest"))
+    return placed.join(most, "key").select("key", "node", "n", "class", "size", (F.col("class") != F.col("largest")).alias("outside"))
+
+
+def _across(placed: DataFrame) -> DataFrame:
+    """All pairs (a, b) of a bucket's nodes that are in different classes; a node outside the largest class goes to all blocks of its bucket."""
+    blocks = F.floor((F.col("size") - 1) / BLOCK).cast("int") + 1
+    b = placed.select("key", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("class").alias("class_b"), "outside")
+    a = placed.filter("outside").select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("class").alias("class_a"))
+    once = ~b["outside"] | (a["a"] < b["b"])
+    on = (a["key"] == b["key"]) & (a["block"] == b["block"]) & once & (a["class_a"] != b["class_b"]) & _lengths_allow("n_a", "n_b")
+    return a.join(b, on).select("a", "b")
+
+
+def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    """Pairs (a, b), once each whichever way round, that are not among those tested."""
+    def ordered(df: DataFrame) -> DataFrame:
+        return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    return ordered(pairs).distinct().join(ordered(tested), ["a", "b"], "left_anti")

@@ -311,6 +311,37 @@ def test_near_duplicates_against_all_pairs(spark):
     assert near_dup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_near_duplicates_in_a_large_family(spark):
+    """Edited copies of one text, most of them a little less alike than a link needs: classes hang on single links."""
+    r = random.Random(11)
+    base = words(245, 77, 5000).split()
+    rows = []
+    for i in range(1000):
+        own = list(base)
+        for at in r.sample(range(len(own)), 4):
+            own[at] = f"edit{r.random()}"
+        rows.append((i, " ".join(own)))
+    shingles = [near_dup.text_shingles(t) for _, t in rows]
+    where = {x: k for k, x in enumerate(sorted({x for s in shingles for x in s}))}
+    has = np.zeros((len(rows), len(where)), np.float32)
+    for i, s in enumerate(shingles):
+        has[i, [where[x] for x in s]] = 1
+    shared = has @ has.T
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in np.argwhere(np.triu(shared / (2 * len(shingles[0]) - shared) >= near_dup.SIMILAR - 1e-6, 1)).tolist():
+        if near_dup.alignment(shingles[i], {x: k for k, x in enumerate(shingles[j])}, len(shingles[j])) >= near_dup.SIMILAR:
+            parent[max(find(i), find(j))] = min(find(i), find(j))
+    expected = {(i, find(i)) for i in range(len(rows))}
+    assert len({c for _, c in expected}) > 20
+    assert {(x.doc_id, x.class_id) for x in near_dup.near_duplicates(docs(spark, rows)).collect()} == expected
+
+
 def test_alignment_respects_order():
     a = list(range(100))
     assert near_dup.alignment(a, {x: i for i, x in enumerate(a)}, 100) == 1
