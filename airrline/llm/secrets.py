@@ -29,7 +29,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # shorter runs fail anyway and overlap no other match
 KINDS = ("assign", "access", "hex", "random")
 
+LEAST = 20  # characters of a token or piece that is tested
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PART = re.compile(r"[^=]+(?:=+\Z)?")  # with the padding at the token's end
+RUNS = (re.compile(r"[^_-]+"), re.compile(r"[^+/]+"))
 FDR = 0.05  # share of false discoveries among a document's tokens
 NOT_RANDOM = 0.001  # tokens that fail any randomness test at this level are not secrets
 _ALPHABETS = {
@@ -112,24 +115,36 @@ def _varied(token: str) -> bool:
     return any(ch.isdigit() for ch in token) and any(ch.isalpha() for ch in token)
 
 
+def _pieces(token: str, at: int) -> list[tuple[int, int]]:
+    """Spans of a token to test: what is between inner "=", and of that which no alphabet holds, the longest runs of base64 and of base64url."""
+    out: list[tuple[int, int]] = []
+    for m in PART.finditer(token):
+        if infer_encoding(m[0]) is not None:
+            runs = {m.span()}
+        else:
+            runs = {(m.start() + x.start(), m.start() + x.end()) for cut in RUNS for x in cut.finditer(m[0])}
+        out += sorted((at + a, at + b) for a, b in runs if b - a >= LEAST)
+    return out
+
+
 def random_spans(text: str, taken: list[tuple[int, int]], fdr: float = FDR) -> list[tuple[int, int]]:
     """Spans of random-looking tokens that overlap none of ``taken``."""
     tested = []
-    for m in TOKEN.finditer(text):
-        a, b = m.span()
+    for a, b in (x for m in TOKEN.finditer(text) for x in _pieces(m[0], m.start())):
         if any(a < e and s < b for s, e in taken):
             continue
-        encoding = infer_encoding(m[0])
-        if encoding is None or encoding == "decimal" or not _varied(m[0]):
+        encoding = infer_encoding(text[a:b])
+        if encoding is None or encoding == "decimal" or not _varied(text[a:b]):
             continue
-        *random, p_text = battery(m[0], encoding)
+        *random, p_text = battery(text[a:b], encoding)
         tested.append((p_text, min(random), a, b))
     if not tested:
         return []
     mean = sum(b - a for _, _, a, b in tested) / len(tested)
     weighted = sorted((p * mean / (b - a), r, a, b) for p, r, a, b in tested)  # weights average 1
     cut = max((i for i, x in enumerate(weighted, 1) if x[0] <= fdr * i / len(weighted)), default=0)
-    return sorted((a, b) for _, r, a, b in weighted[:cut] if r >= NOT_RANDOM)
+    found = [(a, b) for _, r, a, b in weighted[:cut] if r >= NOT_RANDOM]
+    return sorted((a, b) for a, b in found if not any(s <= a and b <= e and (s, e) != (a, b) for s, e in found))
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:

@@ -245,6 +245,21 @@ def test_secrets_power_and_false_alarms():
     assert found > 150 and false < 10
 
 
+def test_secrets_within_longer_tokens():
+    r = random.Random(12)
+    shown = {x: 0 for x in ("AWS_SECRET_ACCESS_KEY={}", "DB_KEY={}==", "https://h.example/x?sig={}&a=1", "/api_v1/{}")}
+    for _ in range(100):
+        key = "".join(r.choices(secrets._ALPHABETS["base64"], k=60))
+        for form in shown:
+            text = form.format(key)
+            at = text.index(key)
+            shown[form] += any(a <= at and b >= at + len(key) for a, b, _ in secrets.scan(text))
+    assert min(shown.values()) > 80, shown
+    assert [secrets.scan("DB_KEY=" + "".join(random.Random(5).choices(secrets._ALPHABETS["base64"], k=60)))] == [[(7, 67, "random")]]
+    false = sum(bool(secrets.scan(f"/some_path2024/{'-'.join(words(5, i).split())}+{'_'.join(words(5, -i).split())}=2024")) for i in range(200))
+    assert false < 10
+
+
 def test_decontaminate_against_scoring_all(spark):
     items = [(i, words(30, 100 + i) + ". " + words(8, 200 + i), "x") for i in range(40)] + [(99, None, "x"), (98, "...", "x"), (0, words(30, 100) + ". " + words(8, 200), "x")]
     bench = spark.createDataFrame(items, "item_id long, text string, leaks string")
