@@ -7,8 +7,9 @@ found once says all. Presentation: a node laid out one way on every page is a
 template, one with many layouts is written by hand. Blocks of nodes whose
 importance is low are cut from every page of the host. Elements that say
 themselves that they are page furniture (nav, footer, class "ad" ...) count as
-unimportant, and plain text of an article as important, whatever the host's
-other pages show; a host of a page or two has nothing else to go by.
+unimportant, whatever the host's other pages show; plain text of an article as
+important, unless most pages of the host have the same text in the same node. A
+host of a page or two has nothing else to go by.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from airrline.llm.common import map_arrow, sliced, store
 
 LOW = 0.6  # importance up to which a node is cut
+MOST = 0.5  # share of a host's pages with the same plain text at the same place, beyond which it is cut there
 LEAST_PAGES = 4  # of a node, before its entropies mean anything
 CONTENT_WEIGHT = 0.9
 BROADCAST_HOSTS = 50_000  # hosts with nodes to cut, up to which the list is broadcast
@@ -190,15 +192,23 @@ def parse(page: str | None) -> tuple[list[Block], list[tuple[str, str]]]:
     return blocks, layouts
 
 
-def main_text(page: str | None, cut: frozenset[int]) -> str:
-    """Text of a page without furniture and without the nodes in ``cut``; with an article, only what is in one."""
+def _said(block: Block) -> int:
+    """A key of a block's text in its node."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(f"{block.path}\n{block.text}") >> 1
+
+
+def main_text(page: str | None, cut: frozenset[int], repeated: frozenset[int] = frozenset()) -> str:
+    """Text of a page without furniture, the nodes in ``cut`` and the plain texts in ``repeated``; with an article, only what is in one."""
     blocks, _ = parse(page)
     marked = any(b.article and not b.furniture for b in blocks)
-    return "\n".join(b.text for b in blocks if not b.furniture and (b.plain or (b.article or not marked) and crc32(b.path.encode()) not in cut))
+    return "\n".join(b.text for b in blocks if not b.furniture and (not (repeated and _said(b) in repeated) if b.plain else (b.article or not marked) and crc32(b.path.encode()) not in cut))
 
 
 def tree_counts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The merged trees as counts: ``host, node, kind, value, n``; kind 0 is a block's text, 1 a layout.
+    """The merged trees as counts: ``host, node, kind, value, n``; kind 0 is a block's text, 1 a layout,
+    2 a plain block's text with its path, and 3 the page itself.
 
     A page counts once for each value. Counts are summed in each task before
     they are shuffled, so a host with most of the pages is no hot key.
@@ -220,6 +230,8 @@ def tree_counts(pages: DataFrame, url_col: str = "url", html_col: str = "html")
                 blocks, layouts = parse(page)
                 seen = {(crc32(b.path.encode()), 0, xxhash.xxh64_intdigest(b.text) >> 1) for b in blocks}
                 seen |= {(crc32(p.encode()), 1, xxhash.xxh64_intdigest(x) >> 1) for p, x in layouts}
+                seen |= {(crc32(b.path.encode()), 2, _said(b)) for b in blocks if b.plain and not b.furniture}
+                seen.add((0, 3, 0))
                 for key in seen:
                     counts[host, *key] += 1
             if len(counts) > _FLUSH:
@@ -239,7 +251,7 @@ def importance(counts: DataFrame) -> DataFrame:
     the entropy of layouts, in units of log(pages).
     """
     content, layout = F.col("kind") == 0, F.col("kind") == 1
-    node = counts.groupBy("host", "node").agg(
+    node = counts.filter(content | layout).groupBy("host", "node").agg(
         F.sum(F.when(content, F.col("n"))).alias("blocks"), F.sum(F.when(content, F.col("n") * F.log("n"))).alias("repeated"), F.max("n").alias("most"),
         F.sum(F.when(layout, F.col("n"))).alias("laid"), F.sum(F.when(layout, F.col("n") * F.log("n"))).alias("same"),
     )
@@ -259,16 +271,20 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     broadcast while their hosts are few, else by a join on the host, whose hot
     hosts Spark's adaptive join splits.
     """
-    weak = importance(tree_counts(pages, url_col, html_col)).filter((F.col("importance") <= low) & (F.col("pages") >= LEAST_PAGES))
-    cut = store(weak.groupBy("host").agg(F.collect_set("node").alias("cut")))
+    counts = store(tree_counts(pages, url_col, html_col))
+    weak = importance(counts).filter((F.col("importance") <= low) & (F.col("pages") >= LEAST_PAGES)).select("host", "node", F.lit(None).cast("long").alias("value"))
+    whole = counts.filter("kind = 3").select("host", F.col("n").alias("whole"))
+    said = counts.filter((F.col("kind") == 2) & (F.col("n") >= LEAST_PAGES)).join(whole, "host").filter(F.col("n") > MOST * F.col("whole"))
+    weak = weak.unionByName(said.select("host", F.lit(None).cast("long").alias("node"), "value"))
+    cut = store(weak.groupBy("host").agg(F.collect_set("node").alias("cut"), F.collect_set("value").alias("repeated")))
     few = cut.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col))
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rows = rows.withColumn("__host", host).join((F.broadcast(cut) if few else cut).withColumnRenamed("host", "__host"), "__host", "left").select(id_col, url_col, html_col, "cut")
+    rows = rows.withColumn("__host", host).join((F.broadcast(cut) if few else cut).withColumnRenamed("host", "__host"), "__host", "left").select(id_col, url_col, html_col, "cut", "repeated")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 2):
-            texts = [main_text(p, frozenset(c or ())) for p, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [main_text(p, frozenset(c or ()), frozenset(t or ())) for p, c, t in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=[id_col, url_col, "text"])
 
     kinds = [rows.schema[i].dataType.simpleString() for i in (0, 1)]

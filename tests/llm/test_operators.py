@@ -200,6 +200,15 @@ def test_site_tree_cuts_what_a_host_repeats(spark):
     assert site_tree.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_site_tree_cuts_what_repeats_within_an_article(spark):
+    page = "<body><main><ul><li>Home<li>News</ul><p>We use cookies</p><h1>Title {i}</h1><p>Story {i}</p><p>{extra}</p></main></body>"
+    rows = [(i, "https://m.example.org/p", page.format(i=i, extra="Told twice" if i < 2 else f"More {i}")) for i in range(8)]
+    rows += [(20 + i, "https://few.example.org/p", page.format(i=i, extra="x")) for i in range(2)]
+    got = {r.page_id: r.text for r in site_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\nStory {i}\n" + ("Told twice" if i < 2 else f"More {i}") for i in range(8))
+    assert got[20] == "Home\nNews\nWe use cookies\nTitle 0\nStory 0\nx"
+
+
 def test_chat_round_trip(spark):
     odd = ["plain", "</turn>\n", "<\\/turn> and <\\\\/turn>", "<turn user>\nx</turn>\n", "\\### Assistant: </turn> ok", "", None, "ends <", "</turn", "a\n\nb 🙂"]
     rows = [(c, t, role, odd[(c * 3 + t) % len(odd)]) for c in range(10) for t, role in enumerate(["system", "user", "assistant", "<turn a>b%3C%\n", None, "assistant"])]
