@@ -195,11 +195,11 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: ``id_col, class_id, n_links, digest``.
+    """One row for each document: ``id_col, class_id, n_verified, digest``.
 
     ``class_id`` is the smallest id among the documents linked with it, directly
-    or through others (itself if none); ``n_links`` counts the links found to
-    its text from other texts. NULL texts are empty; equal texts, empty ones
+    or through others (itself if none); ``n_verified`` counts the comparisons with
+    other texts that found a link; texts already in one class are not compared. NULL texts are empty; equal texts, empty ones
     too, are one class; texts without words link to no other text; texts of one
     to four words have one shingle and link to those of the same words. Rows
     with a repeated id each come back; NULL ids form no class of their own but
@@ -249,11 +249,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         edges = store(edges.unionByName(_verify(store(_untested(_across(placed), tested)), texts)))
         classes = components(edges)
 
-    links = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().groupBy("a").agg(F.count("*").alias("n_links"))
+    links = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().groupBy("a").agg(F.count("*").alias("n_verified"))
     told = _with_class(nodes.select("node", "digest", "id"), classes, "node", "class").join(links.withColumnRenamed("a", "node"), "node", "left")
     smallest = told.groupBy("class").agg(F.min("id").alias("class_id"))
-    told = told.join(smallest, "class").select("digest", "class", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return drawn.select("id", "digest").join(told, "digest").select(F.col("id").alias(id_col), "class_id", "n_links", "digest", "class")
+    told = told.join(smallest, "class").select("digest", "class", "class_id", F.coalesce("n_verified", F.lit(0)).alias("n_verified"))
+    return drawn.select("id", "digest").join(told, "digest").select(F.col("id").alias(id_col), "class_id", "n_verified", "digest", "class")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

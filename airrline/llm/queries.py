@@ -121,7 +121,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_verified")
 
 
 @query

@@ -366,6 +366,11 @@ def test_near_duplicates_in_a_large_family(spark):
     assert {(x.doc_id, x.class_id) for x in near_dup.near_duplicates(docs(spark, rows)).collect()} == expected
 
 
+def test_near_duplicates_name_what_they_count(spark):
+    found = near_dup.near_duplicates(docs(spark, [(1, words(200, 1)), (2, words(200, 1) + " end")]))
+    assert "n_links" not in found.columns and [x.n_verified for x in found.collect()] == [1, 1]
+
+
 def test_alignment_respects_order():
     a = list(range(100))
     assert near_dup.alignment(a, {x: i for i, x in enumerate(a)}, 100) == 1
