@@ -1,44 +1,61 @@
 """HTML main text by a site style tree.
 
-Pages of one host are merged into one tree: a node is a path of block elements
-with their presentation (tag, class, id). Two entropies weigh a node. Content:
-a block found on many of the node's pages says little about any of them, one
-found once says all. Presentation: a node laid out one way on every page is a
-template, one with many layouts is written by hand. Blocks of nodes whose
-importance is low are cut from every page of the host. Elements that say
-themselves that they are page furniture (nav, footer, class "ad" ...) count as
-unimportant, whatever the host's other pages show; plain text of an article as
-important, unless most pages of the host have the same text in the same node. A
-host of a page or two has nothing else to go by.
+Pages of one host are merged into one tree. A presentation node is a path of
+block elements with their tag, class and id; the pieces of text (sentences of
+short blocks, else whole blocks) that stand in it are its content nodes. Two
+entropies weigh a presentation node. Content: a piece found on many of the
+node's pages says little about any of them, one found once says all; the mean
+over the node's characters counts. Presentation: a node laid out one way on
+every page is a template, one with many layouts is written by hand. The same
+paths merged over all hosts give a second importance, for hosts that show a node
+on few pages and for texts that a publisher puts on many hosts; the smaller of
+the two counts. A node of fewer than LEAST_PAGES pages has importance 1.
+
+A block is cut where its node's importance, less a prior, is LOW or less. The
+prior speaks for an article or main element, against what stands outside the
+page's article, and more so against elements that name themselves as furniture
+(nav, footer, class "ad" ...): their texts can differ from page to page, as
+adverts and reader comments do, and no entropy shows that. A block whose pieces
+all stand in the same node on over half of the host's pages is cut too, in an
+article as well.
+
+Pages are counted by their body (all text but named furniture and what is outside
+the article), so copies of one page under many addresses do not make its article
+look like a template. The count of different bodies is an estimate from 64 bits.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F
 
 from airrline.llm.common import map_arrow, sliced, store
 
-LOW = 0.6  # importance up to which a node is cut
-MOST = 0.5  # share of a host's pages with the same plain text at the same place, beyond which it is cut there
+LOW = 0.7  # importance, less the prior, up to which a node is cut
+INSIDE, OUTSIDE, NAMED = -0.4, 0.3, 0.45  # priors: in an article, beside the page's article, furniture by name
+MOST = 0.5  # share of a host's pages with the same piece in the same node, beyond which it is cut there
 LEAST_PAGES = 4  # of a node, before its entropies mean anything
 CONTENT_WEIGHT = 0.9
-BROADCAST_HOSTS = 50_000  # hosts with nodes to cut, up to which the list is broadcast
+SHORT = 300  # characters of a block up to which its sentences are its pieces
+DEEPEST = 512  # open elements; deeper ones count as part of the last
+BROADCAST_CUTS = 1_000_000  # nodes and pieces to cut, up to which they are broadcast
 _FLUSH = 200_000  # counts held in a task before they are handed on
+_PIECE, _LAYOUT, _SEEN = 0, 1, 2
 
 # Element and class names with a meaning in HTML or by wide custom.
 _BLOCK = frozenset(
     "address article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
     "hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
-_FURNITURE = frozenset("aside audio button canvas dialog footer form head iframe menu nav noscript object script search select style svg template textarea title video".split())
+_UNSEEN = frozenset("audio canvas head iframe noscript object script style svg template textarea title video".split())  # not shown as text of the page
+_FURNITURE = frozenset("aside button dialog footer form menu nav search select".split())
 _FURNITURE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 _FURNITURE_WORDS = frozenset(
     "ad ads adbox advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus "
@@ -46,35 +63,38 @@ _FURNITURE_WORDS = frozenset(
     "sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split()
 )
 _OUTSIDE_WORDS = frozenset("footer header masthead".split())  # furniture of the page, but not of an article
+_RAW_TAGS = frozenset("script style textarea title noscript template iframe".split())
 _RAW = re.compile(r"</(script|style|textarea|title|noscript|template|iframe)\s*>", re.I)
-_FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote section header hgroup figure figcaption table thead tbody tfoot tr td th".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ENDS_P = _BLOCK - {"body", "html", "head", "title", "option", "button", "legend", "td", "th", "tr", "tbody", "thead", "tfoot"}
 _SIBLINGS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 _SAME = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}
+_P_STOPS = ("article", "div", "section", "td", "th", "li", "blockquote", "body", "main", "aside", "form")
+_CROSSES_CELLS = frozenset("table tr td th tbody thead tfoot html body article main".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
+_MARK = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)|(!--)|[!?])")
+_REST = re.compile(r"""((?:[^"'>]|"[^"]*+"|'[^']*+')*+)>""")  # of a tag; a quoted > does not end it
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 _WORDS = re.compile(r"[a-z0-9]+")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\s+[·|•–—-]\s+")
 
 
 @dataclass(slots=True)
 class Block:
-    path: str
+    node: int
     text: str
-    furniture: bool
+    furniture: bool  # by name
     article: bool  # within an article or main element
-    plain: bool  # and there within plain flow elements only
 
 
 @dataclass(slots=True)
 class _Open:
     tag: str
-    path: str
+    node: int
+    unseen: bool
     furniture: bool
     article: bool
-    plain: bool
     children: list[str]
 
 
@@ -83,9 +103,14 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _presentation(tag: str, attrs: str) -> tuple[str, set[str], bool]:
-    """Label of an element, its class and id words, and whether its role or state makes it furniture."""
-    label, words, furniture = tag, set(), False
+def child_node(parent: int, label: str) -> int:
+    """Id of a path: that of the path before and the next element's presentation."""
+    return xxhash.xxh64_intdigest(label, seed=parent) >> 1
+
+
+def _presentation(tag: str, attrs: str) -> tuple[str, set[str], bool, bool]:
+    """Label of an element, its class and id words, whether its role makes it furniture, and whether it is hidden."""
+    label, words, furniture, hidden = tag, set(), False, False
     for m in _ATTR.finditer(attrs) if attrs else ():
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
@@ -95,32 +120,66 @@ def _presentation(tag: str, attrs: str) -> tuple[str, set[str], bool]:
             label += "@" + value
             furniture |= value in _FURNITURE_ROLES
         elif name == "hidden" or value == "true":
-            furniture = True
-    return label, words, furniture
+            hidden = True
+    return label, words, furniture, hidden
 
 
-def parse(page: str | None) -> tuple[list[Block], list[tuple[str, str]]]:
-    """Blocks of text in page order, and (path, child layout) of every element with children."""
+def _markup(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, tag, attributes) of every tag, comment (tag "") and raw text's end, in one pass.
+
+    A tag whose quotes do not pair up ends at the next ">"; where there is none, at the page's end.
+    """
+    at, paired = 0, True
+    while m := _MARK.search(page, at):
+        if m[2] is None:
+            end = page.find("-->" if m[3] else ">", m.end())
+            at = len(page) if end < 0 else end + (3 if m[3] else 1)
+            yield m.start(), at, "", "", ""
+            continue
+        rest = _REST.match(page, m.end()) if paired else None
+        if rest is not None:
+            attrs, at = rest[1], rest.end()
+        else:
+            paired = False  # what was read to the page's end in vain is not read again for each tag
+            end = page.find(">", m.end())
+            attrs, at = (page[m.end() : end], end + 1) if end >= 0 else ("", len(page))
+        tag = m[2].lower()
+        yield m.start(), at, m[1], tag, attrs
+        if tag in _RAW_TAGS and not m[1] and not attrs.endswith("/"):
+            raw = _RAW.search(page, at)
+            while raw and raw[1].lower() != tag:
+                raw = _RAW.search(page, raw.end())
+            start, at = (raw.start(), raw.end()) if raw else (len(page), len(page))
+            yield start, at, "/", tag, ""
+
+
+def parse(page: str | None) -> tuple[list[Block], list[tuple[int, str]]]:
+    """Blocks of text in page order, and (node, child layout) of every element with children."""
     page = page or ""
     blocks: list[Block] = []
-    layouts: list[tuple[str, str]] = []
-    stack = [_Open("", "", False, False, False, [])]
+    layouts: list[tuple[int, str]] = []
+    stack = [_Open("", 0, False, False, False, [])]
     parts: list[str] = []
+    over = 0  # elements open below DEEPEST
 
     def flush() -> None:
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             parts.clear()
-            if text:
-                top = stack[-1]
-                blocks.append(Block(top.path, text, top.furniture, top.article, top.plain))
+            top = stack[-1]
+            if text and not top.unseen:
+                blocks.append(Block(top.node, text, top.furniture, top.article))
+
+    def say(text: str) -> None:
+        if text:
+            parts.append(html.unescape(text) if "&" in text else text)
 
     def close(n: int) -> None:
         while len(stack) > n:
             gone = stack.pop()
             if gone.children:
                 runs = [t for i, t in enumerate(gone.children) if not i or t != gone.children[i - 1]]
-                layouts.append((gone.path, " ".join(runs)))
+                layouts.append((gone.node, " ".join(runs)))
 
     def last(tags: tuple[str, ...], stops: tuple[str, ...] = ()) -> int:
         for i in range(len(stack) - 1, 0, -1):
@@ -131,160 +190,225 @@ def parse(page: str | None) -> tuple[list[Block], list[tuple[str, str]]]:
         return 0
 
     at = 0
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    for start, end, slash, tag, attrs in _markup(page):
+        say(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
         if tag == "br":
             parts.append(" ")
             continue
-        if m[1]:
-            if tag in _BLOCK or any(x.tag == tag for x in stack[1:]):
-                i = last((tag,), ("td", "th", "table") if tag not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "html", "body", "article", "main") else ())
-                if tag in _BLOCK:
-                    flush()
-                if i:
-                    close(i)
-            continue
         block = tag in _BLOCK
-        furniture_tag = tag in _FURNITURE
-        if not block and not furniture_tag:
-            if tag in _VOID or not m[3]:
-                continue
+        if slash:
+            if over and block:
+                flush()
+                over -= 1
+            elif i := last((tag,), () if tag in _CROSSES_CELLS else ("td", "th", "table")):
+                flush()
+                close(i)
+            elif block:
+                flush()
+            continue
+        named = tag in _FURNITURE or tag in _UNSEEN
+        if not block and not named and (tag in _VOID or not attrs):
+            continue
         if block:
             flush()
-            if tag in _ENDS_P and (i := last(("p",), ("article", "div", "section", "td", "th", "li", "blockquote", "body", "main", "aside", "form"))):
+            if tag in _ENDS_P and (i := last(("p",), _P_STOPS)):
                 close(i)
             if tag in _SIBLINGS and (i := last(_SAME.get(tag, (tag,)), _SIBLINGS[tag])):
                 close(i)
-        label, words, furniture = _presentation(tag, m[3])
-        if not block and not furniture_tag and not furniture and not words & _FURNITURE_WORDS:
+        label, words, furniture, hidden = _presentation(tag, attrs)
+        if not block and not named and not furniture and not hidden and not words & _FURNITURE_WORDS:
             continue  # an inline element
-        if tag in _VOID or m[3].endswith("/"):
+        if tag in _VOID or attrs.endswith("/"):
             continue
         if not block:
             flush()
+        if len(stack) > DEEPEST:
+            over += block
+            continue
         top = stack[-1]
         landmark = tag in ("article", "main") or "@main" in label
-        furniture |= furniture_tag or bool(words & _FURNITURE_WORDS)
+        furniture |= tag in _FURNITURE or bool(words & _FURNITURE_WORDS)
         if not top.article:
             furniture |= tag == "header" or bool(words & _OUTSIDE_WORDS)
         if tag in ("html", "body") or landmark:
             furniture = False
         top.children.append(label)
-        stack.append(
-            _Open(tag, f"{top.path}/{label}", top.furniture or furniture, top.article or landmark, landmark or (top.plain and tag in _FLOW and label == tag), [])
-        )
-        if furniture_tag and (raw := _RAW.search(page, at) if tag in ("script", "style", "textarea", "title", "noscript", "template", "iframe") else None):
-            while raw and raw[1].lower() != tag:
-                raw = _RAW.search(page, raw.end())
-            at = raw.end() if raw else len(page)
-            close(len(stack) - 1)
-    if at < len(page):
-        rest = page[at:]
-        if not re.match(r"</?[a-zA-Z!?]", rest):
-            parts.append(rest)
+        stack.append(_Open(tag, child_node(top.node, label), top.unseen or hidden or tag in _UNSEEN, top.furniture or furniture, top.article or landmark, []))
+    say(page[at:])
     flush()
     close(1)
     return blocks, layouts
 
 
-def _said(block: Block) -> int:
-    """A key of a block's text in its node."""
-    import xxhash
+def pieces(text: str) -> list[str]:
+    """The content nodes of a block."""
+    return _SENTENCE.split(text) if len(text) <= SHORT else [text]
+
+
+def _key(text: str, node: int = 0) -> int:
+    return xxhash.xxh64_intdigest(text, seed=node) >> 1
+
+
+def _body(blocks: list[Block], names: bool) -> int:
+    """Which of 64 buckets a page's body falls into, as a bit of a signed long."""
+    marked = names and any(b.article and not b.furniture for b in blocks)
+    own = xxhash.xxh64()
+    for b in blocks:
+        if not names or not b.furniture and (b.article or not marked):
+            own.update(b.text)
+            own.update("\n")
+    bit = own.intdigest() & 63
+    return 1 << bit if bit < 63 else -1 << 63
 
-    return xxhash.xxh64_intdigest(f"{block.path}\n{block.text}") >> 1
 
+def _prior(block: Block, marked: bool, names: bool) -> float:
+    if not names:
+        return 0.0
+    if block.furniture:
+        return NAMED
+    return INSIDE if block.article else OUTSIDE if marked else 0.0
 
-def main_text(page: str | None, cut: frozenset[int], repeated: frozenset[int] = frozenset()) -> str:
-    """Text of a page without furniture, the nodes in ``cut`` and the plain texts in ``repeated``; with an article, only what is in one."""
+
+def main_text(page: str | None, importance: dict[int, float] | None = None, repeated: frozenset[int] = frozenset(), low: float = LOW, names: bool = True) -> str:
+    """Text of a page without the blocks that the importances of its nodes, the priors and the repeated pieces cut."""
     blocks, _ = parse(page)
     marked = any(b.article and not b.furniture for b in blocks)
-    return "\n".join(b.text for b in blocks if not b.furniture and (not (repeated and _said(b) in repeated) if b.plain else (b.article or not marked) and crc32(b.path.encode()) not in cut))
+    importance = importance or {}
+    out = []
+    for b in blocks:
+        if importance.get(b.node, 1.0) - _prior(b, marked, names) <= low + 1e-9:
+            continue
+        if repeated and all(_key(x, b.node) in repeated for x in pieces(b.text)):
+            continue
+        out.append(b.text)
+    return "\n".join(out)
 
 
-def tree_counts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The merged trees as counts: ``host, node, kind, value, n``; kind 0 is a block's text, 1 a layout,
-    2 a plain block's text with its path, and 3 the page itself.
+def tree_counts(pages: DataFrame, url_col: str = "url", html_col: str = "html", names: bool = True) -> DataFrame:
+    """The merged trees as counts: ``host, node, kind, value, n, bodies, chars``.
 
-    A page counts once for each value. Counts are summed in each task before
-    they are shuffled, so a host with most of the pages is no hot key.
+    Kind 0 is a piece of text, 1 a layout, 2 the node itself (node 0: the page).
+    A page counts once in ``n`` for each value; ``bodies`` has the bits of the
+    pages' bodies. Counts are summed in each task before they are shuffled, so a
+    host with most of the pages is no hot key.
     """
-    fields = [("host", pa.string()), ("node", pa.int64()), ("kind", pa.int32()), ("value", pa.int64()), ("n", pa.int64())]
+    fields = [("host", pa.string()), ("node", pa.int64()), ("kind", pa.int32()), ("value", pa.int64()), ("n", pa.int64()), ("bodies", pa.int64()), ("chars", pa.int64())]
     schema = pa.schema(fields)
 
-    def table(counts: Counter) -> pa.RecordBatch:
-        columns = list(zip(*counts.keys(), strict=True)) if counts else [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip([*columns, list(counts.values())], fields, strict=True)], schema=schema)
+    def table(counts: dict[tuple, list[int]]) -> pa.RecordBatch:
+        keys = list(zip(*counts, strict=True)) if counts else [()] * 4
+        sums = list(zip(*counts.values(), strict=True)) if counts else [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip([*keys, *sums], fields, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        counts: Counter = Counter()
+        counts: dict[tuple, list[int]] = {}
         for batch in sliced(batches, 1):
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 host = host_of(url)
                 blocks, layouts = parse(page)
-                seen = {(crc32(b.path.encode()), 0, xxhash.xxh64_intdigest(b.text) >> 1) for b in blocks}
-                seen |= {(crc32(p.encode()), 1, xxhash.xxh64_intdigest(x) >> 1) for p, x in layouts}
-                seen |= {(crc32(b.path.encode()), 2, _said(b)) for b in blocks if b.plain and not b.furniture}
-                seen.add((0, 3, 0))
-                for key in seen:
-                    counts[host, *key] += 1
+                bit = _body(blocks, names)
+                seen = {(b.node, _PIECE, _key(x, b.node)): len(x) + 1 for b in blocks for x in pieces(b.text)}
+                seen |= {(node, _LAYOUT, _key(x)): 0 for node, x in layouts}
+                seen |= {(b.node, _SEEN, 0): 0 for b in blocks}
+                seen[0, _SEEN, 0] = 0
+                for key, chars in seen.items():
+                    if (known := counts.get((host, *key))) is None:
+                        counts[host, *key] = [1, bit, chars]
+                    else:
+                        known[0] += 1
+                        known[1] |= bit
             if len(counts) > _FLUSH:
                 yield table(counts)
                 counts.clear()
         yield table(counts)
 
-    counts = pages.select(url_col, html_col).transform(map_arrow, run, "host string, node long, kind int, value long, n long")
-    return counts.groupBy("host", "node", "kind", "value").agg(F.sum("n").alias("n"))
+    counts = pages.select(url_col, html_col).transform(map_arrow, run, "host string, node long, kind int, value long, n long, bodies long, chars long")
+    return _summed(counts, "host", "node", "kind", "value")
+
+
+def _summed(counts: DataFrame, *by: str) -> DataFrame:
+    return counts.groupBy(*by).agg(F.sum("n").alias("n"), F.bit_or("bodies").alias("bodies"), F.max("chars").alias("chars"))
+
+
+def different(n: Column, bodies: Column) -> Column:
+    """Different bodies among ``n`` pages: linear counting over 64 buckets, and one for chance; ``n`` once most buckets are taken."""
+    taken = F.bit_count(bodies).cast("double")
+    return F.when(taken < 48, F.least(n.cast("double"), 1 - 64 * F.log(1 - taken / 64))).otherwise(n.cast("double"))
 
 
-def importance(counts: DataFrame) -> DataFrame:
-    """``host, node, pages, importance`` from the merged trees.
+def importance(counts: DataFrame, *by: str) -> DataFrame:
+    """``by, node, pages, importance`` of nodes with text, from the counts of merged trees.
 
-    Content: one minus the mean, over a node's block occurrences, of the
-    entropy of a block over pages, log(pages with it) / log(pages). Presentation:
-    the entropy of layouts, in units of log(pages).
+    Content: one minus the mean, over a node's characters, of log(pages with the
+    piece) / log(pages), the entropy of a piece over pages. Presentation: the
+    entropy of layouts in units of log(pages), for nodes with elements in them.
+    Pages are different bodies.
     """
-    content, layout = F.col("kind") == 0, F.col("kind") == 1
-    node = counts.filter(content | layout).groupBy("host", "node").agg(
-        F.sum(F.when(content, F.col("n"))).alias("blocks"), F.sum(F.when(content, F.col("n") * F.log("n"))).alias("repeated"), F.max("n").alias("most"),
-        F.sum(F.when(layout, F.col("n"))).alias("laid"), F.sum(F.when(layout, F.col("n") * F.log("n"))).alias("same"),
-    )
-    node = node.filter("blocks > 0").withColumn("pages", F.greatest("blocks", F.coalesce("laid", F.lit(0)), "most"))
-    unit = F.log(F.greatest(F.col("pages"), F.lit(2)).cast("double"))
-    said = 1 - F.col("repeated") / F.col("blocks") / unit
-    made = F.coalesce((F.log(F.col("laid").cast("double")) - F.col("same") / F.col("laid")) / unit, F.lit(1.0))
-    return node.select("host", "node", "pages", (CONTENT_WEIGHT * said + (1 - CONTENT_WEIGHT) * made).alias("importance"))
-
-
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", low: float = LOW) -> DataFrame:
+    d = different(F.col("n"), F.col("bodies"))
+    rows = counts.select(*by, "node", "kind", "chars", d.alias("d"))
+    piece, layout = F.col("kind") == _PIECE, F.col("kind") == _LAYOUT
+    told = F.col("chars") * F.col("d")
+    node = rows.groupBy(*by, "node").agg(
+        F.max(F.when(F.col("kind") == _SEEN, F.col("d"))).alias("pages"), F.sum(F.when(piece, told)).alias("told"), F.sum(F.when(piece, told * F.log("d"))).alias("again"),
+        F.sum(F.when(layout, F.col("d"))).alias("laid"), F.sum(F.when(layout, F.col("d") * F.log("d"))).alias("same"),
+    ).filter("told > 0")
+    unit = F.log(F.greatest(F.col("pages"), F.lit(2.0)))
+    inside = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    content = inside(1 - F.col("again") / F.col("told") / unit)
+    made = inside((F.log("laid") - F.col("same") / F.col("laid")) / unit)
+    weighed = F.when(F.col("laid").isNull(), content).otherwise(CONTENT_WEIGHT * content + (1 - CONTENT_WEIGHT) * made)
+    return node.select(*by, "node", "pages", weighed.alias("importance"))
+
+
+def _bounded(df: DataFrame, most: int = BROADCAST_CUTS) -> DataFrame:
+    """Marked for broadcast if it is small: ``most`` rows or fewer."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", low: float = LOW, names: bool = True) -> DataFrame:
     """Main text of every page: ``id_col, url_col, text``.
 
     NULL html is empty, and empty pages have empty text; a NULL or odd URL is
     the host "". Whole pages are parsed; broken markup is read as browsers do,
-    roughly. Repeated pages count each. The nodes to cut go to the pages by a
-    broadcast while their hosts are few, else by a join on the host, whose hot
-    hosts Spark's adaptive join splits.
+    roughly, in time in proportion to its length; elements nested deeper than
+    DEEPEST count as part of the one there. Repeated pages each come back, and
+    are one page of the tree. An empty table gives an empty result; other columns
+    are not read. ``names=False`` leaves all to the entropies; a negative ``low``
+    keeps all. What is cut goes to the pages by a broadcast while it is small,
+    else by a join on the host, whose hot hosts Spark's adaptive join splits.
     """
-    counts = store(tree_counts(pages, url_col, html_col))
-    weak = importance(counts).filter((F.col("importance") <= low) & (F.col("pages") >= LEAST_PAGES)).select("host", "node", F.lit(None).cast("long").alias("value"))
-    whole = counts.filter("kind = 3").select("host", F.col("n").alias("whole"))
-    said = counts.filter((F.col("kind") == 2) & (F.col("n") >= LEAST_PAGES)).join(whole, "host").filter(F.col("n") > MOST * F.col("whole"))
-    weak = weak.unionByName(said.select("host", F.lit(None).cast("long").alias("node"), "value"))
-    cut = store(weak.groupBy("host").agg(F.collect_set("node").alias("cut"), F.collect_set("value").alias("repeated")))
-    few = cut.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+    counts = store(tree_counts(pages, url_col, html_col, names))
+    # importances that can matter: up to the largest limit that does not cut its blocks anyway
+    limit = max([x for x in (low + p for p in ((INSIDE, 0.0, OUTSIDE, NAMED) if names else (0.0,))) if x < 1], default=-1.0)
+    known = (F.col("importance") <= limit + 1e-9) & (F.col("pages") >= LEAST_PAGES)
+    own = importance(counts, "host").filter(known).select("host", "node", "importance")
+    everywhere = _summed(counts, "node", "kind", "value")
+    on_hosts = counts.filter(F.col("kind") == _SEEN).groupBy("node").agg(F.min("host").alias("lo"), F.max("host").alias("hi")).filter("lo < hi").select("node")
+    shared = store(importance(everywhere).filter(known).join(on_hosts, "node", "left_semi").select("node", "importance"))
+    weak = own.unionByName(counts.filter(F.col("kind") == _SEEN).select("host", "node").join(_bounded(shared), "node").select("host", "node", "importance"))
+    weak = weak.groupBy("host", "node").agg(F.min("importance").alias("importance"))
+
+    d = different(F.col("n"), F.col("bodies"))
+    whole = counts.filter((F.col("kind") == _SEEN) & (F.col("node") == 0)).select("host", d.alias("whole"))
+    said = counts.filter((F.col("kind") == _PIECE) & (d >= LEAST_PAGES)).join(whole, "host").filter((d > MOST * F.col("whole")) & F.lit(low >= 0))
+    none = F.lit(None)
+    cuts = weak.select("host", "node", "importance", none.cast("long").alias("value")).unionByName(said.select("host", none.cast("long").alias("node"), none.cast("double").alias("importance"), "value"))
+    cuts = store(cuts)
+    small = cuts.limit(BROADCAST_CUTS + 1).count() <= BROADCAST_CUTS
+    cut = cuts.groupBy("host").agg(F.collect_list(F.when(F.col("node").isNotNull(), F.struct("node", "importance"))).alias("weak"), F.collect_list("value").alias("said"))
     rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col))
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rows = rows.withColumn("__host", host).join((F.broadcast(cut) if few else cut).withColumnRenamed("host", "__host"), "__host", "left").select(id_col, url_col, html_col, "cut", "repeated")
+    cut = cut.withColumnRenamed("host", "__host")
+    rows = rows.withColumn("__host", host).join(F.broadcast(cut) if small else cut, "__host", "left").select(id_col, url_col, html_col, "weak", "said")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 2):
-            texts = [main_text(p, frozenset(c or ()), frozenset(t or ())) for p, c, t in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            texts = []
+            for page, nodes, said in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                texts.append(main_text(page, {x["node"]: x["importance"] for x in nodes or ()}, frozenset(said or ()), low, names))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=[id_col, url_col, "text"])
 
     kinds = [rows.schema[i].dataType.simpleString() for i in (0, 1)]

@@ -194,19 +194,105 @@ def test_site_tree_cuts_what_a_host_repeats(spark):
     rows = [(i, "https://h.example.org/p", PAGE.format(i="", nav="Home News", a=f"first {i}", b=f"second {i}", foot="All rights"), "x") for i in range(12)]
     rows += [(50, "http://solo.example.org/", PAGE.format(i="", nav="Solo nav", a="aa", b="bb", foot="ff"), "x"), (51, None, None, "x"), (52, "odd", "", "x"), (53, "h", "a < b &lt; c<br>d", "x")]
     rows += [(54, "http://u.example.org", '<article><h1>T</h1><p>One <b>two</b>\n three</p><div class="comments">c</div></article><footer>f</footer>', "x")]
+    rows += [(55, "http://odd.example.org", "<body><div class=own>Alone</div><p>text</body>", "x")]
     got = {r.page_id: r.text for r in site_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()}
     assert all(got[i] == f"first {i}\nsecond {i}&c d" for i in range(12))
-    assert got[50] == "Solo nav\naa\nbb&c d\nff" and got[51] == got[52] == "" and got[53] == "a < b < c d" and got[54] == "T\nOne two three"
+    assert got[50] == "aa\nbb&c d"  # the other host's pages say what its paths are worth
+    assert got[51] == got[52] == "" and got[53] == "a < b < c d" and got[54] == "T\nOne two three" and got[55] == "Alone\ntext"
     assert site_tree.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
 def test_site_tree_cuts_what_repeats_within_an_article(spark):
     page = "<body><main><ul><li>Home<li>News</ul><p>We use cookies</p><h1>Title {i}</h1><p>Story {i}</p><p>{extra}</p></main></body>"
     rows = [(i, "https://m.example.org/p", page.format(i=i, extra="Told twice" if i < 2 else f"More {i}")) for i in range(8)]
-    rows += [(20 + i, "https://few.example.org/p", page.format(i=i, extra="x")) for i in range(2)]
     got = {r.page_id: r.text for r in site_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"Title {i}\nStory {i}\n" + ("Told twice" if i < 2 else f"More {i}") for i in range(8))
-    assert got[20] == "Home\nNews\nWe use cookies\nTitle 0\nStory 0\nx"
+
+
+def _plain_importance(pages, by_host=True):
+    """(host, node) -> importance, from the definition, one page at a time."""
+    seen = defaultdict(lambda: defaultdict(set))  # of a node: pieces, layouts and itself, each with the pages' bodies
+    number = defaultdict(Counter)
+    for url, page in pages:
+        blocks, layouts = site_tree.parse(page)
+        host = site_tree.host_of(url) if by_host else ""
+        body = site_tree._body(blocks, True)
+        found = {(b.node, "piece", x) for b in blocks for x in site_tree.pieces(b.text)} | {(n, "layout", x) for n, x in layouts} | {(b.node, "seen", "") for b in blocks}
+        for node, kind, x in found:
+            seen[host, node][kind, x].add(body)
+            number[host, node][kind, x] += 1
+
+    def bodies(of, key):
+        b, n = len(seen[of][key]), number[of][key]
+        return n if b >= 48 else min(n, 1 - 64 * math.log(1 - b / 64))
+
+    out = {}
+    for of, values in seen.items():
+        pieces = [(len(x) + 1, bodies(of, (k, x))) for k, x in values if k == "piece"]
+        layouts = [bodies(of, (k, x)) for k, x in values if k == "layout"]
+        if pieces:
+            unit = math.log(max(2, bodies(of, ("seen", ""))))
+            content = 1 - sum(w * d * math.log(d) for w, d in pieces) / sum(w * d for w, d in pieces) / unit
+            out[of] = min(1, max(0, content))
+            if layouts:
+                made = -sum(d / sum(layouts) * math.log(d / sum(layouts)) for d in layouts) / unit
+                out[of] = 0.9 * out[of] + 0.1 * min(1, max(0, made))
+    return out
+
+
+def _site(seed=5, hosts=4, pages=14):
+    """Hosts without any telling names: menu, story in two layouts, a promise that changes now and then, a line below."""
+    r = random.Random(seed)
+    out = []
+    for h in range(hosts):
+        menu = "".join(f"<li>{words(2, h * 9 + k)}</li>" for k in range(4))
+        for p in range(pages):
+            story = "".join(f"<p>{words(r.randint(8, 40), r.random())}.</p>" for _ in range(r.randint(1, 5)))
+            page = f"<body><div><ul>{menu}</ul></div><div id=m><h2>{words(5, r.random())}</h2>{story}</div><div class=z>{words(6, h * 7 + p % 2)}. Told by h{h}.</div></body>"
+            out.append((f"https://h{h}.example.org/{p}", page, story))
+    return out
+
+
+def test_site_tree_importance_against_the_definition(spark):
+    site = _site()
+    site += [(u, p, s) for u, p, s in site[:5] for _ in range(6)]  # copies
+    pages = spark.createDataFrame([(i, u, p) for i, (u, p, _) in enumerate(site)], "page_id long, url string, html string").repartition(3)
+    counts = site_tree.tree_counts(pages)
+    want = _plain_importance([x[:2] for x in site])
+    got = {(x.host, x.node): x.importance for x in site_tree.importance(counts, "host").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    want = _plain_importance([x[:2] for x in site], by_host=False)
+    got = {("", x.node): x.importance for x in site_tree.importance(site_tree._summed(counts, "node", "kind", "value")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_site_tree_needs_no_names(spark):
+    site = _site(6)
+    pages = spark.createDataFrame([(i, u, p) for i, (u, p, _) in enumerate(site)], "page_id long, url string, html string")
+    story = [re.findall(r"<(?:h2|p)>(.*?)</", p) for _, p, _ in site]
+    for names in (True, False):
+        got = {x.page_id: x.text.split("\n") for x in site_tree.extract(pages, names=names).collect()}
+        assert all(got[i] == story[i] for i in range(len(site)))
+    kept = {x.page_id: x.text for x in site_tree.extract(pages, low=-1.0).collect()}
+    assert all(len(kept[i].split("\n")) == len(story[i]) + 5 for i in range(len(site)))
+
+
+def test_site_tree_copies_do_not_make_a_template(spark):
+    page = "<body><div><p>The one story of this host</p><p>with a second part</p></div><nav>Menu</nav></body>"
+    pages = spark.createDataFrame([(i, "https://one.example.org/", page) for i in range(40)], "page_id long, url string, html string")
+    assert {x.text for x in site_tree.extract(pages).collect()} == {"The one story of this host\nwith a second part"}
+
+
+def test_site_tree_reads_odd_markup_in_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for page in ("<div>" * 100_000 + "x" + "</div>" * 100_000, "<a " * 350_000, "<a \"'>" * 150_000, "<!--" * 250_000, "<title></style>" * 60_000, "<" * 1_000_000, "<p>x" * 100_000, "<span class=a>" * 70_000):
+        site_tree.parse(page)
+    assert time.perf_counter() - began < 20
+    deep = site_tree.parse("<div>" * 2000 + "x<p>y</p>" + "</div>" * 2000 + "<p>z</p>")[0]
+    assert [b.text for b in deep] == ["x", "y", "z"] and deep[2].node == site_tree.child_node(0, "p")
+    assert [b.text for b in site_tree.parse('<p>a <b title="x > y">b</b> c</p><p>d <i title="e>f</p>')[0]] == ["a b c", "d f"]
 
 
 def test_chat_round_trip(spark):
