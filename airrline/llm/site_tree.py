@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from airrline.llm.common import map_arrow, sliced, store
 
-LOW = 0.7  # importance, less the prior, up to which a node is cut
+LOW = 0.75  # importance, less the prior, up to which a node is cut
 INSIDE, OUTSIDE, NAMED = -0.4, 0.3, 0.45  # priors: in an article, beside the page's article, furniture by name
 MOST = 0.5  # share of a host's pages with the same piece in the same node, beyond which it is cut there
 LEAST_PAGES = 4  # of a node, before its entropies mean anything
