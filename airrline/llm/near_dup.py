@@ -10,17 +10,18 @@ their shingle sequences matches four fifths of both together or more.
 Equal texts are one node from the start. Within a bucket, nodes are compared
 with one leader, the one that is in most buckets, which settles groups of copies
 with as many comparisons as members. Where a bucket then still holds several
-classes, nodes outside its largest class lead in turn, one a bucket and round,
-while that brings classes together. What is then still apart is compared pair by
-pair, large buckets in blocks, so of the texts that share a bucket all are in one
-class or have been compared: comparisons grow with the nodes outside the largest
-class of a bucket times its size.
+classes, the nodes outside its largest class meet all of the bucket that are in
+other classes, a thousand or so of them at a time: a node's sketches and shingles
+reach each such group once, candidates are told by their sketches there, and a
+node that a link has brought into a class is compared with no more of it. So of
+the texts that agree in a sketch all are in one class or have been compared,
+without a row for each pair.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from bisect import bisect_left
+from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -34,8 +35,8 @@ SHINGLE = 5
 SIMILAR = 0.8
 SKETCHES, ELEMENTS = 64, 8  # agree with odds of 0.8 ** 8 each at the threshold: all 64 miss once in 100,000
 SHORT, SHORT_SKETCHES, SHORT_ELEMENTS = 40, 24, 2  # shingles up to which a text has these sketches as well
-STALLED = 0.8  # share of the pairs apart that a round of leaders may leave, for another round to follow
-BLOCK = 1000  # nodes of a bucket that meet those outside its largest class in one place
+LEADS = 300_000  # shingles of the nodes that lead one group, about
+MEMBERS = 5000  # nodes that meet a group's leads in one place, about
 _BATCH = 1 << 20
 _R = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 ** 64
 _MASK = (1 << 64) - 1
@@ -117,41 +118,6 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.concatenate(keys).astype(np.int64) if keys else np.zeros(0, np.int64)
 
 
-def text_shingles(text: str) -> list[tuple]:
-    """A text's shingles with occurrence numbers, exact."""
-    words = text.encode("utf-8", "replace").split()
-    n = min(SHINGLE, len(words))
-    seen: Counter = Counter()
-    out = []
-    for s in zip(*[words[k:] for k in range(n)], strict=False) if n else ():
-        out.append((s, seen[s]))
-        seen[s] += 1
-    return out
-
-
-def alignment(a: Sequence, b: dict, n_b: int) -> float:
-    """Similarity of two sequences of distinct items: matched in order within the band, over all.
-
-    ``b`` maps items to places. A pair as similar as SIMILAR never leaves the
-    band: at most a ninth of both lengths is unmatched.
-    """
-    if not a or not n_b:
-        return 0.0
-    band = (len(a) + n_b) * (1 - SIMILAR) / (1 + SIMILAR) + 1e-9
-    places = [j for i, s in enumerate(a) if (j := b.get(s)) is not None and abs(i - j) <= band]
-    if all(x < y for x, y in pairwise(places)):
-        matched = len(places)
-    else:  # longest increasing run of places
-        from bisect import bisect_left
-
-        tails: list[int] = []
-        for j in places:
-            k = bisect_left(tails, j)
-            tails[k : k + 1] = [j]
-        matched = len(tails)
-    return matched / (len(a) + n_b - matched)
-
-
 def digest_of(text_col: str) -> Column:
     """128 bits of a text's SHA-256; NULL counts as empty."""
     return F.substring(F.unhex(F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256)), 1, 16)
@@ -173,25 +139,125 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.transform(map_arrow, run, f"id {rows.schema['id'].dataType.simpleString()}, digest binary, n long, keys array<long>")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of candidate pairs (a, b), those that align."""
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+def shapes(texts: DataFrame) -> DataFrame:
+    """``node, shingles``: hashes of a text's labelled shingles in text order, eight bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leader, index, n = None, {}, 0
-        for batch in sliced(batches, 3):
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            left, right, found = batch.column(2), batch.column(3).to_pylist(), []
-            for i in sorted(range(len(a)), key=a.__getitem__):
-                if a[i] != leader:
-                    s = text_shingles(left[i].as_py())
-                    leader, index, n = a[i], {x: j for j, x in enumerate(s)}, len(s)
-                if alignment(text_shingles(right[i]), index, n) >= SIMILAR - 1e-12:
-                    found.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in found], pa.int64()), pa.array([b[i] for i in found], pa.int64())], names=["a", "b"])
+        for batch in sliced(batches, 1, _BATCH):
+            hashes, begin = word_hashes(*as_bytes(batch.column(1)))
+            parts = [labelled_shingles(hashes[a:b]).tobytes() for a, b in pairwise(begin)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.binary())], names=["node", "shingles"])
+
+    return texts.select("node", "text").transform(map_arrow, run, "node long, shingles binary")
 
-    return both.transform(map_arrow, run, "a long, b long")
+
+def _places(keys: np.ndarray, n: int, missing: int) -> np.ndarray:
+    """A text's sketch keys at one place for each sketch, ``missing`` where it has none."""
+    out = np.full(SKETCHES + SHORT_SKETCHES, missing, np.int64)
+    many = SKETCHES if n >= ELEMENTS else 0
+    out[:many] = keys[:many]
+    out[SKETCHES : SKETCHES + len(keys) - many] = keys[many:]
+    return out
+
+
+class _Leads:
+    """The nodes that lead a group: sketches, shingles and classes, and what has been found to be one class."""
+
+    def __init__(self, rows: list[tuple]):
+        self.nodes = [r[0] for r in rows]
+        self.own = np.array([r[1] for r in rows], np.int64)
+        self.shingles = [np.frombuffer(r[2], np.uint64) for r in rows]
+        self.n = np.array([len(x) for x in self.shingles])
+        self.sketches = None if rows[0][3] is None else np.stack([_places(np.array(r[3]), n, 0) for r, n in zip(rows, self.n, strict=True)])
+        self.parent: dict[int, int] = {}
+
+    def _find(self, c: int) -> int:
+        while (up := self.parent.get(c, c)) != c:
+            c = up
+        return c
+
+    def links(self, node: int, own: int, shingles: bytes, keys) -> Iterator[int]:
+        """Leads that ``node`` is linked with, one for each class that this brings together."""
+        s = np.frombuffer(shingles, np.uint64)
+        n, mine = len(s), self._find(own)
+        maybe = (self.own != mine) & (np.minimum(self.n, n) >= SIMILAR * np.maximum(self.n, n) - 1e-9)
+        if self.sketches is not None and maybe.any():
+            at = np.flatnonzero(maybe)
+            maybe[at] = (self.sketches[at] == _places(np.array(keys), n, 1)).any(axis=1)
+        at = np.flatnonzero(maybe)
+        if not len(at):
+            return
+        order = np.argsort(s)
+        ranked = s[order]
+        for k in range(0, len(at), 256):
+            some = at[k : k + 256]
+            every = np.concatenate([self.shingles[i] for i in some])
+            place = np.minimum(np.searchsorted(ranked, every), n - 1)
+            hit = ranked[place] == every
+            ends = np.cumsum(self.n[some])
+            shared = np.add.reduceat(hit, ends - self.n[some], dtype=np.int64)
+            enough = shared >= SIMILAR * (n + self.n[some] - shared) - 1e-9
+            for j in np.flatnonzero(enough):
+                i, begin = some[j], ends[j] - self.n[some[j]]
+                if self.own[i] == mine:
+                    continue
+                found = hit[begin : ends[j]]
+                if similar(np.flatnonzero(found), order[place[begin : ends[j]][found]], int(self.n[i]), n):
+                    yield self.nodes[i]
+                    self.parent[mine] = int(self.own[i])
+                    self.own[self.own == mine] = self.own[i]
+                    mine = int(self.own[i])
+
+
+def similar(i: np.ndarray, j: np.ndarray, n: int, m: int) -> bool:
+    """Whether two texts of ``n`` and ``m`` shingles align, given the places ``i`` (rising) and ``j`` of those that both have."""
+    near = np.abs(i - j) <= (n + m) * (1 - SIMILAR) / (1 + SIMILAR) + 1e-9
+    j = j[near]
+    matched = len(j)
+    if matched and (j[1:] <= j[:-1]).any():  # longest rising run of places
+        tails: list[int] = []
+        for x in j.tolist():
+            k = bisect_left(tails, x)
+            tails[k : k + 1] = [x]
+        matched = len(tails)
+    return matched >= SIMILAR * (n + m - matched) - 1e-9
+
+
+def _meet(leads: DataFrame, members: DataFrame, shaped: DataFrame, keys: DataFrame | None) -> DataFrame:
+    """Links (a, b) between leads and members of a group, enough to bring together all classes that links bring together.
+
+    Both have ``group, node, class``. Members of one group are dealt to as many
+    places as they need, and its leads go to each. With ``keys`` (``node,
+    keys``), only nodes that agree in a sketch are compared.
+    """
+    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("places"))
+    members = members.join(sizes, "group").select("group", F.pmod(F.xxhash64("node"), "places").cast("int").alias("place"), F.lit(1).alias("side"), "node", "class")
+    leads = leads.join(sizes, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.lit(0).alias("side"), "node", "class")
+    rows = members.unionByName(leads).join(shaped, "node")
+    rows = rows.withColumn("keys", F.lit(None).cast("array<long>")) if keys is None else rows.join(keys, "node")
+    rows = rows.select("group", "place", "side", "node", "class", "shingles", "keys").repartition("group", "place").sortWithinPartitions("group", "place", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, waiting, leads = None, [], None
+        for batch in sliced(batches, 5):
+            a, b = [], []
+            plain = [batch.column(i).to_pylist() for i in range(5)]
+            for i, (group, place, side, node, own) in enumerate(zip(*plain, strict=True)):
+                if (group, place) != at:
+                    at, waiting, leads = (group, place), [], None
+                drawn = batch.column(6)[i]
+                row = node, own, batch.column(5)[i].as_py(), drawn.values.to_numpy() if drawn.is_valid else None
+                if side == 0:
+                    waiting.append(row)
+                    continue
+                if leads is None:
+                    leads = _Leads(waiting)
+                for lead in leads.links(*row):
+                    a.append(lead)
+                    b.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.transform(map_arrow, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,7 +265,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``class_id`` is the smallest id among the documents linked with it, directly
     or through others (itself if none); ``n_verified`` counts the comparisons with
-    other texts that found a link; texts already in one class are not compared. NULL texts are empty; equal texts, empty ones
+    other texts that found a link; texts already in one class are not compared.
+    Shingles are compared by 64-bit hashes. NULL texts are empty; equal texts, empty ones
     too, are one class; texts without words link to no other text; texts of one
     to four words have one shingle and link to those of the same words. Rows
     with a repeated id each come back; NULL ids form no class of their own but
@@ -217,36 +284,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rank = rows.groupBy("node").agg(F.count("*").alias("rank"))
     wanted = store(rank.join(nodes.select("node", "digest", "id"), "node"))
     rows = store(rows.join(wanted.select("node", "rank"), "node").select("key", "node", "n", "rank"))
-    texts = store(_texts_of(docs, wanted, id_col, text_col))
+    shaped = store(shapes(_texts_of(docs, wanted, id_col, text_col)))
 
     lead = rows.groupBy("key").agg(F.max(F.struct("rank", -F.col("node"), "n")).alias("s")).select("key", (-F.col("s.col2")).alias("a"), F.col("s.n").alias("n_a"))
     met = rows.join(lead, "key").filter((F.col("node") != F.col("a")) & _lengths_allow("n", "n_a"))
     met = store(met.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("agree")))
     # the leader a text meets most settles nearly all; then its other leaders, where still apart
     best = met.groupBy("b").agg(F.max(F.struct("agree", "a")).alias("s")).select(F.col("s.a").alias("a"), "b")
-    edges = store(_verify(best, texts))
+    edges = store(_meet_leaders(best, shaped))
     classes = components(edges)
     others = _apart(met.select("a", "b").join(best, ["a", "b"], "left_anti"), classes)
-    edges = store(edges.unionByName(_verify(others, texts)))
+    edges = store(edges.unionByName(_meet_leaders(others, shaped)))
     classes = components(edges)
 
-    # a bucket's nodes outside its largest class lead in turn while that brings classes together; then all that are apart meet
-    tested, before = met.select("a", "b"), None
-    while True:
-        placed = store(_unsettled(rows.select("key", "node", "n"), classes))
-        pairs_left = placed.filter("outside").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-        if not pairs_left or (before is not None and pairs_left > STALLED * before):
-            break
-        before = pairs_left
-        turn = F.xxhash64("key", "node", F.lit(before))  # another order each round
-        lead = placed.filter("outside").groupBy("key").agg(F.min(F.struct(turn.alias("turn"), "node", "n", "class")).alias("s"))
-        lead = lead.select("key", F.col("s.node").alias("a"), F.col("s.n").alias("n_a"), F.col("s.class").alias("class_a"))
-        pairs = placed.join(lead, "key").filter((F.col("class") != F.col("class_a")) & _lengths_allow("n", "n_a")).select("a", F.col("node").alias("b"))
-        pairs = store(_untested(pairs, tested))
-        edges = store(edges.unionByName(_verify(pairs, texts)))
-        tested, classes = tested.unionByName(pairs), components(edges)
-    if pairs_left:
-        edges = store(edges.unionByName(_verify(store(_untested(_across(placed), tested)), texts)))
+    # in buckets that still hold several classes, the nodes outside the largest meet all others
+    placed = store(_unsettled(rows.select("key", "node", "n"), classes))
+    outside = placed.filter("outside")
+    if not outside.isEmpty():
+        near = outside.groupBy("node", "n", "class", "largest").agg(F.count("*").alias("m")).groupBy("node", "n", "class").agg(F.max(F.struct("m", "largest")).alias("s"))
+        near = near.select("node", "n", "class", F.col("s.largest").alias("hub"))
+        split = near.groupBy("hub").agg(F.ceil(F.sum("n") / LEADS).cast("int").alias("parts"))
+        near = near.join(split, "hub").select("node", "class", F.xxhash64("hub", F.pmod(F.xxhash64("node"), "parts")).alias("group"))
+        near = store(near)
+        of_key = outside.select("key", "node").join(near.select("node", "group"), "node").select("key", "group").distinct()
+        members = placed.select("key", "node", "class").join(of_key, "key").select("group", "node", "class").distinct()
+        edges = store(edges.unionByName(_meet(near.select("group", "node", "class"), members, shaped, nodes.select("node", "keys"))))
         classes = components(edges)
 
     links = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().groupBy("a").agg(F.count("*").alias("n_verified"))
@@ -266,6 +328,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return kept.dropDuplicates([id_col, "__digest"]).drop("__digest")
 
 
+def _meet_leaders(pairs: DataFrame, shaped: DataFrame) -> DataFrame:
+    """Of pairs of a leader and a node (a, b), those that are linked; each is a group with one lead."""
+    members = pairs.select(F.col("a").alias("group"), F.col("b").alias("node"), F.col("b").alias("class"))
+    leads = pairs.select(F.col("a").alias("group")).distinct().select("group", F.col("group").alias("node"), F.col("group").alias("class"))
+    return _meet(leads, members, shaped, None)
+
+
 def _texts_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``node, text`` for nodes given by digest and smallest id.
 
@@ -297,27 +366,9 @@ def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _unsettled(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows (key, node, n) of buckets with several classes: ``class``, the bucket's ``size``, and whether the node is ``outside`` its largest class."""
+    """Rows (key, node, n) of buckets with several classes: ``class``, the bucket's ``largest`` class, and whether the node is ``outside`` that."""
     placed = _with_class(rows, classes, "node", "class")
     sizes = placed.groupBy("key", "class").agg(F.count("*").alias("m"))
-    most = sizes.groupBy("key").agg(F.max(F.struct("m", "class")).alias("s"), F.sum("m").alias("size"), F.count("*").alias("n_classes"))
-    most = most.filter("n_classes > 1").select("key", "size", F.col("s.class").alias("largest"))
-    return placed.join(most, "key").select("key", "node", "n", "class", "size", (F.col("class") != F.col("largest")).alias("outside"))
-
-
-def _across(placed: DataFrame) -> DataFrame:
-    """All pairs (a, b) of a bucket's nodes that are in different classes; a node outside the largest class goes to all blocks of its bucket."""
-    blocks = F.floor((F.col("size") - 1) / BLOCK).cast("int") + 1
-    b = placed.select("key", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("class").alias("class_b"), "outside")
-    a = placed.filter("outside").select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("class").alias("class_a"))
-    once = ~b["outside"] | (a["a"] < b["b"])
-    on = (a["key"] == b["key"]) & (a["block"] == b["block"]) & once & (a["class_a"] != b["class_b"]) & _lengths_allow("n_a", "n_b")
-    return a.join(b, on).select("a", "b")
-
-
-def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs (a, b), once each whichever way round, that are not among those tested."""
-    def ordered(df: DataFrame) -> DataFrame:
-        return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-    return ordered(pairs).distinct().join(ordered(tested), ["a", "b"], "left_anti")
+    most = sizes.groupBy("key").agg(F.max(F.struct("m", "class")).alias("s"), F.count("*").alias("n_classes"))
+    most = most.filter("n_classes > 1").select("key", F.col("s.class").alias("largest"))
+    return placed.join(most, "key").select("key", "node", "n", "class", "largest", (F.col("class") != F.col("largest")).alias("outside"))

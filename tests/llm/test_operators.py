@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from airrline.llm import bpe, chat, decontaminate, graph, near_dup, ppm, quality, secrets, sharding, site_tree, suffix_dedup
+from . import plain
 
 tokenizers = pytest.importorskip("public_tokenizers")
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -381,7 +382,7 @@ def _classes(rows):
     texts = defaultdict(list)
     for i, t in rows:
         texts[t or ""].append(i)
-    shingles = {t: near_dup.text_shingles(t) for t in texts}
+    shingles = {t: plain.text_shingles(t) for t in texts}
     names = list(texts)
     parent = {t: t for t in names}
 
@@ -392,7 +393,7 @@ def _classes(rows):
 
     for k, a in enumerate(names):
         for b in names[:k]:
-            if near_dup.alignment(shingles[a], {s: j for j, s in enumerate(shingles[b])}, len(shingles[b])) >= near_dup.SIMILAR:
+            if plain.alignment(shingles[a], {s: j for j, s in enumerate(shingles[b])}, len(shingles[b])) >= near_dup.SIMILAR:
                 parent[find(a)] = find(b)
     least = {}
     for t, ids in texts.items():
@@ -431,7 +432,7 @@ def test_near_duplicates_in_a_large_family(spark):
         for at in r.sample(range(len(own)), 4):
             own[at] = f"edit{r.random()}"
         rows.append((i, " ".join(own)))
-    shingles = [near_dup.text_shingles(t) for _, t in rows]
+    shingles = [plain.text_shingles(t) for _, t in rows]
     where = {x: k for k, x in enumerate(sorted({x for s in shingles for x in s}))}
     has = np.zeros((len(rows), len(where)), np.float32)
     for i, s in enumerate(shingles):
@@ -445,7 +446,7 @@ def test_near_duplicates_in_a_large_family(spark):
         return i
 
     for i, j in np.argwhere(np.triu(shared / (2 * len(shingles[0]) - shared) >= near_dup.SIMILAR - 1e-6, 1)).tolist():
-        if near_dup.alignment(shingles[i], {x: k for k, x in enumerate(shingles[j])}, len(shingles[j])) >= near_dup.SIMILAR:
+        if plain.alignment(shingles[i], {x: k for k, x in enumerate(shingles[j])}, len(shingles[j])) >= near_dup.SIMILAR:
             parent[max(find(i), find(j))] = min(find(i), find(j))
     expected = {(i, find(i)) for i in range(len(rows))}
     assert len({c for _, c in expected}) > 20
@@ -458,9 +459,19 @@ def test_near_duplicates_name_what_they_count(spark):
 
 
 def test_alignment_respects_order():
-    a = list(range(100))
-    assert near_dup.alignment(a, {x: i for i, x in enumerate(a)}, 100) == 1
-    assert near_dup.alignment(a, {x: i for i, x in enumerate(reversed(a))}, 100) < 0.1
+    a = np.arange(100)
+    assert near_dup.similar(a, a, 100, 100) and near_dup.similar(a[:89], a[:89], 100, 89) and not near_dup.similar(a, a[::-1], 100, 100)
+    r = random.Random(3)
+    for _ in range(300):
+        one = r.sample(range(1000), 40)
+        two = [x for x in one if r.random() < 0.93]
+        for _ in range(r.randrange(4)):
+            i, j = r.randrange(len(two)), r.randrange(len(two))
+            two.insert(i, two.pop(j))
+        at = {x: k for k, x in enumerate(two)}
+        both = [(k, at[x]) for k, x in enumerate(one) if x in at]
+        i, j = (np.array(z) for z in zip(*both, strict=True))
+        assert near_dup.similar(i, j, len(one), len(two)) == (plain.alignment(one, at, len(two)) >= 0.8 - 1e-12)
 
 
 def test_components(spark):

@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from airrline.llm import decontaminate, near_dup, queries, secrets
+from airrline.llm import decontaminate, queries, secrets
 
+from . import plain
 from .test_operators import RANKS, _statistics, tokenizers, words
 
 
@@ -51,10 +52,10 @@ def test_stages(spark, tmp_path):
     expected = sorted((d for d in docs if d[0] not in failed and "***" not in (d[1] or "")), key=str)
     assert sorted(quality, key=str) == expected
 
-    shingles = {d[1]: near_dup.text_shingles(d[1] or "") for d in quality}
+    shingles = {d[1]: plain.text_shingles(d[1] or "") for d in quality}
     groups = defaultdict(list)
     for d in sorted(set(quality), key=lambda d: (d[0] is None, d[0] or 0)):
-        same = next((g for g in groups if near_dup.alignment(shingles[d[1]], {s: j for j, s in enumerate(shingles[g])}, len(shingles[g])) >= 0.8), d[1])
+        same = next((g for g in groups if plain.alignment(shingles[d[1]], {s: j for j, s in enumerate(shingles[g])}, len(shingles[g])) >= 0.8), d[1])
         groups[same].append(d)
     assert sorted(near, key=str) == sorted((g[0] for g in groups.values()), key=str)
 
