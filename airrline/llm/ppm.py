@@ -1,19 +1,22 @@
 """Language-model scoring by prediction by partial matching over bytes.
 
-The trie of byte contexts up to ``ORDER`` is held as sorted tables, one for each
-depth. A symbol is predicted from the longest context seen; where it was not
-seen there, the model escapes to the next shorter one (method C: a context's
-escape weighs as much as it has distinct symbols) and leaves out the symbols
-that the longer context already ruled out. Below the empty context, all bytes
-not yet ruled out are equal.
+The trie of byte contexts up to ``ORDER`` is held as stored tables of grams with
+counts, one for each depth. A symbol is predicted from the longest context seen;
+where it was not seen there, the model escapes to the next shorter one (method
+C: a context's escape weighs as much as it has distinct symbols) and leaves out
+the symbols that the longer context already ruled out. Below the empty context,
+all bytes not yet ruled out are equal.
 
 Two ways to use it: pretrained on a corpus, whose counts are gathered over all
 its documents, or adaptive, learning within each document from nothing.
 Texts are padded with bytes that UTF-8 never uses: 0xFE before, 0xFF as end.
 
-A trained node is kept if it makes up a share of ``SHARE`` of the corpus or
-more, so a depth holds at most 1 / SHARE nodes whatever the corpus, and that
-is what is broadcast; what a context lost to this rule adds to its escape.
+No node is left out, whatever the corpus. A document's score is a sum over its
+grams (a symbol and the ORDER bytes before it). Those that make up a share of
+COMMON_GRAMS of the corpus or more, at most 1 / COMMON_GRAMS of them, are looked
+up in a broadcast table of their log probabilities; all others are counted
+within the document, walk down the trie once for each different gram by joins on
+their contexts, and come back to their documents by a join on the gram.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from itertools import pairwise
 from uuid import uuid4
 
 import numpy as np
@@ -32,10 +35,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from airrline.llm.common import as_bytes, map_arrow, sliced, store
 
 ORDER = 5
-SHARE = 5e-7  # of the corpus's bytes, that a trained node needs
+COMMON_GRAMS = 1e-7  # of the corpus's bytes, that a common gram makes up; bounds the broadcast to 12 bytes times its inverse
 COMMON = 1e-6  # of the corpus's words, that a common word makes up
 WORD_BYTES = 64  # of a word that can count as common; with COMMON, this bounds the broadcast
-_PAD, _END, _DEPTH = 0xFE, 0xFF, 56  # the depth of a gram stands in its upper bits
+_PAD, _END = 0xFE, 0xFF
+_FEW_CONTEXTS = 2  # bytes of a context up to which a table has at most 65,536 contexts
 _BATCH = 1 << 20
 _HOLD = 1_500_000  # distinct grams held in a task before counts are handed on
 
@@ -55,29 +59,26 @@ def _symbols(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """Counts of all grams of 1 to ``order`` + 1 bytes, over all documents: ``gram, n``. One text column is read."""
+    """Counts of all symbols with the ``order`` bytes before them, over all documents: ``gram, n``. One text column is read."""
 
-    def add(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def add(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        codes, counts = map(np.concatenate, zip(*held, strict=True))
         codes, inverse = np.unique(codes, return_inverse=True)
         return codes, np.bincount(inverse, counts, len(codes)).astype(np.int64)
 
-    def batch_of(codes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for depth in range(order + 1, 0, -1):
-            if depth <= order:
-                codes, counts = add(codes & np.uint64((1 << 8 * depth) - 1), counts)
-            marked = (codes | np.uint64(depth << _DEPTH)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(marked), pa.array(counts)], names=["gram", "n"])
+    def told(codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(counts)], names=["gram", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in sliced(batches, 0, _BATCH):
             held.append(np.unique(_symbols(batch.column(0), order)[0], return_counts=True))
             if len(held) > 8:
-                held = [add(*map(np.concatenate, zip(*held, strict=True)))]
+                held = [add(held)]
                 if len(held[0][0]) > _HOLD:
-                    yield from batch_of(*held.pop())
+                    yield told(*held.pop())
         if held:
-            yield from batch_of(*add(*map(np.concatenate, zip(*held, strict=True))))
+            yield told(*add(held))
 
     return texts.transform(map_arrow, run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -110,82 +111,74 @@ class _Lookup:
 
 
 @dataclass
-class Model:
-    """A pretrained trie: kept grams (with their depth) and counts. Small, so it is shipped as it is."""
+class Trie:
+    """A pretrained trie: for each context length, a table of ``gram, n``; and the number of symbols learned."""
 
     order: int
-    grams: np.ndarray
-    counts: np.ndarray
-    name: str
-
-    @cached_property
-    def levels(self) -> list[dict]:
-        """For each context length: kept symbols with counts, and each context's sums."""
-        out: list[dict] = []
-        marked = self.grams.astype(np.uint64)
-        for k in range(self.order + 1):
-            mine = np.flatnonzero(marked >> np.uint64(_DEPTH) == k + 1)
-            codes = marked[mine] & np.uint64((1 << _DEPTH) - 1)
-            order = np.argsort(codes)
-            codes, n = codes[order], self.counts[mine][order].astype(float)
-            contexts, start, distinct = np.unique(codes >> np.uint64(8), return_index=True, return_counts=True)
-            kept = np.add.reduceat(n, start) if len(n) else np.zeros(0)
-            level = {"codes": codes, "n": n, "contexts": contexts, "kept": kept, "distinct": distinct.astype(float), "child": _Lookup(codes), "node": _Lookup(contexts)}
-            level["pruned"], level["above"] = np.zeros(len(contexts)), np.zeros(len(contexts))
-            if k and len(codes):
-                up = out[-1]  # its grams are these contexts, its children the same symbols after one byte less
-                seen = up["child"](contexts)
-                level["pruned"] = np.where(seen >= 0, np.maximum(0, up["n"][seen] - kept), 0)
-                shorter = up["child"](codes & np.uint64((1 << 8 * k) - 1))
-                level["above"] = np.add.reduceat(up["n"][shorter], start)
-            out.append(level)
-        top = out[-1]
-        if len(top["codes"]):
-            of = np.repeat(np.arange(len(top["contexts"])), top["distinct"].astype(int))
-            top["direct"] = np.log10(top["n"] / (top["kept"] + top["distinct"] + top["pruned"])[of])
-        return out
-
-    def log10(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram's last byte after the ones before it."""
-        out = np.zeros(len(grams))
-        top = self.levels[-1]
-        todo = np.arange(len(grams))
-        if len(top["codes"]):
-            hit = top["child"](grams)
-            out = np.where(hit >= 0, top["direct"][hit], 0.0)
-            todo = np.flatnonzero(hit < 0)
-        ruled_n, ruled_d = np.zeros(len(todo)), np.zeros(len(todo))
+    levels: list[DataFrame]
+    total: int
+
+    def _contexts(self, k: int) -> DataFrame:
+        """``context, total, distinct`` of contexts of ``k`` bytes."""
+        return self.levels[k].groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("total"), F.count("*").cast("double").alias("distinct"))
+
+    def common(self, share: float = COMMON_GRAMS) -> tuple[np.ndarray, np.ndarray]:
+        """Grams of full length that make up ``share`` of the corpus, at most 1 / share, and their log10 probabilities."""
+        kept = self.levels[self.order].filter(F.col("n") >= max(1, math.ceil(share * self.total))).withColumn("context", F.shiftright("gram", 8))
+        told = kept.join(self._contexts(self.order), "context").select("gram", F.log10(F.col("n") / (F.col("total") + F.col("distinct"))).alias("p"))
+        got = told.orderBy("gram").toArrow()
+        return got["gram"].to_numpy().astype(np.uint64), got["p"].to_numpy()
+
+    def log10(self, grams: DataFrame) -> DataFrame:
+        """``gram, p`` for different grams of full length: log10 probability of the last byte after the ones before it.
+
+        At each context length, grams meet their count and their context's sums;
+        those not seen pay for the escape and go on with what their context rules
+        out. Tables of contexts of up to two bytes are broadcast, other joins are
+        shuffled, on keys of which none is common among different grams of the
+        same length.
+        """
+        zero = F.lit(0.0)
+        left = grams.select("gram", zero.alias("p"), zero.alias("ruled_n"), zero.alias("ruled_d"))
+        done = []
         for k in range(self.order, -1, -1):
-            level = self.levels[k]
-            if not len(todo) or not len(level["codes"]):
-                continue
-            codes = grams[todo] & np.uint64((1 << 8 * (k + 1)) - 1)
-            node = level["node"](codes >> np.uint64(8))
-            known = node >= 0
-            escape = np.where(known, level["distinct"][node] - ruled_d + level["pruned"][node], 0)
-            total = np.where(known, level["kept"][node] - ruled_n, 0) + escape
-            child = level["child"](codes)
-            hit = child >= 0
-            out[todo[hit]] += np.log10(level["n"][child[hit]] / total[hit])
-            pay = known & ~hit & (total > 0)
-            out[todo[pay]] += np.log10(escape[pay] / total[pay])
-            ruled_n = np.where(known, level["above"][node], ruled_n)[~hit]
-            ruled_d = np.where(known, level["distinct"][node], ruled_d)[~hit]
-            todo = todo[~hit]
-        out[todo] -= np.log10(256 - ruled_d)
+            small = F.broadcast if k <= _FEW_CONTEXTS else lambda df: df
+            mask = F.lit((1 << 8 * (k + 1)) - 1)
+            own = left.withColumn("code", F.col("gram").bitwiseAND(mask)).withColumn("context", F.shiftright("code", 8))
+            own = own.join(small(self._contexts(k)), "context", "left")
+            seen = self.levels[k].select(F.col("gram").alias("code"), "n")
+            own = own.join(F.broadcast(seen) if k < _FEW_CONTEXTS else seen, "code", "left")
+            escape = F.col("distinct") - F.col("ruled_d")
+            whole = F.col("total") - F.col("ruled_n") + escape
+            pay = F.when(F.col("n").isNotNull(), F.log10(F.col("n") / whole)).when(whole > 0, F.log10(escape / whole)).otherwise(0.0)
+            own = store(own.select("gram", "context", (F.col("p") + pay).alias("p"), "ruled_n", "ruled_d", "distinct", F.col("n").isNotNull().alias("hit")))
+            done.append(own.filter("hit").select("gram", "p"))
+            left = own.filter("NOT hit")
+            if left.isEmpty():
+                break
+            if k:  # what the context rules out, as the next shorter one counts it
+                needed = left.filter("distinct IS NOT NULL").select("context").distinct()
+                children = self.levels[k].withColumn("context", F.shiftright("gram", 8)).join(needed, "context", "left_semi")
+                shorter = self.levels[k - 1].select(F.col("gram").alias("code"), F.col("n").alias("above"))
+                children = children.select("context", F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("code")).join(F.broadcast(shorter) if k - 1 < _FEW_CONTEXTS else shorter, "code")
+                sums = children.groupBy("context").agg(F.sum("above").cast("double").alias("above"))
+                left = left.join(sums, "context", "left").select("gram", "p", F.coalesce("above", "ruled_n").alias("ruled_n"), F.when(F.col("above").isNotNull(), F.col("distinct")).otherwise(F.col("ruled_d")).alias("ruled_d"))
+            else:
+                ruled = F.coalesce("distinct", "ruled_d")
+                done.append(left.select("gram", (F.col("p") - F.log10(256 - ruled)).alias("p")))
+        out = done[0]
+        for more in done[1:]:
+            out = out.unionByName(more)
         return out
 
-    def score(self, column: pa.Array) -> np.ndarray:
-        """log10 probability of each text, its end included."""
-        grams, at = _symbols(column, self.order)
-        return np.add.reduceat(self.log10(grams), at[:-1]) if len(at) > 1 else np.zeros(0)
 
-
-def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, share: float = SHARE) -> Model:
-    """Gather a model's counts over all of ``docs``; NULL texts are empty. No documents give an empty model."""
-    total = docs.agg(F.sum(F.octet_length(F.coalesce(text_col, F.lit(""))).cast("long") + F.lit(1))).first()[0] or 0
-    kept = store(gram_counts(docs.select(text_col), order).filter(F.col("n") >= max(1, math.ceil(share * total)))).toArrow()
-    return Model(order, kept["gram"].to_numpy(), kept["n"].to_numpy(), uuid4().hex)
+def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Trie:
+    """Gather a trie's counts over all of ``docs``; NULL texts are empty. No documents give an empty trie."""
+    levels = [store(gram_counts(docs.select(text_col), order))]
+    for k in range(order, 0, -1):
+        shorter = levels[0].groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
+        levels.insert(0, store(shorter))
+    return Trie(order, levels, levels[0].agg(F.sum("n")).first()[0] or 0)
 
 
 class AdaptivePpm:
@@ -222,10 +215,10 @@ class AdaptivePpm:
 
 
 def score_adaptive(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """``id_col, score``: log10 probability of each text under a model that starts empty (NULL: empty text)."""
+    """``id_col, score``: log10 probability of each text under a model that starts empty (NULL: empty text). Time and memory go with a text's length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             scores = [AdaptivePpm(order).score((t or "").encode()) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=[id_col, "score"])
 
@@ -263,10 +256,15 @@ def _word_rows(held: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
 
 
-_READY: dict[str, tuple[Model, dict[bytes, float]]] = {}
+_READY: dict[str, tuple[_Lookup, np.ndarray, dict[bytes, float]]] = {}
+_NAMES = ["key", "id", "held_out", "n_tokens", "n_known", "common", "score", "words", "word_counts", "grams", "gram_counts"]
+
 
+def _lists(sizes: list[int], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
 
-def score(docs: DataFrame, training: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, share: float = SHARE) -> DataFrame:
+
+def score(docs: DataFrame, training: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, common_grams: float = COMMON_GRAMS, common_words: float = COMMON) -> DataFrame:
     """Score every document by a model trained on ``training`` (by default those not held out).
 
     Returns for each input row: ``id_col, held_out, n_tokens, n_known,
@@ -274,67 +272,75 @@ def score(docs: DataFrame, training: DataFrame | None = None, id_col: str = "doc
     of the text; ``base_score`` that of a smoothed word model over lower-cased
     words and one end a text. NULL texts are empty; empty texts have their end.
     Repeated rows are scored (and learned) each; no training documents leave
-    both models uniform.
+    both models uniform. Very long texts are read whole, in memory that goes
+    with their length.
 
-    Common words (a share of COMMON or more, so at most 1 / COMMON of them, up
-    to WORD_BYTES long) are counted within a document against a broadcast list;
-    all others are joined with the vocabulary by shuffle, where none is hot.
+    Common words (at most 1 / common_words of them, up to WORD_BYTES long) and
+    common grams are counted within a document against broadcast lists; all
+    others are joined by shuffle. The two shares change no result but by the
+    order in which numbers are added.
     """
     held = held_out(id_col)
     training = docs.filter(~held) if training is None else training
-    model = train(training, text_col, order, share)
+    trie = train(training, text_col, order)
     vocabulary = store(word_counts(training.select(text_col)))
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    common = (F.col("n") >= COMMON * total) & (F.octet_length("word") <= WORD_BYTES)
-    listed = vocabulary.filter(common).toArrow()
+    listed = vocabulary.filter((F.col("n") >= common_words * total) & (F.octet_length("word") <= WORD_BYTES)).toArrow()
     listed = (listed["word"].to_pylist(), listed["n"].to_pylist())
-    shared = docs.sparkSession.sparkContext.broadcast((model, listed))
-    name = model.name
-    fields = "key long, id {}, held_out boolean, n_tokens long, n_known long, common double, score double, word binary, n long"
+    shared = docs.sparkSession.sparkContext.broadcast((*trie.common(common_grams), listed))
+    name = uuid4().hex
+    fields = "key long, id {}, held_out boolean, n_tokens long, n_known long, common double, score double, words array<binary>, word_counts array<long>, grams array<long>, gram_counts array<long>"
 
-    def ready() -> tuple[Model, dict[bytes, float]]:
+    def ready() -> tuple[_Lookup, np.ndarray, dict[bytes, float]]:
         if name not in _READY:
             _READY.clear()
-            trie, (words, counts) = shared.value
-            _READY[name] = trie, dict(zip(words, map(math.log10, [c + 1 for c in counts]), strict=True))
+            codes, p, (words, counts) = shared.value
+            _READY[name] = _Lookup(codes), np.append(p, 0.0), dict(zip(words, map(math.log10, [c + 1 for c in counts]), strict=True))
         return _READY[name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, weight = ready()
+        lookup, p, weight = ready()
+        end = b"" in weight
         for batch in sliced(batches, 3, _BATCH):
-            key, ids, out, scores = batch.column(0).to_pylist(), batch.column(1), batch.column(2), trie.score(batch.column(3))
-            row, words, counts, tokens, known, sums = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(3).to_pylist()):
+            grams, at = _symbols(batch.column(3), order)
+            found = lookup(grams)
+            scores = np.add.reduceat(p[found], at[:-1])  # the last, for -1, is 0
+            missed = np.flatnonzero(found < 0)
+            rare, rare_counts, sizes = [], [], []
+            for a, b in pairwise(np.searchsorted(missed, at)):
+                mine, n = np.unique(grams[missed[a:b]], return_counts=True)
+                rare.append(mine)
+                rare_counts.append(n)
+                sizes.append(len(mine))
+            words, word_counts, word_sizes, tokens, known, sums = [], [], [], [], [], []
+            for text in batch.column(3).to_pylist():
                 mine = _words(text)
-                rare = [w for w in mine if w not in weight]
-                end = b"" in weight
+                odd = Counter(w for w in mine if w not in weight)
                 tokens.append(len(mine) + 1)
-                known.append(len(mine) - len(rare) + end)
+                known.append(len(mine) - odd.total() + end)
                 sums.append(sum(weight[w] for w in mine if w in weight) + (weight[b""] if end else 0.0))
-                found = Counter(rare)
                 if not end:
-                    found[b""] = 1
-                row += [i] * len(found)
-                words += found
-                counts += found.values()
-            n, rest = batch.num_rows, len(row)
-            # a document's own row: a word with a space matches none, and no two are alike
+                    odd[b""] = 1
+                words += odd
+                word_counts += odd.values()
+                word_sizes.append(len(odd))
             yield pa.RecordBatch.from_arrays([
-                pa.array([*key, *[key[i] for i in row]], pa.int64()), pa.concat_arrays([ids, ids.take(pa.array(row, pa.int64()))]),
-                pa.concat_arrays([out, pa.nulls(rest, pa.bool_())]), pa.array([*tokens, *[None] * rest], pa.int64()), pa.array([*known, *[0] * rest], pa.int64()),
-                pa.array([*sums, *[0.0] * rest], pa.float64()), pa.array([*scores.tolist(), *[None] * rest], pa.float64()),
-                pa.array([*[b" %d" % k for k in key], *words], pa.binary()), pa.array([*[0] * n, *counts], pa.int64()),
-            ], names=["key", "id", "held_out", "n_tokens", "n_known", "common", "score", "word", "n"])
+                *(batch.column(i) for i in range(3)), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores, pa.float64()),
+                _lists(word_sizes, pa.array(words, pa.binary())), _lists(word_sizes, pa.array(word_counts, pa.int64())),
+                _lists(sizes, pa.array(np.concatenate(rare).astype(np.int64))), _lists(sizes, pa.array(np.concatenate(rare_counts).astype(np.int64))),
+            ], names=_NAMES)
 
     rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).alias("text"))
     told = store(rows.transform(map_arrow, run, fields.format(rows.schema["id"].dataType.simpleString())))
-    rare = vocabulary.filter(~common).select("word", F.col("n").alias("c"))
-    joined = told.join(rare, "word", "left")
-    seen = F.col("c").isNotNull()
-    sums = joined.groupBy("key", "id").agg(
-        F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        (F.sum("n_known") + F.sum(F.when(seen, F.col("n")).otherwise(0))).alias("n_known"),
-        (F.sum("common") + F.sum(F.when(seen, F.col("n") * F.log10(F.col("c") + 1)).otherwise(0.0))).alias("logs"), F.max("score").alias("score"),
+
+    words = told.select("key", F.explode(F.arrays_zip("words", "word_counts")).alias("x")).select("key", F.col("x.words").alias("word"), F.col("x.word_counts").alias("times"))
+    words = words.join(vocabulary.select("word", F.col("n").alias("c")), "word").groupBy("key").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more_logs"))
+    grams = told.select("key", F.explode(F.arrays_zip("grams", "gram_counts")).alias("x")).select("key", F.col("x.grams").alias("gram"), F.col("x.gram_counts").alias("times"))
+    grams = grams.join(store(trie.log10(store(grams.select("gram").distinct()))), "gram").groupBy("key").agg(F.sum(F.col("times") * F.col("p")).alias("more_score"))
+    out = told.select(*_NAMES[:7]).join(words, "key", "left").join(grams, "key", "left")
+    zero = F.lit(0)
+    base = F.col("common") + F.coalesce("more_logs", zero) - F.col("n_tokens") * math.log10(total + distinct + 1)
+    return out.select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", zero)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        base.alias("base_score"), (F.col("score") + F.coalesce("more_score", zero)).alias("score"),
     )
-    base = F.col("logs") - F.col("n_tokens") * math.log10(total + distinct + 1)
-    return sums.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
