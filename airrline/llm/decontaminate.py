@@ -1,13 +1,16 @@
 """Benchmark decontamination: BM25 retrieval of test items by every passage, then verification.
 
-Test items form an inverted index with impacts in blocks. Every passage of
-every document (overlapping windows of words, twice as long as the longest item
-or more) is a query; block-max WAND finds all items whose score passes the
-threshold. Scores are shares of the score an item gives itself, so one threshold
+Test items form inverted indexes with impacts in blocks, one for each power of
+two that items' lengths come under. Every passage of every document (overlapping
+windows of words, twice as long as that power, so of every item's own width,
+whatever other items there are) is a query; block-max WAND finds all items whose
+score passes the threshold. Scores are shares of the score an item gives itself, so one threshold
 serves short and long items. Terms that together cannot carry any item over the
 threshold are not essential: the cursors run over the others, and the bound of
 what non-essential terms can add is kept for each block. A hit counts once both
-its question and its answer are found in the passage.
+its question and its answer are found in the passage. Words of short items stand
+in many texts by chance: items of fewer than VERBATIM words count only where they
+stand word for word, those of fewer than GRAM words never.
 """
 
 from __future__ import annotations
@@ -21,14 +24,15 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from airrline.llm.common import map_arrow, sliced
+from airrline.llm.common import map_arrow, sliced, store
 
 THRESHOLD = 0.6  # of an item's own score
 OVERLAP = 0.5  # of the word n-grams of question and of answer
 GRAM = 3
 K1, B = 1.2, 0.75
 BLOCK = 16  # items in a block of postings
-LEAST_PASSAGE = 32  # words a passage advances by, at least
+LEAST_PASSAGE = 64  # words a passage advances by, at least
+VERBATIM = 8  # words of an item under which it must stand in the passage as it is
 MAX_INDEX_BYTES = 32 << 20  # of item text in one broadcast index; a larger benchmark is taken in parts
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
@@ -63,15 +67,21 @@ def _found(part: Sequence[str], passage: Sequence[str]) -> float:
     return len(want & have) / len(want)
 
 
+def stride_of(n_words: int) -> int:
+    """Words that passages for an item advance by: a power of two times LEAST_PASSAGE, the item's length or more."""
+    return LEAST_PASSAGE << max(0, (n_words - 1) // LEAST_PASSAGE).bit_length()
+
+
 class Index:
-    """Inverted index over items (id, text), given the whole benchmark's statistics."""
+    """Inverted index over items (id, text) of one stride, given the whole benchmark's statistics."""
 
-    def __init__(self, items: Sequence[tuple[int, str]], df: dict[str, int], n_items: int, mean_words: float, threshold: float = THRESHOLD):
+    def __init__(self, items: Sequence[tuple[int | None, str]], df: dict[str, int], n_items: int, mean_words: float, threshold: float = THRESHOLD):
         self.threshold = threshold
         self.ids = [i for i, _ in items]
         self.parts = [split_item(t) for _, t in items]
         words = [tokens(t) for _, t in items]
-        self.longest = max(map(len, words), default=0)
+        self.stride = max(map(stride_of, map(len, words)), default=LEAST_PASSAGE)
+        self.whole = {i: " " + " ".join(w) + " " for i, w in enumerate(words) if len(w) < VERBATIM}
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for i, mine in enumerate(words):
             weight = {}
@@ -137,14 +147,20 @@ class Index:
             cursors = [c for c in cursors if c[0] < len(c[1])]
         return found
 
-    def leaks(self, text: str | None) -> list[tuple[int, float, float, float]]:
-        """(item, score, question share, answer share) of every item that a text leaks, by item."""
-        words = tokens(text)
+    def verify(self, item: int, passage: Sequence[str]) -> tuple[float, float] | None:
+        """Shares of an item's question and answer in a passage, if both are found."""
+        if item in self.whole:
+            return (1.0, 1.0) if self.whole[item] in " " + " ".join(passage) + " " else None
+        question, answer = (_found(part, passage) for part in self.parts[item])
+        return (question, answer) if question >= OVERLAP and answer >= OVERLAP else None
+
+    def leaks(self, words: Sequence[str]) -> list[tuple[int | None, float, float, float]]:
+        """(item, score, question share, answer share) of every item that a text's words leak."""
         major = self.major
         hits = [i for i, w in enumerate(words) if w in major]
         if not hits:
             return []
-        stride = max(LEAST_PASSAGE, self.longest)
+        stride = self.stride
         windows: dict[int, set[str]] = defaultdict(set)
         for i in hits:
             p = i // stride
@@ -158,18 +174,24 @@ class Index:
                 continue
             passage = words[p * stride : (p + 2) * stride]
             for i, score in self.search(sorted(majors), set(passage)):
-                question, answer = (_found(part, passage) for part in self.parts[i])
-                if question >= OVERLAP and answer >= OVERLAP and (score, question, answer) > best.get(i, (-1.0,)):
-                    best[i] = score, question, answer
-        return sorted((self.ids[i], *v) for i, v in best.items())
+                if (shares := self.verify(i, passage)) and (score, *shares) > best.get(i, (-1.0,)):
+                    best[i] = score, *shares
+        return [(self.ids[i], *v) for i, v in best.items()]
+
+
+def leaks_of(indexes: Sequence[Index], text: str | None) -> list[tuple[int | None, float, float, float]]:
+    """What a text leaks of all indexes, by item, NULL ids first."""
+    words = tokens(text)
+    return sorted((x for index in indexes for x in index.leaks(words)), key=lambda x: (x[0] is not None, x[0] or 0, x[1:]))
 
 
-def build_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", threshold: float = THRESHOLD, part_bytes: int = MAX_INDEX_BYTES) -> list[Index]:
-    """Indexes over parts of the benchmark, each within ``part_bytes`` of text, with statistics over all of it.
+def build_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", threshold: float = THRESHOLD, part_bytes: int = MAX_INDEX_BYTES) -> list[list[Index]]:
+    """For each part of the benchmark, within ``part_bytes`` of text, its indexes by stride, with statistics over all of it.
 
-    Items without a word are left out, and so are NULL ids; equal rows are one item.
+    Items of fewer than GRAM words are left out, though the statistics count
+    them; equal rows are one item; a NULL id stays NULL.
     """
-    items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL").distinct()
+    items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL").distinct()
     n_bytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(2 * n_bytes / part_bytes))  # hashed parts are uneven, so aim at half
 
@@ -189,16 +211,19 @@ def build_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     out = []
     for part in range(parts):
         mine = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part)
-        rows = sorted((r["id"], r["text"]) for r in mine.collect())
-        rows = [r for r in rows if tokens(r[1])]
-        if not rows:
+        rows = sorted(((r["id"], r["text"]) for r in mine.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        strides: dict[int, list[tuple[int | None, str]]] = defaultdict(list)
+        for row in rows:
+            if (n := len(tokens(row[1]))) >= GRAM:
+                strides[stride_of(n)].append(row)
+        if not strides:
             continue
         if parts == 1:
             df = {r["term"]: r["df"] for r in counts.collect()}
         else:
             terms = mine.select("text").transform(map_arrow, split, "term string, n long").select("term").distinct()
             df = {r["term"]: r["df"] for r in counts.join(terms, "term", "left_semi").collect()}
-        out.append(Index(rows, df, whole["df"], whole["n"] / whole["df"], threshold))
+        out.append([Index(own, df, whole["df"], whole["n"] / whole["df"], threshold) for _, own in sorted(strides.items())])
     return out
 
 
@@ -207,7 +232,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", th
 
     All columns stay (one of that name is replaced), NULL and empty texts
     are clean, repeated rows come back each. Whole texts are read. An empty
-    benchmark leaves all clean. The indexes are broadcast one after another.
+    benchmark leaves all clean. Items of fewer than GRAM words are never found,
+    of fewer than VERBATIM words only as they stand; a NULL item id is reported
+    as NULL; of equal scores, any passage may give an item's shares. Parts of a
+    large benchmark are broadcast one at a time, with what was found so far
+    stored in between; the result does not depend on the parts.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -219,6 +248,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", th
     out, names = docs, []
     leak = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
     for k, index in enumerate(indexes):
+        if k:
+            out = store(out)
+            shared.unpersist()
         shared = docs.sparkSession.sparkContext.broadcast(index)
         name = f"__leaks_{k}"
         arrow = to_arrow_schema(out.schema).append(pa.field(name, leak))
@@ -227,10 +259,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", th
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, arrow=arrow, at=at) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches, at):
-                found = [shared.value.leaks(t) for t in batch.column(at).to_pylist()]
+                found = [leaks_of(shared.value, t) for t in batch.column(at).to_pylist()]
                 rows = [[dict(zip(("item_id", "score", "question", "answer"), x, strict=True)) for x in f] for f in found]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, leak)], names=arrow.names)
 
         out = out.transform(map_arrow, run, schema)
         names.append(name)
-    return out.withColumn(out_col, F.concat(*names)).drop(*names)
+    found = F.concat(*names)
+    known = F.array_sort(F.filter(found, lambda x: x["item_id"].isNotNull()))
+    in_order = F.concat(F.array_sort(F.filter(found, lambda x: x["item_id"].isNull())), known)
+    return out.withColumn(out_col, in_order if len(names) > 1 else F.col(names[0])).drop(*names)

@@ -365,17 +365,36 @@ def test_decontaminate_against_scoring_all(spark):
     in_parts = decontaminate.find_leaks(docs(spark, rows), bench, part_bytes=2000).collect()
     assert Counter((r.doc_id, tuple(sorted(x.item_id for x in r.leaks))) for r in in_parts) == got
     assert decontaminate.find_leaks(docs(spark, rows), bench.limit(0)).filter(F.size("leaks") > 0).count() == 0
-    index = decontaminate.build_indexes(bench)[0]
+    index = decontaminate.build_indexes(bench)[0][0]
     for _, text in rows:
         w = decontaminate.tokens(text)
-        stride = max(decontaminate.LEAST_PASSAGE, index.longest)
-        for p in range(len(w) // stride + 1):
-            passage = set(w[p * stride : (p + 2) * stride])
+        for p in range(len(w) // index.stride + 1):
+            passage = set(w[p * index.stride : (p + 2) * index.stride])
             scores = [sum(x for t, x in own.items() if t in passage) for own in index.terms]
             expected = {i for i, s in enumerate(scores) if s >= index.threshold - 1e-9}
             assert {i for i, _ in index.search(sorted(passage & set(index.major)), passage)} == expected
 
 
+@pytest.mark.parametrize("part_bytes", [300, 3000, 20_000])
+def test_decontaminate_is_the_same_in_any_parts(spark, part_bytes):
+    r = random.Random(9)
+    lengths = [1, 2, 3, 5, 7, 8, 24, 24, 40, 64, 65, 120, 130, 300, 660]
+    items = [(i, words(n, 700 + i, 3000)) for i, n in enumerate(lengths)] + [(None, words(30, 800, 3000))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = []
+    for i, (_, text) in enumerate(items):
+        own = words(r.randint(0, 400), i, 3000).split()
+        at = r.randint(0, len(own))
+        rows.append((i, " ".join([*own[:at], text, *own[at:]])))
+    rows += [(100, items[0][1] + " " + words(200, 5)), (101, " ".join(reversed(items[4][1].split())))]
+    found = lambda table: sorted((x.doc_id, [tuple(y) for y in x.leaks]) for x in table.collect())
+    got = found(decontaminate.find_leaks(docs(spark, rows), bench, part_bytes=part_bytes))
+    assert got == found(decontaminate.find_leaks(docs(spark, rows), bench))
+    told = {i: {x[0] for x in leaks} for i, leaks in got}
+    assert all(items[i][0] in told[i] for i in range(2, len(items))) and not told[100] and not told[101]
+    assert 0 not in set().union(*told.values()) and 1 not in set().union(*told.values())
+
+
 def _classes(rows):
     texts = defaultdict(list)
     for i, t in rows:
