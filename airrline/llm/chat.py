@@ -5,8 +5,8 @@ it is, parsed again, and compared with its source; where they differ, the
 conflicting strings in its text are escaped: every ``<``, backslashes, ``turn``
 or ``/turn`` gets one backslash more, so no text can begin or end a turn, and
 reading takes one away. One more backslash always suffices, so the loop "escape until
-identical" is two steps long and fits an expression; the result is compared
-once more as a whole conversation.
+identical" is two steps long and fits an expression. The result is compared once
+more as a whole conversation; a difference there stops the query.
 """
 
 from __future__ import annotations
@@ -62,7 +62,8 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     turns of their own. NULL roles and texts are empty. Rows with a NULL id form
     one conversation. ``loss_spans`` holds (start, end) in code points, end
     exclusive, of the bodies whose role is ``learn``, in order, escaped as they
-    stand. ``identical`` says that parsing gives back the source turns. An empty
+    stand. ``identical`` says that parsing gives back the source turns; where it
+    does not, reading ``formatted`` is an error. An empty
     table gives an empty result; other columns are not read. A conversation is
     one text, so its rows meet in one task; no other rows do.
     """
@@ -83,14 +84,21 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     chats = chats.withColumn("formatted", F.array_join(F.col("t.shown"), ""))
     kept = F.filter(F.col("t.span"), lambda s: s.isNotNull())
     same = parse(F.col("formatted")) == F.transform("t", lambda x: F.struct(x.role.alias("role"), x.text.alias("text")))
-    return chats.select(F.col("conv_id").alias(conv_col), "formatted", kept.alias("loss_spans"), same.alias("identical"))
+    chats = chats.withColumn("identical", same)
+    told = F.when(F.col("identical"), F.col("formatted")).otherwise(F.raise_error(F.lit("a formatted conversation does not read back as its turns")))
+    return chats.select(F.col("conv_id").alias(conv_col), told.alias("formatted"), kept.alias("loss_spans"), "identical")
 
 
-def digest(chats: DataFrame, learn: str = "assistant", conv_col: str = "conv_id") -> DataFrame:
-    """What parsing reads back from ``formatted``: turns and loss text, as counts and SHA-256."""
+def loss_texts(formatted: Column, spans: Column) -> Column:
+    """What stands under the loss mask, read back: an array of texts."""
+    return F.transform(spans, lambda s: _unescape(F.substring(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
+
+
+def digest(chats: DataFrame, conv_col: str = "conv_id") -> DataFrame:
+    """What parsing reads back from ``formatted``, and what ``loss_spans`` mark in it, as counts and SHA-256."""
     t = chats.withColumn("turns", parse(F.col("formatted")))
     whole = F.array_join(F.transform("turns", lambda x: F.concat(x.role, F.lit("\n"), x.text, F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda x: x.role == learn), lambda x: x.text), "")
+    loss = F.array_join(loss_texts(F.col("formatted"), F.col("loss_spans")), "")
     t = t.withColumn("whole", whole).withColumn("loss", loss)
     return t.select(
         conv_col, F.size("turns").cast("long").alias("n_turns"), F.sha2(F.encode("whole", "UTF-8"), 256).alias("turns_sha256"),

@@ -316,6 +316,14 @@ def test_chat_round_trip(spark):
         loss = "".join(text for _, role, text in turns if role == "assistant")
         assert (d.loss_chars, d.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat.format_chats(table.limit(0)).count() == 0
+    chats = chat.format_chats(table)
+    moved = F.transform("loss_spans", lambda x: F.struct((x["start"] + 1).alias("start"), x["end"].alias("end")))
+    right = {d.conv_id: d for d in chat.digest(chats).collect()}
+    shifted = {d.conv_id: d for d in chat.digest(chats.withColumn("loss_spans", moved)).collect()}
+    assert all(shifted[k].turns_sha256 == d.turns_sha256 and (shifted[k].loss_sha256 != d.loss_sha256 or not d.loss_chars) for k, d in right.items())
+    assert any(d.loss_chars for d in right.values())
+    long = spark.createDataFrame([(1, t, "assistant", "x<turn " * 40_000 if t == 1 else "y") for t in range(3)], "conv_id long, turn long, role string, text string")
+    assert chat.digest(chat.format_chats(long)).first().loss_chars == 7 * 40_000 + 2
 
 
 def test_secrets(spark):
