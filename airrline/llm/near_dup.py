@@ -35,8 +35,9 @@ SHINGLE = 5
 SIMILAR = 0.8
 SKETCHES, ELEMENTS = 64, 8  # agree with odds of 0.8 ** 8 each at the threshold: all 64 miss once in 100,000
 SHORT, SHORT_SKETCHES, SHORT_ELEMENTS = 40, 24, 2  # shingles up to which a text has these sketches as well
-LEADS = 300_000  # shingles of the nodes that lead one group, about
-MEMBERS = 5000  # nodes that meet a group's leads in one place, about
+LEADS = 100_000  # shingles of the nodes that lead one group, about
+MEMBERS = 800  # nodes that meet a group's leads in one place, about
+FILTER_BITS = 27  # the filter of documents whose shingles are wanted has 2 ** 27 bits at most, 16 MB
 _BATCH = 1 << 20
 _R = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 ** 64
 _MASK = (1 << 64) - 1
@@ -139,16 +140,43 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.transform(map_arrow, run, f"id {rows.schema['id'].dataType.simpleString()}, digest binary, n long, keys array<long>")
 
 
-def shapes(texts: DataFrame) -> DataFrame:
-    """``node, shingles``: hashes of a text's labelled shingles in text order, eight bytes each."""
+def _filter(rows: DataFrame, by: list[str]) -> np.ndarray:
+    """A set of bits for the hashes of ``by``, 2 ** FILTER_BITS at most, as 64-bit words; made in tasks."""
+    bits = min(FILTER_BITS, max(12, (32 * rows.count()).bit_length()))
+    set_bits = rows.select(F.xxhash64(*by).bitwiseAND(F.lit((1 << bits) - 1)).alias("bit"))
+    set_bits = set_bits.selectExpr("shiftright(bit, 6) AS word", "shiftleft(1L, cast(bit & 63 AS int)) AS mask")
+    words = set_bits.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(1 << bits - 6, np.uint64)
+    out[words["word"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
+    return out
+
+
+def shapes(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``node, shingles`` of the nodes in ``wanted`` (``node, digest, id``): hashes of labelled shingles in text order, eight bytes each.
+
+    Documents are told by digest and smallest id, so of a text's copies one is
+    read. Those that a broadcast set of bits rules out never leave their task,
+    and no text is shuffled.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(wanted, ["digest", "id"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 1, _BATCH):
-            hashes, begin = word_hashes(*as_bytes(batch.column(1)))
+        words = shared.value
+        for batch in sliced(batches, 3, _BATCH):
+            bit = batch.column(0).to_numpy().view(np.uint64) & np.uint64(64 * len(words) - 1)
+            some = pa.array(np.flatnonzero(words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)))
+            if not len(some):
+                continue
+            hashes, begin = word_hashes(*as_bytes(batch.column(3).take(some)))
             parts = [labelled_shingles(hashes[a:b]).tobytes() for a, b in pairwise(begin)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.binary())], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(some), batch.column(2).take(some), pa.array(parts, pa.binary())], names=["id", "digest", "shingles"])
 
-    return texts.select("node", "text").transform(map_arrow, run, "node long, shingles binary")
+    rows = docs.select(F.col(id_col).alias("id"), digest_of(text_col).alias("digest"), F.col(text_col).alias("text"))
+    rows = rows.select(F.xxhash64("digest", "id").alias("hash"), "id", "digest", "text")
+    found = rows.transform(map_arrow, run, f"id {rows.schema['id'].dataType.simpleString()}, digest binary, shingles binary")
+    right = wanted.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "node")
+    found = found.join(right, (F.col("digest") == F.col("__digest")) & F.col("id").eqNullSafe(F.col("__id")))
+    return found.select("node", "shingles").dropDuplicates(["node"])
 
 
 def _places(keys: np.ndarray, n: int, missing: int) -> np.ndarray:
@@ -284,7 +312,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rank = rows.groupBy("node").agg(F.count("*").alias("rank"))
     wanted = store(rank.join(nodes.select("node", "digest", "id"), "node"))
     rows = store(rows.join(wanted.select("node", "rank"), "node").select("key", "node", "n", "rank"))
-    shaped = store(shapes(_texts_of(docs, wanted, id_col, text_col)))
+    shaped = store(shapes(docs, wanted, id_col, text_col))
 
     lead = rows.groupBy("key").agg(F.max(F.struct("rank", -F.col("node"), "n")).alias("s")).select("key", (-F.col("s.col2")).alias("a"), F.col("s.n").alias("n_a"))
     met = rows.join(lead, "key").filter((F.col("node") != F.col("a")) & _lengths_allow("n", "n_a"))
@@ -335,18 +363,6 @@ def _meet_leaders(pairs: DataFrame, shaped: DataFrame) -> DataFrame:
     return _meet(leads, members, shaped, None)
 
 
-def _texts_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``node, text`` for nodes given by digest and smallest id.
-
-    Texts meet their node by id and digest, so a text's copies are dealt to
-    many tasks and all but those with the smallest id go at once.
-    """
-    keyed = docs.select(F.col(id_col).alias("id"), digest_of(text_col).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    right = nodes.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "node")
-    found = keyed.join(right, (F.col("digest") == F.col("__digest")) & F.col("id").eqNullSafe(F.col("__id")))
-    return found.groupBy("node").agg(F.min("text").alias("text"))
-
-
 def _with_class(df: DataFrame, classes: DataFrame, node: str, name: str) -> DataFrame:
     """Add a node's class; a node without links is its own."""
     known = classes.select(F.col("node").alias("__n"), F.col("class").alias("__c"))
