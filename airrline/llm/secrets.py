@@ -5,16 +5,21 @@ infers its encoding (hex, base32, base64 and the like), and asks three
 questions of its symbols as values 0..k-1: are they uniform over the alphabet
 (chi-squared), do values above and below the middle change places as often as
 chance has it (runs), and do neighbours go together (serial correlation)? Each
-gives a p-value under "random". Evidence against "ordinary text" is the lower
-tail of the chi-squared statistic where symbols follow text frequencies: it
-sharpens with length by itself, and longer tokens get more weight in the
-Benjamini-Hochberg step that bounds false discoveries among a document's tokens.
+gives a normal score that is large where symbols are not random; their sum is
+held against two distributions, for the token's encoding and length: that of
+random tokens, and that of ordinary ones (words, names and numbers joined as
+people join them), both simulated once. A token far in the lower tail of the
+ordinary ones and not in the upper tail of random ones is a secret. The lower
+tail is the p-value of the Benjamini-Hochberg step, which bounds false
+discoveries among a document's tokens and gives longer ones more weight.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,7 +39,9 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 PART = re.compile(r"[^=]+(?:=+\Z)?")  # with the padding at the token's end
 RUNS = (re.compile(r"[^_-]+"), re.compile(r"[^+/]+"))
 FDR = 0.05  # share of false discoveries among a document's tokens
-NOT_RANDOM = 0.001  # tokens that fail any randomness test at this level are not secrets
+NOT_RANDOM = 0.001  # tokens that fail the battery at this level are not secrets
+SIMULATED = 400  # tokens of each kind, for an encoding and length
+_LENGTHS = (20, 22, 24, 28, 32, 40, 48, 64, 96, 128, 256, 512, 1024)  # that are simulated; a token goes by the next shorter one
 _ALPHABETS = {
     "decimal": "0123456789",
     "hex": "0123456789abcdef",
@@ -61,53 +68,72 @@ def _upper_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-@lru_cache(maxsize=64)
-def _text_model(name: str) -> tuple[float, float]:
-    """Non-centrality of the chi-squared statistic for one symbol of text, and the variance of its terms."""
-    alphabet = _ALPHABETS[name]
-    weight = {ch: _TEXT.get(ch.lower(), 8) * (0.08 if ch.isupper() and name in ("base62", "base64", "base64url") else 1) for ch in alphabet}
-    total, k = sum(weight.values()), len(alphabet)
-    p = [w / total for w in weight.values()]
-    mean = sum(k * x * x for x in p)
-    return mean - 1, max(1e-9, sum(x * (k * x) ** 2 for x in p) - mean * mean)
-
-
-def battery(token: str, encoding: str) -> tuple[float, float, float, float]:
-    """p-values under "random" of the three tests, and the p-value under "ordinary text"."""
-    alphabet = _ALPHABETS[encoding]
-    index = {ch: i for i, ch in enumerate(alphabet)}
-    v = [index[ch] for ch in token.rstrip("=")]
-    n, k = len(v), len(alphabet)
+def scores(values: list[int], k: int) -> tuple[float, float, float]:
+    """Normal scores of the three tests over symbols 0..k-1: large where symbols are uneven, change sides seldom, or go with their neighbours."""
+    n = len(values)
     counts: dict[int, int] = {}
-    for x in v:
+    for x in values:
         counts[x] = counts.get(x, 0) + 1
-    stat = sum(c * c for c in counts.values()) * k / n - n
-    df = k - 1
-    # cube-root normal form of chi-squared, good for small expected counts in the upper tail
-    p_uniform = _upper_tail(((max(stat, 0.0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    stat, df = sum(c * c for c in counts.values()) * k / n - n, k - 1
+    uneven = ((max(stat, 0.0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))  # cube-root normal form
 
-    above = [x >= k / 2 for x in v]
+    above = [2 * x >= k for x in values]
     n1 = sum(above)
     n0 = n - n1
+    few = math.sqrt(n)
     if n1 and n0:
         runs = 1 + sum(a != b for a, b in zip(above, above[1:], strict=False))
         mean = 2 * n1 * n0 / n + 1
         var = (mean - 1) * (mean - 2) / max(1, n - 1)
-        p_runs = 2 * _upper_tail(abs(runs - mean) / math.sqrt(var)) if var > 0 else 1.0
-    else:
-        p_runs = 2.0 ** (1 - n)
+        few = (mean - runs) / math.sqrt(var) if var > 0 else 0.0
+
+    m = sum(values) / n
+    spread = sum((x - m) ** 2 for x in values)
+    r = sum((a - m) * (b - m) for a, b in zip(values, values[1:], strict=False)) / spread if spread else 1.0
+    return uneven, few, (r + 1 / n) * math.sqrt(n)
+
+
+def _ordinary(r: random.Random, name: str, n: int) -> str:
+    """A token as people write them: words by letter frequency, numbers, and what joins them."""
+    upper, mixed = name in ("HEX", "base32", "upper36"), name in ("base62", "base64", "base64url")
+    alphabet = _SETS[name]
+    letters = [ch for ch in _TEXT if (ch.upper() if upper else ch) in alphabet]
+    weights = [_TEXT[ch] + r.choice((0, 60)) for ch in letters] if r.random() < 0.5 else [_TEXT[ch] for ch in letters]  # names and short forms use letters otherwise
+    digits = [ch for ch in "0123456789" if ch in alphabet]
+    joint = r.choice(["", "_", "-"] if name == "base64url" else ["", "/"] if name == "base64" else [""])
+    camel = mixed and r.random() < 0.5
+    out, size = [], 0
+    while size < n:
+        if r.random() < 0.35:
+            part = "".join(r.choices(digits, k=r.randint(1, 5)))
+        else:
+            part = "".join(r.choices(letters, weights, k=r.randint(2, 9)))
+            part = part.upper() if upper else part.capitalize() if camel else part
+        out.append(part + joint)
+        size += len(out[-1])
+    return "".join(out)[:n]
+
+
+@lru_cache(maxsize=512)
+def _spread(name: str, n: int) -> tuple[float, float, float, float]:
+    """Mean and deviation of the summed scores of ordinary tokens, and of random ones."""
+    alphabet, r = _ALPHABETS[name], random.Random(f"{name} {n}")
+    index = {ch: i for i, ch in enumerate(alphabet)}
+    out = []
+    for draw in (lambda: [index[ch] for ch in _ordinary(r, name, n)], lambda: r.choices(range(len(alphabet)), k=n)):
+        sums = [sum(scores(draw(), len(alphabet))) for _ in range(SIMULATED)]
+        mean = sum(sums) / SIMULATED
+        out += [mean, math.sqrt(sum((x - mean) ** 2 for x in sums) / (SIMULATED - 1))]
+    return tuple(out)
 
-    m = sum(v) / n
-    spread = sum((x - m) ** 2 for x in v)
-    r = sum((a - m) * (b - m) for a, b in zip(v, v[1:], strict=False)) / spread if spread else 1.0
-    p_serial = 2 * _upper_tail(abs(r + 1 / n) * math.sqrt(n))
 
-    # under text, the statistic grows by the non-centrality for each pair of symbols
-    shift, var = _text_model(encoding)
-    mean_text = df + (n - 1) * shift
-    sd_text = math.sqrt(2 * df + 4 * n * var)
-    p_text = _upper_tail((mean_text - stat) / sd_text)
-    return p_uniform, p_runs, p_serial, p_text
+def battery(token: str, encoding: str) -> tuple[float, float]:
+    """p-values of a token's summed scores: the lower tail under "ordinary", and the upper tail under "random"."""
+    index = {ch: i for i, ch in enumerate(_ALPHABETS[encoding])}
+    values = [index[ch] for ch in token.rstrip("=")]
+    total = sum(scores(values, len(index)))
+    mean, sd, mean_random, sd_random = _spread(encoding, _LENGTHS[max(0, bisect_right(_LENGTHS, len(values)) - 1)])
+    return _upper_tail((mean - total) / sd), _upper_tail((total - mean_random) / sd_random)
 
 
 def _varied(token: str) -> bool:
@@ -127,24 +153,36 @@ def _pieces(token: str, at: int) -> list[tuple[int, int]]:
     return out
 
 
+def _free(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those of ``spans`` that overlap none of ``taken``."""
+    starts, ends = [], []
+    for a, b in sorted(taken):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return [(a, b) for a, b in spans if not (i := bisect_left(starts, b)) or ends[i - 1] <= a]
+
+
 def random_spans(text: str, taken: list[tuple[int, int]], fdr: float = FDR) -> list[tuple[int, int]]:
     """Spans of random-looking tokens that overlap none of ``taken``."""
     tested = []
-    for a, b in (x for m in TOKEN.finditer(text) for x in _pieces(m[0], m.start())):
-        if any(a < e and s < b for s, e in taken):
-            continue
+    for a, b in _free([x for m in TOKEN.finditer(text) for x in _pieces(m[0], m.start())], taken):
         encoding = infer_encoding(text[a:b])
         if encoding is None or encoding == "decimal" or not _varied(text[a:b]):
             continue
-        *random, p_text = battery(text[a:b], encoding)
-        tested.append((p_text, min(random), a, b))
+        tested.append((*battery(text[a:b], encoding), a, b))
     if not tested:
         return []
     mean = sum(b - a for _, _, a, b in tested) / len(tested)
     weighted = sorted((p * mean / (b - a), r, a, b) for p, r, a, b in tested)  # weights average 1
     cut = max((i for i, x in enumerate(weighted, 1) if x[0] <= fdr * i / len(weighted)), default=0)
-    found = [(a, b) for _, r, a, b in weighted[:cut] if r >= NOT_RANDOM]
-    return sorted((a, b) for a, b in found if not any(s <= a and b <= e and (s, e) != (a, b) for s, e in found))
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(((a, b) for _, r, a, b in weighted[:cut] if r >= NOT_RANDOM), key=lambda x: (x[0], -x[1])):
+        if not out or b > out[-1][1]:  # not within the one before
+            out.append((a, b))
+    return out
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:

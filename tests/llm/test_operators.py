@@ -347,6 +347,86 @@ def test_secrets_power_and_false_alarms():
     assert found > 150 and false < 10
 
 
+def test_secrets_recall_by_encoding_and_length():
+    r = random.Random(21)
+    least = {"HEX": (0.85, 0.95), "base32": (0.3, 0.5), "lower36": (0.35, 0.5), "base62": (0.7, 0.9), "base64": (0.5, 0.65), "base64url": (0.5, 0.65)}
+    for name, (short, long) in least.items():
+        for n, want in ((20, short), (32, long), (64, 0.95)):
+            found = sum(bool(secrets.random_spans("sig=" + "".join(r.choices(secrets._ALPHABETS[name], k=n)), [])) for _ in range(100))
+            false = sum(bool(secrets.random_spans(secrets._ordinary(r, name, n), [])) for _ in range(100))
+            assert found >= 100 * want and false <= 12, (name, n, found, false)
+
+
+def _plain_secrets(text):
+    """The base spans, character by character."""
+    value, out = set(string.ascii_letters + string.digits + "+/_.=-"), []
+
+    def run(i, allowed):
+        while i < len(text) and text[i] in allowed:
+            i += 1
+        return i
+
+    def assign(i):
+        for name in ("password", "passwd", "secret", "token", "apikey", "api_key"):
+            if text[i : i + len(name)].isascii() and text[i : i + len(name)].lower() == name:
+                j = i + len(name)
+                j += text[j : j + 1] in ("'", '"')
+                j = run(j, " ")
+                if text[j : j + 1] not in (":", "="):
+                    continue
+                j = run(j + 1, " ")
+                j += text[j : j + 1] in ("'", '"')
+                if (end := run(j, value)) > j:
+                    return end, end - j >= 12
+        return None
+
+    def access(i):
+        end = run(i + 4, string.ascii_uppercase + string.digits)
+        return (end, end - i >= 18) if text.startswith("AKIA", i) and end > i + 4 else None
+
+    def hexes(i):
+        end = run(i, "0123456789abcdef")
+        return (end, end - i >= 16) if end > i else None
+
+    for kind, match in (("assign", assign), ("access", access), ("hex", hexes)):
+        i = 0
+        while i < len(text):
+            if found := match(i):
+                if found[1]:
+                    out.append((i, found[0], kind))
+                i = found[0]
+            else:
+                i += 1
+    return out
+
+
+def test_secrets_base_against_a_plain_scan():
+    r = random.Random(31)
+    bits = ["password", "passWD", "Secret", "token", "api_key", "apikey", "ſecret", "=", ":", " = ", "'", '"', " ", "AKIA", "A1B2C3D4E5", "0123456789abcdef", "deadbeef", "x", "é", "\n", "abcdefghijkl", ".", "-_", "=="]
+    for _ in range(4000):
+        text = "".join(r.choices(bits, k=r.randint(1, 14)))
+        base = [x for x in secrets.scan(text) if x[2] != "random"]
+        assert sorted(base) == sorted(_plain_secrets(text)), text
+
+
+def test_secrets_spans_keep_apart():
+    r = random.Random(32)
+    for _ in range(500):
+        spans, taken = ([(a, a + r.randint(1, 12)) for a in (r.randrange(60) for _ in range(r.randint(0, 8)))] for _ in range(2))
+        assert secrets._free(spans, taken) == [x for x in spans if not any(x[0] < e and s < x[1] for s, e in taken)]
+
+
+def test_secrets_of_long_texts_in_linear_time():
+    import time
+
+    r = random.Random(33)
+    began = time.perf_counter()
+    long = " ".join("".join(r.choices(secrets._ALPHABETS["base62"], k=30)) for _ in range(32_000))
+    assert len(secrets.scan(long)) > 10_000 and secrets.scan("a" * 1_000_000) != 1
+    assert len(secrets.scan(" ".join(f"password=abcdefabcdef0123{i}" for i in range(30_000)))) >= 30_000
+    assert time.perf_counter() - began < 20
+
+
 def test_secrets_within_longer_tokens():
     r = random.Random(12)
     shown = {x: 0 for x in ("AWS_SECRET_ACCESS_KEY={}", "DB_KEY={}==", "https://h.example/x?sig={}&a=1", "/api_v1/{}")}
