@@ -3,8 +3,12 @@
 The statistics and the rules are DataFrame expressions. Learning is sequential
 covering on a bounded sample of labelled statistics: grow a conjunction of
 threshold conditions by information gain on two thirds of the sample, prune it
-on the other third, keep it if it is precise enough there, take out what it
-covers, and go on. The list becomes one ordered ``CASE WHEN`` expression.
+on the other third, keep it if it is precise enough on both, take out what it
+covers, and go on. A conjunction that is not precise enough may be so without an
+exception, itself a conjunction grown within it for good examples; then the
+exception, which keeps, comes before the rule, which rejects. Otherwise what it
+covers is left to later rules to judge by, but not to grow from. The list becomes
+one ordered ``CASE WHEN`` expression: the first rule that holds decides.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import add, and_
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -86,88 +91,108 @@ class Condition:
     above: bool
     threshold: float
 
-    def holds(self, x: dict[str, float]) -> bool:
-        return x[self.feature] > self.threshold if self.above else x[self.feature] <= self.threshold
+    def holds(self, x: np.ndarray) -> np.ndarray:
+        value = x[:, FEATURES.index(self.feature)]
+        return value > self.threshold if self.above else value <= self.threshold
 
     def __str__(self) -> str:
         return f"{self.feature} {'>' if self.above else '<='} {self.threshold:.6g}"
 
 
-Rule = tuple[Condition, ...]
-Example = tuple[dict[str, float], bool]
-
-
-def _covered(rule: Rule, rows: Sequence[Example]) -> list[Example]:
-    return [r for r in rows if all(c.holds(r[0]) for c in rule)]
-
-
-def _balance(rows: Sequence[Example]) -> tuple[int, int]:
-    bad = sum(b for _, b in rows)
-    return bad, len(rows) - bad
-
-
-def _candidates(rows: Sequence[Example], bins: int) -> list[Condition]:
-    out = []
-    for f in FEATURES:
-        values = sorted({r[0][f] for r in rows})
-        cuts = {(values[i * len(values) // bins] + values[i * len(values) // bins - 1]) / 2 for i in range(1, bins) if i * len(values) // bins > 0}
-        out += [Condition(f, above, t) for t in sorted(cuts) for above in (True, False)]
-    return out
+@dataclass(frozen=True)
+class Rule:
+    conditions: tuple[Condition, ...]
+    keeps: bool = False
 
+    def holds(self, x: np.ndarray) -> np.ndarray:
+        return reduce(and_, [c.holds(x) for c in self.conditions], np.ones(len(x), bool))
 
-def _grow(rows: Sequence[Example], most: int, bins: int) -> Rule:
-    rule: Rule = ()
-    while len(rule) < most:
-        bad, good = _balance(rows)
-        if not bad or not good:
-            break
-        before = math.log2(bad / (bad + good))
-        best, gain = None, 0.0
-        for c in _candidates(rows, bins):
-            b, g = _balance(_covered((c,), rows))
-            if b and (x := b * (math.log2(b / (b + g)) - before)) > gain + 1e-12:
-                best, gain = c, x
+    def __str__(self) -> str:
+        return f"{'keep' if self.keeps else 'reject'} if {' and '.join(map(str, self.conditions))}"
+
+
+def _grow(x: np.ndarray, wanted: np.ndarray, most: int, bins: int) -> tuple[Condition, ...]:
+    """Conditions one by one, each the one of most information gain about ``wanted`` on what is still covered."""
+    rule: tuple[Condition, ...] = ()
+    while len(rule) < most and wanted.any() and not wanted.all():
+        before = math.log2(wanted.mean())
+        best, gain = None, 1e-12
+        for f, name in enumerate(FEATURES):
+            order = np.argsort(x[:, f], kind="stable")
+            values, hits = x[order, f], np.concatenate([[0], np.cumsum(wanted[order])])
+            different = np.unique(values)
+            at = np.unique([i * len(different) // bins for i in range(1, bins)])
+            at = at[at > 0]
+            cuts = (different[at] + different[at - 1]) / 2
+            below = np.searchsorted(values, cuts, "right")
+            for above, n, b in ((True, len(values) - below, hits[-1] - hits[below]), (False, below, hits[below])):
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    worth = np.where(b > 0, b * (np.log2(b / n) - before), 0.0)
+                if len(worth) and worth.max() > gain:
+                    gain = float(worth.max())
+                    best = Condition(name, above, float(cuts[worth.argmax()]))
         if best is None:
             break
-        rule, rows = (*rule, best), _covered((best,), rows)
+        covered = best.holds(x)
+        rule, x, wanted = (*rule, best), x[covered], wanted[covered]
     return rule
 
 
-def _prune(rule: Rule, rows: Sequence[Example]) -> Rule:
-    """Cut conditions from the end while (bad - good) / covered on the held-out part does not fall."""
+def _prune(rule: tuple[Condition, ...], x: np.ndarray, wanted: np.ndarray) -> tuple[Condition, ...]:
+    """Cut conditions from the end while (wanted - others) / covered on the held-out part does not fall."""
 
-    def worth(r: Rule) -> float:
-        bad, good = _balance(_covered(r, rows))
-        return (bad - good) / (bad + good) if bad + good else -1.0
+    def worth(n: int) -> float:
+        covered = Rule(rule[:n]).holds(x)
+        return 2 * wanted[covered].mean() - 1 if covered.any() else -1.0
 
-    return max((rule[:n] for n in range(1, len(rule) + 1)), key=lambda r: (worth(r), -len(r)), default=())
+    return rule[: max(range(1, len(rule) + 1), key=lambda n: (worth(n), -n), default=0)]
 
 
-def learn(rows: Sequence[Example], precision: float = 0.95, least: int = 3, rules: int = 12, conditions: int = 4, bins: int = 24) -> list[Rule]:
-    """A decision list for bad examples. ``least`` bad ones and ``precision`` on the held-out third keep a rule."""
-    grow, prune = [r for i, r in enumerate(rows) if i % 3], [r for i, r in enumerate(rows) if not i % 3]
+def learn(x: np.ndarray, bad: np.ndarray, precision: float = 0.95, least: int = 3, rules: int = 12, conditions: int = 4, bins: int = 24) -> list[Rule]:
+    """A decision list for bad examples, of ``rules`` rules at most.
+
+    ``x`` has a row of FEATURES for each example; every third row is held out for
+    pruning. A rule needs ``precision`` on both parts, and ``least`` examples of
+    its class among those held out.
+    """
+    held = np.arange(len(bad)) % 3 == 0
+    left, fresh = np.ones(len(bad), bool), np.ones(len(bad), bool)  # not covered by the list; not by a failed rule either
     found: list[Rule] = []
-    while len(found) < rules:
-        rule = _prune(_grow(grow, conditions, bins), prune)
+
+    def precise(covered: np.ndarray, wanted: np.ndarray) -> bool:
+        told, grown = covered & held, covered & ~held
+        return bool(wanted[told].sum() >= least and wanted[told].mean() >= precision and grown.any() and wanted[grown].mean() >= precision)
+
+    def conjunction(rows: np.ndarray, wanted: np.ndarray) -> tuple[Condition, ...]:
+        grow, prune = rows & ~held, rows & held
+        return _prune(_grow(x[grow], wanted[grow], conditions, bins), x[prune], wanted[prune])
+
+    while len(found) < rules and (bad & left & fresh).any():
+        rule = conjunction(left & fresh, bad)
         if not rule:
             break
-        bad, good = _balance(_covered(rule, prune))
-        b, g = _balance(_covered(rule, grow))
-        if bad < least or bad < precision * (bad + good) or b < precision * (b + g):
-            break
-        found.append(rule)
-        grow = [r for r in grow if not all(c.holds(r[0]) for c in rule)]
-        prune = [r for r in prune if not all(c.holds(r[0]) for c in rule)]
+        covered = Rule(rule).holds(x) & left
+        if precise(covered, bad):
+            found.append(Rule(rule))
+            left &= ~covered
+            continue
+        exception = conjunction(covered, ~bad)
+        inside = Rule(exception).holds(x) & covered if exception else np.zeros(len(bad), bool)
+        if len(found) + 2 <= rules and precise(inside, ~bad) and precise(covered & ~inside, bad):
+            found += [Rule((*rule, *exception), keeps=True), Rule(rule)]
+            left &= ~covered
+        else:
+            fresh &= ~covered
     return found
 
 
 def verdict(rules: Sequence[Rule]) -> Column:
-    """The first rule that holds rejects; a document that none covers is kept."""
+    """What the first rule that holds says; a document that none covers is kept."""
     f = features()
     out = None
     for rule in rules:
-        cond = reduce(and_, [(f[c.feature] > c.threshold) if c.above else (f[c.feature] <= c.threshold) for c in rule])
-        out = F.when(cond, F.lit(False)) if out is None else out.when(cond, F.lit(False))
+        cond = reduce(and_, [(f[c.feature] > c.threshold) if c.above else (f[c.feature] <= c.threshold) for c in rule.conditions])
+        out = F.when(cond, F.lit(rule.keeps)) if out is None else out.when(cond, F.lit(rule.keeps))
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
@@ -175,14 +200,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_col: str
     """Learn rules from at most ``sample`` labelled documents, those with the smallest id hash.
 
     Label 0 is bad; NULL labels and ids are left out. Documents that the base
-    rule rejects anyway are not learned from. No labels give no rules.
+    rule rejects anyway are not learned from. An id with several rows or labels
+    counts with each, within ``sample``. No labels or no documents give no rules.
     """
     chosen = labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col(label_col) == 0).alias("bad"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "bad").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows are broadcast
     rows = with_statistics(rows).select("doc_id", "bad", base_failed().alias("failed"), *[v.alias(k) for k, v in features().items()])
-    got = sorted((r for r in rows.collect() if not r["failed"]), key=lambda r: (hash(r["doc_id"]) * 2654435761 % (1 << 32), r["doc_id"]))
-    return learn([({f: r[f] for f in FEATURES}, r["bad"]) for r in got], **options)
+    rows = rows.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "bad", *FEATURES).limit(sample)
+    got = [r for r in rows.collect() if not r["failed"]]
+    return learn(np.array([[r[f] for f in FEATURES] for r in got], float).reshape(-1, len(FEATURES)), np.array([r["bad"] for r in got], bool), **options)
 
 
 def keep(judged: DataFrame) -> DataFrame:
@@ -193,6 +220,10 @@ def keep(judged: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text") -> DataFrame:
-    """Add the statistics, ``base_failed`` and ``kept`` to every document; none is dropped."""
+    """Add the statistics, ``base_failed`` and ``kept`` to every document; none is dropped.
+
+    Repeated rows each come back; an empty table gives an empty result. What
+    stands on a threshold exactly is not above it.
+    """
     out = with_statistics(docs, text_col).withColumn("base_failed", base_failed())
     return out.withColumn("kept", ~F.col("base_failed") & verdict(rules))

@@ -168,6 +168,43 @@ def test_quality_learns_what_is_bad(spark):
     assert quality.fit(docs(spark, rows), table.limit(0)) == []
 
 
+def test_quality_learns_two_kinds_of_bad_and_an_exception(spark):
+    r = random.Random(2)
+    rows, labels = [], []
+    for i in range(1500):
+        w, kind = words(60, i, 4000).split(), i % 6
+        if kind == 0:  # symbols are bad
+            text = " ".join(x + r.choice(["***", "###"]) for x in w)
+        elif kind == 1:  # unless words are capitals
+            text = " ".join(x.upper() + r.choice(["***", "###"]) for x in w)
+        elif kind == 2:  # and so are very short texts
+            text = " ".join(w[:15])
+        else:
+            text = " ".join(w)
+        rows.append((i, text))
+        labels.append((i, 0 if kind in (0, 2) else 1))
+    table = spark.createDataFrame(labels, "doc_id long, quality int")
+    assert len(quality.fit(docs(spark, rows), table)) == 2
+    rules = quality.fit(docs(spark, rows), table, conditions=1)
+    assert len(rules) > 2 and {x.keeps for x in rules} == {True, False}
+    want = {i: i % 6 not in (0, 2) for i, _ in rows}
+    wrong = lambda rules: sum(x.kept != want[x.doc_id] for x in quality.judge(docs(spark, rows), rules).collect())
+    assert wrong(rules) <= 15 and wrong(rules[::-1]) > 100
+    assert len(quality.fit(docs(spark, rows * 2), table, sample=300)) < 10
+
+
+def test_quality_goes_on_after_a_rule_that_fails():
+    r = np.random.default_rng(4)
+    x, bad = r.random((3000, len(quality.FEATURES))), np.zeros(3000, bool)
+    noisy, clear = x[:, 0] > 0.8, x[:, 1] > 0.9
+    bad[noisy] = r.random(noisy.sum()) < 0.7
+    bad[clear & ~noisy] = True
+    rules = quality.learn(x, bad)
+    assert rules and not any(rule.keeps for rule in rules)
+    covered = np.any([rule.holds(x) for rule in rules], axis=0)
+    assert bad[covered].mean() > 0.95 and covered[clear & ~noisy].mean() > 0.9
+
+
 def test_shards_are_contiguous_and_even(spark):
     got = sharding.shard_by_bytes(docs(spark), 4).collect()
     order = sorted(TEXTS, key=lambda x: (x[0] is not None, x[0] or 0, len((x[1] or "").encode())))
