@@ -1,33 +1,55 @@
-"""The immutable dataset object."""
+"""The dataset object."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
 from airrline.names import BARCODE, LOCUS, RECEPTOR, REPERTOIRE, c
 from airrline.schema import ReceptorSchema, as_receptor_schema
 
+Lazy = DataFrame | Callable[[], DataFrame]
+
 
-@dataclass(frozen=True)
 class AirrData:
     """Chain-level annotations with receptor ids, and optionally a table of repertoires.
 
-    Every operation returns a new object; nothing runs until an action.
+    Every operation returns a new object. ``annotations`` and
+    ``repertoire_table`` may be given as functions, which run when the frame is
+    first asked for; making ids starts jobs then. ``facts``, if known, are the
+    chains with their counts but no ids: what counting needs, where a receptor is
+    a tuple of features.
     """
 
-    schema_receptor: ReceptorSchema
-    annotations: DataFrame
-    repertoire_table: DataFrame | None = None
-    schema_repertoire: tuple[str, ...] = field(default=())
+    def __init__(self, schema_receptor, annotations: Lazy, repertoire_table: Lazy | None = None, schema_repertoire: Sequence[str] = (), facts: DataFrame | None = None):
+        self.schema_receptor: ReceptorSchema = as_receptor_schema(schema_receptor)
+        self.schema_repertoire = tuple(schema_repertoire)
+        self.facts = facts
+        self._annotations, self._table = annotations, repertoire_table
+
+    @property
+    def annotations(self) -> DataFrame:
+        if not isinstance(self._annotations, DataFrame):
+            self._annotations = self._annotations()
+        return self._annotations
 
-    def __post_init__(self) -> None:
-        object.__setattr__(self, "schema_receptor", as_receptor_schema(self.schema_receptor))
+    @property
+    def repertoire_table(self) -> DataFrame | None:
+        """The table of repertoires, in any order; None before ``agg_repertoires``."""
+        if self._table is not None and not isinstance(self._table, DataFrame):
+            self._table = self._table()
+        return self._table
+
+    def over(self, annotations: DataFrame, keep_repertoires: bool = False) -> AirrData:
+        """The same receptors over other rows, with the table of repertoires as it is or without."""
+        if keep_repertoires:
+            return AirrData(self.schema_receptor, annotations, self._table, self.schema_repertoire)
+        return AirrData(self.schema_receptor, annotations)
 
     @property
     def repertoires(self) -> DataFrame | None:
-        """The table of repertoires by id, lazily; None before ``agg_repertoires``."""
+        """The table of repertoires by id; None before ``agg_repertoires``."""
         return None if self.repertoire_table is None else self.repertoire_table.orderBy(REPERTOIRE)
 
     @property

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Column, functions as F
 
 from airrline.dataset import AirrData
@@ -27,4 +25,4 @@ def mutate_data(idata: AirrData, seq_options: SeqOptions | None = None, **column
         options = check_seq_options(seq_options, "mutate", rows.columns)
         names = pattern_columns(options, SCHEMA[f"sim_{options.method}"])
         rows = rows.withColumns(dict(zip(names, match_columns(options), strict=True)))
-    return replace(idata, annotations=rows)
+    return idata.over(rows, keep_repertoires=True)

@@ -29,13 +29,15 @@ def agg_receptors(
     With two loci in the schema it is a pair of chains in one cell: one id for
     each top chain of the first locus (by ``umi_col``, ties kept, NULL never on
     top) in a cell that has a top chain of the second; all chains of both loci
-    in such a cell carry it, so a tie repeats the cell's rows for each id.
+    in such a cell carry it, so a tie repeats the cell's rows for each id. A NULL
+    barcode names no cell, so its chains are in no pair.
 
     Cases: neither barcode nor count (every row is a cell), count only (bulk),
     barcode only (single-cell). Both together are refused. ``order_by`` fixes
     the order of chain ids; without it they follow the order read.
     ``id_strategy="hash"`` trades dense receptor ids for a plan without a sort.
-    An empty table gives an empty dataset.
+    An empty table gives an empty dataset. Ids are made when the annotations are
+    first asked for.
     """
     schema = as_receptor_schema(schema)
     features, chains = schema.features, schema.chains
@@ -60,18 +62,23 @@ def agg_receptors(
     if chains:
         dataset = dataset.filter(c(LOCUS).isin(*chains))
 
-    rows = dense_ids(dataset, CHAIN, order_by)
-    rows = rows.withColumn(BARCODE, c(barcode_col) if barcode_col else c(CHAIN))
-    rows = rows.withColumn(N_CHAINS, c(count_col).cast("double") if count_col else F.lit(1.0)).withColumn(COUNT, F.lit(0.0))
-    if len(chains) == 2:
-        return AirrData(schema, _pair(rows, chains, umi_col))
-    ids = rows.select(*[c(f) for f in features]).distinct()
-    ids = dense_ids(ids, RECEPTOR, features) if id_strategy == "dense" else hash_ids(ids, RECEPTOR, features)
-    return AirrData(schema, null_safe_join(rows, ids, features))
+    n_chains = c(count_col).cast("double") if count_col else F.lit(1.0)
+
+    def annotations() -> DataFrame:
+        rows = dense_ids(dataset, CHAIN, order_by)
+        rows = rows.withColumn(BARCODE, c(barcode_col) if barcode_col else c(CHAIN)).withColumn(N_CHAINS, n_chains).withColumn(COUNT, F.lit(0.0))
+        if len(chains) == 2:
+            return _pair(rows, chains, umi_col)
+        ids = rows.select(*[c(f) for f in features]).distinct()
+        ids = dense_ids(ids, RECEPTOR, features) if id_strategy == "dense" else hash_ids(ids, RECEPTOR, features)
+        return null_safe_join(rows, ids, features)
+
+    return AirrData(schema, annotations, facts=dataset.withColumn(N_CHAINS, n_chains) if len(chains) < 2 else None)
 
 
 def _pair(rows: DataFrame, chains: Sequence[str], umi_col: str) -> DataFrame:
     """One window over the cell finds the top chains of both loci, so one shuffle serves both."""
+    rows = rows.filter(c(BARCODE).isNotNull())
     cell = Window.partitionBy(c(BARCODE))
     top = [F.max(F.when(c(LOCUS) == x, c(umi_col))).over(cell) for x in chains]
     firsts = (

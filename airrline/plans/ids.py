@@ -17,18 +17,6 @@ from airrline.plans.materialize import materialize
 _PLACE, _PART = "__place", 33  # monotonically_increasing_id(): partition in the upper bits
 
 
-def reads_alike(df: DataFrame) -> bool:
-    """Whether rows fall into the same partitions each time: a deterministic plan over files or fixed data, without a shuffle.
-
-    Such a table need not be written before its places are used twice.
-    """
-    execution = df._jdf.queryExecution()
-    if not execution.optimizedPlan().deterministic():
-        return False
-    plan = execution.executedPlan().toString()
-    return "Exchange" not in plan and "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
-
-
 def dense_ids(df: DataFrame, id_col: str, order_by: Sequence[str] = ()) -> DataFrame:
     """Add ``id_col``: 1..N in the order of ``order_by`` (nulls first), or in the order read.
 
@@ -37,9 +25,7 @@ def dense_ids(df: DataFrame, id_col: str, order_by: Sequence[str] = ()) -> DataF
     if order_by:
         keys = [c(x).asc_nulls_first() for x in order_by]
         df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    placed = df.withColumn(_PLACE, F.monotonically_increasing_id())
-    if not reads_alike(df):
-        placed = materialize(placed)
+    placed = materialize(df.withColumn(_PLACE, F.monotonically_increasing_id()))  # file splits can differ from job to job, so places are written
     part = F.shiftright(F.col(_PLACE), _PART).cast("int")
     counts = {r[0]: r[1] for r in placed.groupBy(part.alias("p")).count().collect()}  # one row a partition
     before, at = [], 0

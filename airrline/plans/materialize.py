@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set only where none is (a local session)."""
+    """The cluster's shared folder; a temporary one is set only in a local session that names none, elsewhere that is an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(named)
         return named
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="airrline-"))
     return sc.getCheckpointDir()
 

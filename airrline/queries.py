@@ -7,6 +7,7 @@ for a locus, ``value`` for UMIs.
 
 from __future__ import annotations
 
+import posixpath
 from collections.abc import Callable
 from uuid import uuid4
 
@@ -15,12 +16,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from airrline.dataset import AirrData
 from airrline.names import COUNT, N_REPERTOIRES, PROPORTION, RECEPTOR, REPERTOIRE, c
 from airrline.operators import (
-    agg_receptors, agg_repertoires, annotate_barcodes, annotate_chains, annotate_data, annotate_receptors,
+    agg_receptors, agg_repertoires, annotate, annotate_barcodes, annotate_chains, annotate_data, annotate_receptors,
     filter_barcodes, filter_data, filter_receptors, mutate_data,
 )
+from airrline.plans.joins import null_safe_join
 from airrline.plans.materialize import ensure_checkpoint_dir
 from airrline.schema import make_receptor_schema, make_seq_options
-from airrline.sources import from_frames, make_barcode_prefix, make_productive_filter, open_dataset, read_repertoires, scan_tables, save_dataset
+from airrline.sources import (
+    from_frames, make_barcode_prefix, make_default_postprocessing, make_default_preprocessing, make_exclude_columns, make_productive_filter, open_dataset,
+    read_metadata, read_repertoires, save_dataset, scan_tables,
+)
+from airrline.sources.files import expand, write_text
+from airrline.sources.scan import resolve_paths
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,7 +51,7 @@ bulk AS (SELECT p.*, row_number() OVER (ORDER BY p_partkey) AS imd_chain_id, CAS
                     FROM (SELECT DISTINCT p_name, p_type FROM part)) r USING (p_name, p_type))"""
 _CELLS = """
 chains AS (SELECT user_id, event_type, value, event_id, row_number() OVER (ORDER BY event_id) AS imd_chain_id
-           FROM events WHERE value >= 100 AND event_type IN ('click', 'view')),
+           FROM events WHERE event_type IN ('click', 'view')),
 tops AS (SELECT *, max(CASE WHEN event_type = 'click' THEN value END) OVER w AS t1, max(CASE WHEN event_type = 'view' THEN value END) OVER w AS t2
          FROM chains WINDOW w AS (PARTITION BY user_id)),
 ids AS (SELECT user_id, row_number() OVER (ORDER BY user_id, imd_chain_id) AS imd_receptor_id
@@ -73,7 +80,7 @@ def bulk(spark: SparkSession, sf_dir: str) -> AirrData:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> AirrData:
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value").filter("value >= 100")
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
     schema = make_receptor_schema(["value"], ["click", "view"])
     return agg_receptors(events, schema, barcode_col="user_id", locus_col="event_type", umi_col="value", order_by=["event_id"])
 
@@ -261,10 +268,8 @@ def _(spark, sf_dir):
     return annotate_data(simple(spark, sf_dir), notes, {"p_partkey": "l_partkey"}).annotations.select("imd_chain_id", "l_orderkey", "l_linenumber")
 
 
-@query("metadata_join", "SELECT c_custkey, c_name, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+@query("null_safe_join", "SELECT c_custkey, c_name, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
 def _(spark, sf_dir):
-    from airrline.plans.joins import null_safe_join
-
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     return null_safe_join(table(spark, sf_dir, "customer"), nation, ["c_nationkey"]).select("c_custkey", "c_name", "n_name")
 
@@ -308,12 +313,140 @@ def _(spark, sf_dir):
     return open_dataset(spark, folder).annotations.select("imd_chain_id", RECEPTOR, "p_name", "p_type", "p_brand")
 
 
+def _written(df: DataFrame, path: str, **options) -> str:
+    """``df`` as files of text in the folder ``path``, whose ending tells their kind."""
+    sep = "\t" if ".tsv" in path else ","
+    df.write.option("header", True).option("sep", sep).options(**options).csv(path)
+    return path
+
+
+@query("scan_csv", "SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer")
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    out = scan_tables(spark, [_written(rows, f"{_scratch(spark)}/customer.csv")])
+    return out.select(F.col("c_custkey").cast("long"), "c_name", F.col("c_nationkey").cast(rows.schema["c_nationkey"].dataType), "c_mktsegment")
+
+
+@query("scan_tsv_gzip", "SELECT s_suppkey, s_name, s_nationkey FROM supplier")
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    out = scan_tables(spark, [_written(rows, f"{_scratch(spark)}/supplier.tsv.gz", compression="gzip")])
+    return out.select(F.col("s_suppkey").cast("long"), "s_name", F.col("s_nationkey").cast(rows.schema["s_nationkey"].dataType))
+
+
+@query("scan_union_by_name", """
+SELECT s_nationkey AS nation, s_name AS name, CAST(NULL AS VARCHAR) AS segment FROM supplier
+UNION ALL SELECT c_nationkey, c_name, c_mktsegment FROM customer""")
+def _(spark, sf_dir):
+    folder = _scratch(spark)
+    one = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_name").alias("name"))
+    two = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
+    _written(one, f"{folder}/suppliers")
+    _written(two, f"{folder}/customers")
+    paths = resolve_paths(spark, [f"{folder}/suppliers/*.csv", f"{folder}/customers/*.csv"])
+    return scan_tables(spark, paths, enforce_schema=False).select(F.col("nation").cast(one.schema["nation"].dataType).alias("nation"), "name", "segment")
+
+
+@query("scan_filename", "SELECT 'orders.parquet' AS file, count(*) AS n FROM orders UNION ALL SELECT 'part.parquet', count(*) FROM part")
+def _(spark, sf_dir):
+    scans = [scan_tables(spark, [f"{sf_dir}/{name}.parquet"]).select(F.regexp_extract("filename", "([a-z]+[.]parquet)", 1).alias("file")) for name in ("orders", "part")]
+    return scans[0].unionByName(scans[1]).groupBy("file").agg(F.count("*").alias("n"))
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Parts as chain tables of two samples with a sheet beside them; the folder and the sheet."""
+    folder = _scratch(spark)
+    part = table(spark, sf_dir, "part").select(
+        F.col("p_name").alias("cdr3"), F.col("p_type").alias("v_call"), F.when(F.col("p_size") % 3 == 0, "F").otherwise("T").alias("productive"),
+        F.col("p_partkey").alias("cell"), "p_size", F.lit(1.5).alias("v_score"),
+    )
+    lines = []
+    for name, own in (("large", part.filter("p_size > 25")), ("small", part.filter("p_size <= 25"))):
+        _written(own, f"{folder}/{name}")
+        lines += [f"{name}/{posixpath.basename(f)}\t{name[0].upper()}\t{name[0].upper()}_\n" for f in expand(spark, f"{folder}/{name}/*.csv")]
+    write_text(spark, f"{folder}/sheet.tsv", "File\tSample\tPrefix\n" + "".join(lines))
+    return folder, f"{folder}/sheet.tsv"
+
+
+@query("sample_sheet", "SELECT 'L' AS Sample, 'L_' AS Prefix, 'large' AS folder UNION ALL SELECT 'S', 'S_', 'small'")
+def _(spark, sf_dir):
+    return read_metadata(spark, _samples(spark, sf_dir)[1]).select("Sample", "Prefix", F.regexp_extract("filename", "([^/]*)/[^/]*$", 1).alias("folder")).distinct()
+
+
+_SHEETED = """
+rows AS (SELECT p_name AS cdr3, p_type AS v_call, p_size, CASE WHEN p_size > 25 THEN 'L' ELSE 'S' END AS Sample,
+                CASE WHEN p_size > 25 THEN 'L_' ELSE 'S_' END || CAST(p_partkey AS VARCHAR) AS imd_barcode FROM part WHERE p_size % 3 <> 0)"""
+
+
+@query("metadata_join", f"WITH {_SHEETED} SELECT cdr3, v_call, p_size, Sample, imd_barcode FROM rows")
+def _(spark, sf_dir):
+    folder, sheet = _samples(spark, sf_dir)
+    idata = read_repertoires(spark, "<metadata>", ["cdr3", "v_call"], metadata=sheet, barcode_col="cell", output_folder=f"{folder}/saved")
+    if "v_score" in idata.annotations.columns:
+        raise ValueError("a column that default steps drop is still there")
+    return idata.annotations.select("cdr3", "v_call", F.col("p_size").cast("long"), "Sample", "imd_barcode")
+
+
+@query("ingest_saves_repertoires", f"""WITH {_SHEETED}
+SELECT row_number() OVER (ORDER BY Sample) AS imd_repertoire_id, Sample, CAST(count(*) AS DOUBLE) AS n_barcodes, count(DISTINCT (cdr3, v_call)) AS n_receptors
+FROM rows GROUP BY Sample""")
+def _(spark, sf_dir):
+    folder, sheet = _samples(spark, sf_dir)
+    read_repertoires(spark, f"{folder}/*l*/*.csv", ["cdr3", "v_call"], metadata=sheet, barcode_col="cell", output_folder=f"{folder}/saved", repertoire_schema="Sample")
+    return open_dataset(spark, f"{folder}/saved").repertoires
+
+
+@query("rename_columns", f"WITH {_SHEETED} SELECT cdr3 AS junction, v_call AS gene, count(*) AS n FROM rows GROUP BY ALL")
+def _(spark, sf_dir):
+    folder, sheet = _samples(spark, sf_dir)
+    names = {"junction": "cdr3", "gene": "v_call", "absent": "nowhere"}
+    idata = read_repertoires(spark, f"{folder}/*l*/*.csv", ["cdr3", "v_call"], metadata=sheet, rename_columns=names, output_folder=f"{folder}/saved")
+    return idata.annotations.groupBy(*idata.schema_receptor.features).agg(F.count("*").alias("n"))
+
+
+@query("preprocessing_steps", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F'")
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", (F.col("o_orderstatus") == "F").alias("productive"), F.lit(1).alias("v_score"))
+    for step in make_default_preprocessing().values():
+        rows = step(rows, metadata=None)
+    return make_exclude_columns(["productive", "absent"])(rows)
+
+
+@query("not_productive", "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F'")
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").withColumn("flag", F.when(F.col("o_orderstatus") == "F", "T").otherwise("F"))
+    return make_productive_filter(["absent", "flag"], False)(rows).select("o_orderkey")
+
+
+@query("postprocessing_steps", "SELECT o_orderkey, concat(o_orderstatus, CAST(o_custkey AS VARCHAR)) AS imd_barcode FROM orders")
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").withColumn("imd_barcode", F.col("o_custkey")).withColumn("Prefix", F.col("o_orderstatus"))
+    for step in make_default_postprocessing().values():
+        rows = step(rows)
+    return rows.select("o_orderkey", "imd_barcode")
+
+
+@query("dataset_methods", f"""WITH {_SIMPLE} SELECT imd_chain_id, p_size + 1 AS more, p_name = (SELECT min(p_name) FROM part) AS imd_sim_exact_1, s_name
+FROM simple LEFT JOIN supplier ON s_suppkey = imd_receptor_id WHERE p_size > 10""")
+def _(spark, sf_dir):
+    least = _patterns(spark, sf_dir)[0]
+    notes = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    idata = simple(spark, sf_dir).filter("p_size > 10").mutate(make_seq_options("p_name", [least]), more="p_size + 1")
+    return annotate(idata, notes, {RECEPTOR: "s_suppkey"}).annotations.select("imd_chain_id", "more", "imd_sim_exact_1", "s_name")
+
+
+@query("hash_receptors", "SELECT p_name, p_type, count(*) AS n FROM part GROUP BY ALL")
+def _(spark, sf_dir):
+    idata = agg_receptors(table(spark, sf_dir, "part"), ["p_name", "p_type"], order_by=["p_partkey"], id_strategy="hash")
+    return idata.annotations.groupBy(RECEPTOR).agg(F.min("p_name").alias("p_name"), F.min("p_type").alias("p_type"), F.count("*").alias("n")).drop(RECEPTOR)
+
+
 @query("list_of_frames", """
-WITH rows AS (SELECT CASE WHEN p_size <= 25 THEN 'large' ELSE 'small' END AS repertoire_id, p_name, p_type FROM part)
+WITH rows AS (SELECT CASE WHEN p_size <= 25 THEN 'large' ELSE 'small' END AS repertoire_id, p_name, p_type FROM part WHERE p_size % 3 <> 0)
 SELECT row_number() OVER (ORDER BY repertoire_id) AS imd_repertoire_id, repertoire_id, CAST(count(*) AS DOUBLE) AS n_barcodes, count(DISTINCT (p_name, p_type)) AS n_receptors
 FROM rows GROUP BY repertoire_id""")
 def _(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_name", "p_type", "p_size")
+    part = table(spark, sf_dir, "part").select("p_name", "p_type", "p_size", F.when(F.col("p_size") % 3 == 0, "F").otherwise("T").alias("productive"))
     data = {"large": part.filter("p_size <= 25"), "small": part.filter("p_size > 25")}
     meta = spark.range(2).select(F.when(F.col("id") == 0, "large").otherwise("small").alias("Sample"))
     return from_frames(spark, {"data": data, "meta": meta}, _scratch(spark), ["p_name", "p_type"]).repertoires

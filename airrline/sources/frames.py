@@ -9,18 +9,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from airrline.dataset import AirrData
 from airrline.names import FILENAME
-from airrline.operators.receptors import agg_receptors
-from airrline.operators.repertoires import agg_repertoires
-from airrline.plans.joins import null_safe_join
-from airrline.sources.saved import open_dataset, save_dataset
+from airrline.sources.ingest import ingest
 
 
-def from_frames(spark: SparkSession, imm: Mapping, output_folder: str, schema: Sequence[str] = ("CDR3.aa", "V.name")) -> AirrData:
+def from_frames(spark: SparkSession, imm: Mapping, output_folder: str, schema: Sequence[str] = ("CDR3.aa", "V.name"), **options) -> AirrData:
     """``imm["data"]``: frames (Spark or pandas) by name, or a list; ``imm["meta"]``: a frame with ``Sample``.
 
     Each frame gets its name as ``repertoire_id`` unless it has that column.
-    Columns are matched by name. The result is saved, reopened and counted by
-    repertoire.
+    Columns are matched by name. What follows is what files go through: renames,
+    steps before and after (the default ones unless ``options`` for ``ingest``
+    name others), saving, reopening, and counting by repertoire.
     """
     data, meta = imm["data"], imm.get("meta")
     if meta is None or "Sample" not in meta.columns:
@@ -37,9 +35,5 @@ def from_frames(spark: SparkSession, imm: Mapping, output_folder: str, schema: S
         df = df if "repertoire_id" in df.columns else df.withColumn("repertoire_id", F.lit(name))
         parts.append(df.withColumn(FILENAME, F.lit(f"{name}.tsv")))
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    idata = agg_receptors(rows, list(schema))
     sheet = frame(meta).drop(FILENAME).withColumn(FILENAME, F.concat(F.col("Sample"), F.lit(".tsv")))
-    sheet = sheet.select(*[F.col(f"`{x}`") for x in sheet.columns if x == FILENAME or x not in idata.annotations.columns])
-    saved = AirrData(idata.schema_receptor, null_safe_join(idata.annotations, sheet, [FILENAME]))
-    save_dataset(saved, output_folder)
-    return agg_repertoires(open_dataset(spark, output_folder), "repertoire_id")
+    return ingest(rows, list(schema), sheet, output_folder, repertoire_schema="repertoire_id", n_files=len(parts), **options)

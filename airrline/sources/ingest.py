@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from airrline.dataset import AirrData
 from airrline.names import FILENAME, c, imd_rename_cols
 from airrline.operators.receptors import agg_receptors
-from airrline.operators.repertoires import agg_repertoires
 from airrline.plans.joins import null_safe_join
 from airrline.schema import ReceptorSchema, as_receptor_schema
 from airrline.sources.metadata import read_metadata
@@ -57,7 +56,8 @@ def read_repertoires(
 
     ``path``: files or globs, or ``"<metadata>"`` for the files the metadata
     lists. ``preprocess`` and ``postprocess``: steps by name; None for the
-    default ones, ``{}`` for none. Saving fixes the ids.
+    default ones, ``{}`` for none. Saving fixes the ids, and keeps the repertoire
+    schema, so the dataset opens with its repertoires.
     """
     sheet = None
     if metadata is not None:
@@ -67,6 +67,20 @@ def read_repertoires(
             raise ValueError(f"path {FROM_METADATA!r} needs metadata")
         path = [r[0] for r in sheet.select(c(FILENAME)).collect() if r[0] is not None]
     paths = resolve_paths(spark, path)
+    dataset = scan_tables(spark, paths, enforce_schema)
+    return ingest(
+        dataset, schema, sheet, output_folder or default_folder(paths[0]), barcode_col, count_col, locus_col, umi_col, preprocess, postprocess, rename_columns,
+        repertoire_schema, partition_by, n_files=len(paths),
+    )
+
+
+def ingest(
+    dataset: DataFrame, schema, sheet: DataFrame | None, folder: str, barcode_col: str | None = None, count_col: str | None = None, locus_col: str | None = None,
+    umi_col: str | None = None, preprocess: Mapping[str, Step] | None = None, postprocess: Mapping[str, Step] | None = None, rename_columns: Mapping[str, str] | None = None,
+    repertoire_schema: str | Sequence[str] | None = None, partition_by: tuple[str, ...] = (), n_files: int = 0,
+) -> AirrData:
+    """The part of ``read_repertoires`` after the scan; ``dataset`` has a ``filename`` column, and so has ``sheet``."""
+    spark = dataset.sparkSession
     pre = make_default_preprocessing() if preprocess is None else preprocess
     post = make_default_postprocessing() if postprocess is None else postprocess
     for name, step in [*pre.items(), *post.items()]:
@@ -74,7 +88,7 @@ def read_repertoires(
             raise TypeError(f"step {name!r} is not a function")
 
     renames = imd_rename_cols("10x") if rename_columns is None else dict(rename_columns)
-    dataset = rename_present(scan_tables(spark, paths, enforce_schema), renames)
+    dataset = rename_present(dataset, renames)
     new = {old: n for n, old in renames.items()}
     schema = as_receptor_schema(schema)
     schema = ReceptorSchema(tuple(new.get(f, f) if f not in dataset.columns else f for f in schema.features), schema.chains)
@@ -88,14 +102,13 @@ def read_repertoires(
     rows = idata.annotations
     if sheet is not None:
         sheet = sheet.select(*[c(x) for x in sheet.columns if x == FILENAME or x not in rows.columns])
-        rows = null_safe_join(rows, F.broadcast(sheet) if len(paths) <= MAX_METADATA_BROADCAST else sheet, [FILENAME])
+        rows = null_safe_join(rows, F.broadcast(sheet) if n_files <= MAX_METADATA_BROADCAST else sheet, [FILENAME])
     for step in post.values():
         rows = step(rows)
 
-    folder = output_folder or default_folder(paths[0])
-    save_dataset(AirrData(idata.schema_receptor, rows), folder, partition_by)
-    saved = open_dataset(spark, folder)
-    if repertoire_schema is None:
-        return saved
-    keys = [repertoire_schema] if isinstance(repertoire_schema, str) else list(repertoire_schema)
-    return agg_repertoires(saved, [named_key if (named_key := new.get(k, k)) in saved.annotations.columns else k for k in keys])
+    keys = [repertoire_schema] if isinstance(repertoire_schema, str) else list(repertoire_schema or ())
+    keys = [k if k in rows.columns else new.get(k, k) for k in keys]
+    if missing := [k for k in keys if k not in rows.columns]:
+        raise ValueError(f"Missing columns in `annotations`: {', '.join(missing)}")
+    save_dataset(AirrData(idata.schema_receptor, rows, schema_repertoire=keys), folder, partition_by)
+    return open_dataset(spark, folder)

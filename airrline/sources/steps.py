@@ -28,8 +28,8 @@ def make_productive_filter(col_name: str | Sequence[str] = "productive", truthy=
     """Keep rows flagged productive; NULL and junk are dropped.
 
     ``col_name``: the first of these that exists; none gives a warning and all
-    rows. ``truthy``: True for a flag (text such as T or 1 counts), or a list of
-    values that count as true.
+    rows. ``truthy``: True or False for a flag of that value (text such as T or 1
+    is a true one, F or 0 a false one), or a list of values that count as true.
     """
     names = (col_name,) if isinstance(col_name, str) else tuple(col_name)
 
@@ -38,21 +38,23 @@ def make_productive_filter(col_name: str | Sequence[str] = "productive", truthy=
         if name is None:
             warnings.warn(f"no column {names} to filter productive chains by", stacklevel=2)
             return dataset
-        if truthy is True:
-            return dataset.filter(c(name).try_cast("boolean"))
+        if isinstance(truthy, bool):
+            return dataset.filter(c(name).try_cast("boolean") == truthy)
         return dataset.filter(c(name).cast("string").isin(*map(str, truthy)))
 
     return step
 
 
-def make_barcode_prefix(prefix_col: str = "Prefix") -> Step:
-    """Put a sample's prefix before its barcodes; NULL on either side counts as empty."""
+def make_barcode_prefix(prefix_col: str | Sequence[str] = "Prefix") -> Step:
+    """Put a sample's prefix, from the first of these columns that exists, before its barcodes; NULL on either side counts as empty."""
+    names = (prefix_col,) if isinstance(prefix_col, str) else tuple(prefix_col)
 
     def step(dataset: DataFrame, **_) -> DataFrame:
-        if prefix_col not in dataset.columns:
-            warnings.warn(f"no column {prefix_col!r} to prefix barcodes with", stacklevel=2)
+        name = next((n for n in names if n in dataset.columns), None)
+        if name is None:
+            warnings.warn(f"no column {names} to prefix barcodes with", stacklevel=2)
             return dataset
-        return dataset.withColumn(BARCODE, F.concat_ws("", c(prefix_col), c(BARCODE)))
+        return dataset.withColumn(BARCODE, F.concat_ws("", c(name), c(BARCODE)))
 
     return step
 
