@@ -54,6 +54,36 @@ def test_paired_keeps_ties_and_other_chains(rows):
     assert set(idata.receptors.columns) == {"imd_receptor_id", "imd_barcode", "cdr3.x", "locus.x", "cdr3.y", "locus.y"}
 
 
+def test_null_barcodes_pair_with_nothing(spark):
+    rows = spark.createDataFrame([("A", None, "TRA", 1.0), ("B", None, "TRB", 1.0), ("A", "c", "TRA", 1.0), ("B", "c", "TRB", 1.0)], "cdr3 string, cell string, locus string, umi double")
+    idata = agg_receptors(rows, make_receptor_schema(["cdr3"], ["TRA", "TRB"]), barcode_col="cell", locus_col="locus", umi_col="umi")
+    assert {r.imd_barcode for r in idata.annotations.collect()} == {"c"} and idata.receptors.count() == 1
+
+
+def test_repertoires_need_no_ids(rows, monkeypatch):
+    import airrline.operators.receptors as module
+
+    asked = []
+    monkeypatch.setattr(module, "dense_ids", lambda df, name, by=(), own=module.dense_ids: asked.append(name) or own(df, name, by))
+    idata = agg_repertoires(agg_receptors(rows, ["cdr3", "v"], count_col="n"), "sample")
+    table = sorted(map(tuple, idata.repertoires.collect()))
+    assert not asked
+    rows_then = idata.annotations
+    assert asked and rows_then is idata.annotations
+    from_ids = agg_repertoires(idata.over(rows_then), "sample")
+    assert sorted(map(tuple, from_ids.repertoires.collect())) == table
+    assert Counter(map(str, from_ids.annotations.collect())) == Counter(map(str, rows_then.collect()))
+
+
+def test_repertoires_by_a_feature(rows):
+    idata = agg_repertoires(agg_receptors(rows, ["cdr3", "v"], order_by=["pos"]), ["v", "sample"])
+    pairs = {(r[1], r[5]): set() for r in ROWS}
+    for r in ROWS:
+        pairs[r[1], r[5]].add(r[0])
+    assert {(r.v, r.sample): r.n_receptors for r in idata.repertoires.collect()} == {k: len(v) for k, v in pairs.items()}
+    assert idata.annotations.count() == len(ROWS)
+
+
 def test_refusals(rows):
     with pytest.raises(ValueError, match="Undefined case"):
         agg_receptors(rows, "cdr3", barcode_col="cell", count_col="n")

@@ -38,6 +38,10 @@ def test_sample_round_trip(spark, tmp_path):
     assert again.annotations.exceptAll(rows).isEmpty() and again.annotations.count() == rows.count()
     by_sheet = read_repertoires(spark, str(tmp_path / "*1k*.tsv"), ["cdr3_aa"], metadata=str(tmp_path / "metadata.tsv"), output_folder=str(tmp_path / "b"), repertoire_schema="Therapy")
     assert by_sheet.repertoires.count() == 2
+    reopened = open_dataset(spark, str(tmp_path / "b"))
+    assert reopened.schema_repertoire == ("Therapy",) and reopened.repertoires.collect() == by_sheet.repertoires.collect()
+    with pytest.raises(ValueError, match="Missing columns"):
+        read_repertoires(spark, str(tmp_path / "*1k*.tsv"), ["cdr3_aa"], output_folder=str(tmp_path / "n"), repertoire_schema="nope")
     save_dataset(by_sheet, str(tmp_path / "c"))
     assert open_dataset(spark, str(tmp_path / "c")).schema_repertoire == ("Therapy",)
     with pytest.raises(FileNotFoundError):
@@ -108,6 +112,8 @@ def test_steps(spark):
     assert sorted(r.imd_barcode for r in make_default_postprocessing()["prefix_barcodes"](df).collect())[3:] == ["P_b", "Q_", "c"]
     with pytest.warns(UserWarning):
         assert make_barcode_prefix("absent")(df).count() == 6
+    assert make_productive_filter("productive", False)(df).count() == 1
+    assert sorted(r.imd_barcode for r in make_barcode_prefix(["absent", "Prefix", "productive"])(df).collect())[3:] == ["P_b", "Q_", "c"]
     with pytest.raises(ValueError):
         make_default_preprocessing("other")
 
@@ -118,6 +124,10 @@ def test_list_of_frames(spark, tmp_path):
     idata = from_frames(spark, {"data": data, "meta": meta}, str(tmp_path / "o"))
     assert {(r.repertoire_id, r.n_receptors) for r in idata.repertoires.collect()} == {("one", 2), ("two", 1)}
     assert idata.annotations.filter("Status = 'y'").first().n_repertoires == 2
+    flagged = {"one": pd.DataFrame({"CDR3.aa": ["A", "B"], "V.name": ["v", "v"], "productive": ["T", "F"], "v_score": [1.0, 2.0]})}
+    own = from_frames(spark, {"data": flagged, "meta": meta[:1]}, str(tmp_path / "f"))
+    assert [r["CDR3.aa"] for r in own.annotations.collect()] == ["A"] and "v_score" not in own.annotations.columns
+    assert from_frames(spark, {"data": flagged, "meta": meta[:1]}, str(tmp_path / "g"), preprocess={}).annotations.count() == 2
     with pytest.raises(ValueError):
         from_frames(spark, {"data": data}, str(tmp_path / "q"))
 
