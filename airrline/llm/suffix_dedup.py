@@ -8,7 +8,8 @@ Anchors: a string's anchor is the smallest hash of the short grams in it, so
 equal strings have equal anchors, and neighbouring strings mostly share one.
 Anchors found in one text only are done with. For the others, the stretch of
 text whose strings have the anchor is cut out, equal stretches are merged, and
-stretches of one anchor meet in one block.
+stretches of one anchor meet in one block. Where those are more than a block may
+hold, they are cut again, by anchors of longer grams, at last of whole strings.
 
 Blocks: the Burrows-Wheeler transform of a block's stretches is expanded breadth
 first, from the interval of all suffixes, by one byte in front at a time. An
@@ -16,6 +17,9 @@ interval that ends where no boundary is known yet sets one: suffixes on its two
 sides share less than the current length. Common prefix lengths so come out by
 increasing value, and at LENGTH expansion stops: suffixes with no boundary
 between them start with the same string.
+
+Anchors, texts and stretches are named by 64-bit hashes; two texts of one name
+are told apart by their ids, two stretches of one name only meet within an anchor.
 """
 
 from __future__ import annotations
@@ -32,9 +36,10 @@ from airrline.llm.common import as_bytes, map_arrow, sliced, store
 
 LENGTH = 50
 GRAM = 20  # bytes hashed for an anchor
+LONGER = 35  # bytes hashed for the anchors of stretches that are too many for one block
 _BATCH = 512 << 10  # small, so a batch's arrays stay in the processor's cache
-_BLOCK = 256 << 10  # bytes of stretches in a block; one anchor's always stay together
-_HOT = 1_000_000  # places of an anchor, above which its strings are compared by a grouped minimum
+_BLOCK = 256 << 10  # bytes of stretches in a block; one anchor's stay together
+_CROWD = 2 << 20  # bytes of an anchor's different stretches, beyond which they are cut again
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0xBF58476D1CE4E5B9], np.uint64)
 
 
@@ -222,6 +227,23 @@ def _cut_out(candidates: DataFrame, length: int) -> DataFrame:
     return candidates.select("id", "digest", "text", "anchors").transform(map_arrow, run, "anchor long, part binary, id long, digest long, start long, strings long")
 
 
+def _cut_again(cut: DataFrame, length: int, gram: int) -> DataFrame:
+    """The strings of stretches as stretches of anchors of longer grams. Those of whole strings repeat one, which is kept once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 0, _BATCH):
+            raw, at = as_bytes(batch.column(0))
+            of, anchor, first, strings = stretches(raw, at, length, gram)
+            whole, a = raw.tobytes(), at[of] + first
+            ends = a + length - 1 + (strings if gram < length else 1)
+            parts = [whole[x:y] for x, y in zip(a.tolist(), ends.tolist(), strict=True)]
+            ids, digests, start = (batch.column(i).to_numpy(zero_copy_only=False)[of] for i in (1, 2, 3))
+            columns = [pa.array(anchor, pa.int64()), pa.array(parts, pa.binary()), *(pa.array(x, pa.int64()) for x in (ids, digests, start + first, strings))]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "part", "id", "digest", "start", "strings"])
+
+    return cut.select("part", "id", "digest", "start").transform(map_arrow, run, "anchor long, part binary, id long, digest long, start long, strings long")
+
+
 def _covered(parts: DataFrame, length: int) -> DataFrame:
     """``anchor, hash, owner, runs``: for each different stretch, its first owner and the strings that an earlier one has.
 
@@ -265,18 +287,28 @@ def _covered(parts: DataFrame, length: int) -> DataFrame:
     return parts.select("anchor", "hash", "part", "owner").transform(map_arrow, run, "anchor long, hash long, owner long, runs array<struct<first: long, end: long>>")
 
 
-def _covered_hot(parts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with too many stretches for one task: each string finds its least owner by a grouped minimum."""
-    n = F.octet_length("part") - length
-    strings = parts.select("anchor", "hash", "part", "owner", F.explode(F.sequence(F.lit(0), n)).alias("i"))
-    strings = strings.select("anchor", "hash", "owner", F.col("i").cast("long").alias("i"), F.substring("part", F.col("i") + 1, F.lit(length)).alias("string"))
-    least = strings.groupBy("string").agg(F.min("owner").alias("least"))
-    late = strings.join(least, "string").filter("least < owner")
-    runs = F.collect_list(F.struct(F.col("i").alias("first"), (F.col("i") + 1).alias("end")))
-    found = late.groupBy("anchor", "hash").agg(runs.alias("found"))
-    out = parts.select("anchor", "hash", "owner").join(found, ["anchor", "hash"], "left")
-    empty = F.array().cast("array<struct<first: bigint, end: bigint>>")
-    return out.select("anchor", "hash", "owner", F.coalesce("found", empty).alias("runs"))
+def _crowded(cut: DataFrame, most: int) -> DataFrame | None:
+    """Anchors whose different stretches have more than ``most`` bytes; None if there are none."""
+    size = F.sum(F.octet_length("part").cast("long")).alias("size")
+    many = store(cut.groupBy("anchor").agg(size).filter(F.col("size") > most).select("anchor"))
+    if many.isEmpty():
+        return None
+    different = cut.join(many, "anchor", "left_semi").select("anchor", "part").distinct()
+    crowded = store(different.groupBy("anchor").agg(size).filter(F.col("size") > most).select("anchor"))
+    return None if crowded.isEmpty() else crowded
+
+
+def _met(cut: DataFrame, length: int, whole_strings: bool = False) -> DataFrame:
+    """``id, digest, start, run``: runs of strings, from ``start`` on, that an earlier document has."""
+    named = F.xxhash64("part").alias("hash")  # of a stretch, among those of its anchor
+    parts = cut.groupBy("anchor", "part").agg(F.min("id").alias("owner"))
+    if whole_strings:  # a stretch is one string, so its first owner is all there is to know
+        covered = parts.select("anchor", named, "owner", F.array().cast("array<struct<first: bigint, end: bigint>>").alias("runs"))
+    else:
+        covered = _covered(parts.repartition("anchor").sortWithinPartitions("anchor").select("anchor", named, "part", "owner"), length)
+    met = cut.select("anchor", named, "id", "digest", "start", "strings").join(store(covered), ["anchor", "hash"])
+    every = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("strings").alias("end")))
+    return met.select("id", "digest", "start", F.explode(F.when(F.col("id") > F.col("owner"), every).otherwise(F.col("runs"))).alias("run"))
 
 
 def _kept(candidates: DataFrame, removed: DataFrame, length: int) -> DataFrame:
@@ -303,7 +335,7 @@ def _kept(candidates: DataFrame, removed: DataFrame, length: int) -> DataFrame:
     return both.transform(map_arrow, run, "id long, digest long, n_removed long, n_spans long, kept binary")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = _HOT) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, crowd: int = _CROWD) -> DataFrame:
     """One row for each document: ``id_col, n_bytes, n_removed, n_spans, kept, kept_sha256``.
 
     Texts are UTF-8 bytes, NULL is empty. Strings are judged on the input, so
@@ -314,36 +346,32 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     come back each. Texts shorter than ``length`` lose nothing.
 
     Copies of a text that an earlier document has whole are settled by digest.
-    Only texts with shared anchors are shuffled.
+    Only texts with shared anchors are shuffled. ``crowd`` is how many bytes of
+    different stretches of one anchor may meet in one place.
     """
     last = F.lit((1 << 63) - 1)
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = source.select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"))
-    firsts = rows.groupBy("sha").agg(F.min("id").alias("first"))
+    firsts = store(rows.groupBy("sha").agg(F.min("id").alias("first")))  # stored, so a join with it can split a text with many copies
 
     anchors = _anchors(source, length)
-    shared = anchors.groupBy("anchor").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count("*").alias("n"))
-    shared = store(shared.filter("lo < hi").select("anchor", "n"))
+    shared = anchors.groupBy("anchor").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"))
+    shared = store(shared.filter("lo < hi").select("anchor"))
     of_text = anchors.join(shared, "anchor", "left_semi").groupBy("digest").agg(F.collect_set("anchor").alias("anchors"))
     of_first = firsts.select(F.col("first").alias("id"), F.conv(F.substring("sha", 1, 16), 16, -10).cast("long").alias("digest"))
     wanted = store(of_text.join(of_first, "digest"))
     candidates = store(_candidates(source, wanted))
 
-    cut = store(_cut_out(candidates, length))
-    parts = cut.groupBy("anchor", "part").agg(F.min("id").alias("owner"))
-    named = F.xxhash64("part").alias("hash")  # of a stretch, among those of its anchor
-    crowded = shared.filter(F.col("n") > hot).select("anchor")
-    some = not crowded.isEmpty()
-    usual = parts.join(crowded, "anchor", "left_anti") if some else parts
-    usual = usual.repartition("anchor").sortWithinPartitions("anchor").select("anchor", named, "part", "owner")
-    covered = _covered(usual, length)
-    if some:
-        busy = parts.join(crowded, "anchor", "left_semi").select("anchor", named, "part", "owner")
-        covered = covered.unionByName(_covered_hot(busy, length))
-    covered = store(covered)
-    met = cut.select("anchor", named, "id", "digest", "start", "strings").join(covered, ["anchor", "hash"])
-    every = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("strings").alias("end")))
-    met = met.select("id", "digest", "start", F.explode(F.when(F.col("id") > F.col("owner"), every).otherwise(F.col("runs"))).alias("run"))
+    cut, met = store(_cut_out(candidates, length)), None
+    for gram in (max(LONGER, GRAM + 1), length):
+        crowded = _crowded(cut, crowd)
+        mine = _met(cut if crowded is None else cut.join(crowded, "anchor", "left_anti"), length)
+        met = mine if met is None else met.unionByName(mine)
+        if crowded is None:
+            break
+        cut = store(_cut_again(cut.join(crowded, "anchor", "left_semi"), length, min(gram, length)))
+    else:
+        met = met.unionByName(_met(cut, length, whole_strings=True))
     removed = store(met.select("id", "digest", (F.col("start") + F.col("run.first")).alias("from"), (F.col("start") + F.col("run.end") + (length - 1)).alias("to")))
     lost = _kept(candidates, removed, length).withColumnsRenamed({"id": "__id", "digest": "__digest"})
 

@@ -642,13 +642,13 @@ def _without_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [1_000_000, 1])
-def test_suffix_dedup_against_all_strings(spark, hot):
+@pytest.mark.parametrize("crowd", [suffix_dedup._CROWD, 3000, 60, 1])
+def test_suffix_dedup_against_all_strings(spark, crowd):
     passage = words(60, 77)
-    rows = [*TEXTS, *[(200 + k, words(20, 300 + k) + " " + passage[k % 5 : 300 + k] + " " + words(20, 400 + k)) for k in range(30)], (260, "y" * 49), (261, "y" * 49), (262, "y" * 50), (263, "y" * 50)]
-    got = suffix_dedup.deduplicate(docs(spark, rows), hot=hot).collect()
+    rows = [*TEXTS, *[(200 + k, words(20, 300 + k) + " " + passage[k % 5 : 300 + k] + " " + words(20, 400 + k)) for k in range(30)], (260, "y" * 49), (261, "y" * 49), (262, "y" * 50), (263, "y" * 50), (264, "z" * 9000 + "ab" * 700), (265, "z" * 5000), (266, "q" + "z" * 7000 + "ab" * 99)]
+    got = suffix_dedup.deduplicate(docs(spark, rows), crowd=crowd).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == _without_repeats(rows, 50)
-    if hot > 1:
+    if crowd > 3000:
         assert suffix_dedup.deduplicate(docs(spark, [])).count() == 0
 
 
