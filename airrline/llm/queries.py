@@ -128,3 +128,23 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+# Bytes as pairs of hexadecimal digits: all strings of 50 bytes, the first owner of each, and what lies between the runs that go.
+ORACLE["op9_suffix_dedup"] = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS id, hex(coalesce(text, '')) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n
+  FROM documents),
+strings AS (SELECT r, id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT r, id, h, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)),
+firsts AS (SELECT s, min(id) AS first FROM strings GROUP BY s),
+late AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM strings JOIN firsts USING (s) WHERE first < id),
+runs AS (
+  SELECT r, k, min(i) AS a, max(i) + 50 AS b
+  FROM (SELECT r, i, sum(CASE WHEN i - before <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS k FROM late) GROUP BY r, k),
+gaps AS (SELECT r, k, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY k), 0) AS past FROM runs),
+gone AS (
+  SELECT r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS reach, string_agg(substr(h, 2 * past + 1, 2 * (a - past)), '' ORDER BY k) AS kept
+  FROM gaps JOIN d USING (r) GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN reach IS NULL THEN h ELSE kept || substr(h, 2 * reach + 1) END)) AS kept_sha256
+FROM d LEFT JOIN gone USING (r)"""
