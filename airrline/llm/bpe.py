@@ -34,6 +34,8 @@ class Bpe:
         rows = [line.split() for line in rank_file.splitlines() if line.strip()]
         self.bytes_of = {int(rank): base64.b64decode(token) for token, rank in rows}
         self.rank_of = {token.decode("latin-1"): rank for rank, token in self.bytes_of.items()}
+        if missing := [i for i in range(256) if chr(i) not in self.rank_of]:
+            raise ValueError(f"no rank for the bytes {missing[:8]}")
         self.find = regex.compile(pattern).findall
         self._made_of: dict[int, tuple[int, int]] = {}
         self._merged: dict[tuple[int, int], int] = {}
@@ -167,8 +169,10 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
     Returns ``id_col``, ``n_tokens``, ``ids`` (binary: little-endian unsigned
     32-bit integers) and, by default, ``decoded`` (binary: the bytes the ids
     stand for). NULL texts count as empty and give no ids. No special tokens.
-    Repeated rows are encoded each; other columns are not read. The vocabulary
-    (a few MB at most) is read by the driver and broadcast.
+    Repeated rows are encoded each; other columns are not read; an empty table
+    gives an empty result. A very long text takes memory in proportion to it. The
+    vocabulary (a few MB at most) is read by the driver and broadcast; one
+    without a rank for every single byte is refused.
     """
     with open(rank_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())

@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import io
 import os
+import threading
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 from contextlib import contextmanager, suppress
 from pathlib import Path
 from uuid import uuid4
@@ -76,34 +77,41 @@ def as_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 # Within a stored step, shuffle files go as soon as it ends, and Python gets texts a few MB at a time.
-_STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+_STEP = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
 
 
 @contextmanager
 def _as_step(spark):
-    before = {name: spark.conf.get(name) for name in _STEP}
+    before = {name: spark.conf.get(name, None) for name in _STEP}
     for name, value in _STEP.items():
         spark.conf.set(name, value)
     try:
         yield
     finally:
         for name, value in before.items():
-            spark.conf.set(name, value)
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 _SCRATCH: dict[str, object] = {}
+_ONE_STEP = threading.RLock()  # settings of a step are the session's, so steps of several threads take turns
 
 
 def store(df: DataFrame) -> DataFrame:
     """Write ``df`` as a compressed table in the shared checkpoint folder and read it back.
 
     Like a checkpoint, it survives lost executors; it takes less space, and the
-    shuffle files that made it go at once. Tables are deleted when the driver's
-    Python exits.
+    shuffle files that made it go at once. Tables are deleted at the end of the
+    ``scratch()`` they were made in, else when the driver's Python exits.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/airrline-{uuid4().hex}"
-    with _as_step(spark):
+    with _ONE_STEP, _as_step(spark):
         df.write.option("compression", "zstd").parquet(path)
     if not _SCRATCH:
         atexit.register(_forget)
@@ -111,9 +119,22 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _forget() -> None:
-    for path, spark in _SCRATCH.items():
+def _forget(but: Collection[str] = ()) -> None:
+    for path in [p for p in _SCRATCH if p not in but]:
+        spark = _SCRATCH.pop(path)
         with suppress(Exception):  # the session may be gone; its folder is then the cluster's to clean
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _SCRATCH.clear()
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Within it, operators' stored tables live; at its end they are deleted, so write or collect results inside.
+
+    For long sessions; one thread at a time should use it.
+    """
+    before = set(_SCRATCH)
+    try:
+        yield
+    finally:
+        _forget(before)

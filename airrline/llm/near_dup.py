@@ -294,7 +294,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``class_id`` is the smallest id among the documents linked with it, directly
     or through others (itself if none); ``n_verified`` counts the comparisons with
     other texts that found a link; texts already in one class are not compared.
-    Shingles are compared by 64-bit hashes. NULL texts are empty; equal texts, empty ones
+    Shingles are compared by 64-bit hashes. A very long text takes eight bytes of
+    memory a word where it is compared; it is never cut. NULL texts are empty; equal texts, empty ones
     too, are one class; texts without words link to no other text; texts of one
     to four words have one shingle and link to those of the same words. Rows
     with a repeated id each come back; NULL ids form no class of their own but

@@ -211,8 +211,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Returns ``id_col``, ``carry`` columns, ``spans`` (array of start, end, kind;
     code points, end exclusive) and ``redacted``, the last two named by
     ``out_cols``, which must not be among the others. NULL texts have no spans and
-    stay NULL. Whole texts are read, documents without secrets come back too,
-    repeated rows each.
+    stay NULL. Whole texts are read, in time and memory that go with their
+    length; documents without secrets come back too, repeated rows each; an empty
+    table gives an empty result. Spans that begin together go by kind, as listed.
     """
     names = [id_col, text_col, *carry]
     if len({*names, *out_cols}) < len(names) + 2:

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from airrline.llm import bpe, chat, decontaminate, graph, near_dup, ppm, quality, secrets, sharding, site_tree, suffix_dedup
+from airrline.llm import bpe, chat, common, decontaminate, graph, near_dup, ppm, quality, secrets, sharding, site_tree, suffix_dedup
 from . import plain
 
 tokenizers = pytest.importorskip("public_tokenizers")
@@ -58,6 +58,8 @@ def test_bpe_random_text():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
     exact = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     mine, r = bpe.Bpe(raw, tokenizers.PATTERN), random.Random(3)
+    with pytest.raises(ValueError, match="no rank"):
+        bpe.Bpe(b"\n".join(line for line in raw.splitlines() if base64.b64decode(line.split()[0]) != b"q"), tokenizers.PATTERN)
     for text in ["a" * 3000, "ab" * 1500, "=-" * 900, " " * 500, "the" * 400]:
         assert mine.encode(text) == np.array(exact.encode_ordinary(text), "<u4").tobytes()
     for _ in range(2000):
@@ -616,6 +618,17 @@ def test_alignment_respects_order():
         assert near_dup.similar(i, j, len(one), len(two)) == (plain.alignment(one, at, len(two)) >= 0.8 - 1e-12)
 
 
+def test_scratch_deletes_stored_tables(spark):
+    import glob
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(glob.glob(f"{folder}/airrline-*"))
+    with common.scratch():
+        assert near_dup.near_duplicates(docs(spark)).count() == len(TEXTS)
+        assert set(glob.glob(f"{folder}/airrline-*")) > before
+    assert set(glob.glob(f"{folder}/airrline-*")) == before
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(30, 31), (32, 31), (40, 40)]
     got = {r.node: r["class"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
