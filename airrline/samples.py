@@ -33,6 +33,8 @@ def write_sample_files(folder: str, rows: int = 1000, seed: int = 7) -> str:
 
 def get_test_idata(spark: SparkSession, folder: str | None = None) -> AirrData:
     """The sample, read with its metadata into ``folder`` (by default a new one, for local sessions)."""
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that all executors share")
     folder = folder or tempfile.mkdtemp(prefix="airrline-sample-")
     sheet = write_sample_files(folder)
     return read_repertoires(spark, "<metadata>", ["cdr3_aa", "v_call"], metadata=sheet, output_folder=os.path.join(folder, "saved"))

@@ -51,12 +51,13 @@ def read_repertoires(
     output_folder: str | None = None,
     repertoire_schema: str | Sequence[str] | None = None,
     partition_by: tuple[str, ...] = (),
+    text_types: str | None = None,
 ) -> AirrData:
     """Scan, rename, preprocess, assign receptors, join metadata, postprocess, save, reopen, and count repertoires.
 
     ``path``: files or globs, or ``"<metadata>"`` for the files the metadata
     lists. ``preprocess`` and ``postprocess``: steps by name; None for the
-    default ones, ``{}`` for none. Saving fixes the ids, and keeps the repertoire
+    default ones, ``{}`` for none. ``text_types``: see ``scan_tables``. Saving fixes the ids, and keeps the repertoire
     schema, so the dataset opens with its repertoires.
     """
     sheet = None
@@ -67,7 +68,7 @@ def read_repertoires(
             raise ValueError(f"path {FROM_METADATA!r} needs metadata")
         path = [r[0] for r in sheet.select(c(FILENAME)).collect() if r[0] is not None]
     paths = resolve_paths(spark, path)
-    dataset = scan_tables(spark, paths, enforce_schema)
+    dataset = scan_tables(spark, paths, enforce_schema, text_types)
     return ingest(
         dataset, schema, sheet, output_folder or default_folder(paths[0]), barcode_col, count_col, locus_col, umi_col, preprocess, postprocess, rename_columns,
         repertoire_schema, partition_by, n_files=len(paths),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 import warnings
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -37,7 +38,8 @@ def read_metadata(spark: SparkSession, metadata, filename_col: str = "File", del
     if base is None and not all(map(_is_absolute, listed)):
         raise ValueError("paths in a metadata frame must be absolute")
     full = {p: plain(p if _is_absolute(p) else posixpath.normpath(posixpath.join(base, p))) for p in listed}
-    n = sum(exists(spark, p) for p in full.values())
+    with ThreadPool(16) as pool:  # each is a call to the store
+        n = sum(pool.map(lambda p: exists(spark, p), full.values()))
     if not n:
         raise FileNotFoundError("none of the files in the metadata exists")
     if n < len(full) and n <= round(0.1 * len(full)) + 1:

@@ -80,6 +80,8 @@ def test_scans(spark, tmp_path):
     with gzip.open(folder / "c.tsv.gz", "wt") as f:
         f.write("x\ty\n1\tp\n")
     assert scan_tables(spark, [str(folder / "c.tsv.gz")]).first().y == "p"
+    typed = scan_tables(spark, [str(folder / "a.csv")], text_types="x double, y string")
+    assert dict(typed.dtypes)["x"] == "double" and {r.x for r in typed.collect()} == {1.0, 2.0}
     spark.range(3).write.parquet(str(folder / "d.parquet"))
     spark.range(2).withColumn("w", F.lit(1)).write.parquet(str(folder / "e.parquet"))
     assert scan_tables(spark, [str(folder / "d.parquet"), str(folder / "e.parquet")], enforce_schema=False).filter("w IS NULL").count() == 3
