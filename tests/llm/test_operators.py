@@ -677,3 +677,31 @@ def test_prefix_groups():
                     least[p[i : i + length]] = min(o, least.get(p[i : i + length], 99))
             got = suffix_dedup.first_owners(parts, owners, length)
             assert [g.tolist() for g in got] == [[least[p[i : i + length]] for i in range(len(p) - length + 1)] for p in parts]
+
+
+def test_very_long_texts(spark):
+    """A text of over a million characters among short ones, through every operator over documents."""
+    long = words(200_000, 1, 50_000)
+    edited = " ".join(w if i % 400 else "other" for i, w in enumerate(long.split()))
+    item = words(40, 501, 9000) + ". " + words(9, 502, 9000)
+    key = "".join(random.Random(7).choices(secrets._ALPHABETS["base64"], k=60))
+    rows = [(1, long), (2, edited), (3, long[:600_000] + " " + item + " key=" + key + " " + long[600_000:]), (4, words(50, 3)), (5, "")]
+    table = docs(spark, rows)
+    assert len(long) > 1_000_000
+
+    out = {r.doc_id: r for r in bpe.encode(table, tokenizers.path(RANKS), tokenizers.PATTERN).collect()}
+    assert all(bytes(out[i].decoded) == t.encode() and len(out[i].ids) == 4 * out[i].n_tokens for i, t in rows)
+    scores = {r.doc_id: r for r in ppm.score(table, order=3).collect()}
+    assert all(scores[i].n_tokens == len(t.split()) + 1 and scores[i].score < 0 for i, t in rows)
+    judged = {r.doc_id: r for r in quality.judge(table, []).collect()}
+    assert all(judged[i].n_words == len(t.split()) and judged[i].word_chars == sum(map(len, t.split())) for i, t in rows)
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    assert {r.doc_id: len(r.leaks) for r in decontaminate.find_leaks(table, bench).collect()} == {1: 0, 2: 0, 3: 1, 4: 0, 5: 0}
+    found = {r.doc_id: [rows[2][1][s.start : s.end] for s in r.spans] for r in secrets.find_secrets(table).collect()}
+    assert found[3] == [key] and not any(found[i] for i in (1, 2, 4, 5))
+    classes = {r.doc_id: r.class_id for r in near_dup.near_duplicates(table).collect()}
+    assert classes == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    kept = {r.doc_id: r for r in suffix_dedup.deduplicate(table).collect()}
+    assert kept[1].n_removed == kept[4].n_removed == 0 and kept[2].n_removed > 900_000 and len(rows[2][1]) - kept[3].n_removed < len(item) + len(key) + 250
+    sizes = {r.doc_id: r.size for r in sharding.shard_by_bytes(table, 4).collect()}
+    assert sizes == {i: len(t.encode()) + 1 for i, t in rows}
