@@ -14,20 +14,22 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from airrline.dataset import AirrData
-from airrline.names import COUNT, N_REPERTOIRES, PROPORTION, RECEPTOR, REPERTOIRE, c
+from airrline.names import (
+    COUNT, N_REPERTOIRES, PROPORTION, RECEPTOR, REPERTOIRE, c, imd_files, imd_meta_schema, imd_rename_cols, imd_repertoire_schema, imd_schema,
+)
 from airrline.operators import (
     agg_receptors, agg_repertoires, annotate, annotate_barcodes, annotate_chains, annotate_data, annotate_receptors,
     filter_barcodes, filter_data, filter_receptors, mutate_data,
 )
 from airrline.plans.joins import null_safe_join
 from airrline.plans.materialize import ensure_checkpoint_dir
-from airrline.schema import make_receptor_schema, make_seq_options
+from airrline.schema import assert_receptor_schema, imd_receptor_chains, imd_receptor_features, make_receptor_schema, make_seq_options, test_receptor_schema
 from airrline.sources import (
     from_frames, make_barcode_prefix, make_default_postprocessing, make_default_preprocessing, make_exclude_columns, make_productive_filter, open_dataset,
     read_metadata, read_repertoires, save_dataset, scan_tables,
 )
 from airrline.sources.files import expand, write_text
-from airrline.sources.scan import resolve_paths
+from airrline.sources.scan import file_kind, resolve_paths
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -452,4 +454,62 @@ def _(spark, sf_dir):
     return from_frames(spark, {"data": data, "meta": meta}, _scratch(spark), ["p_name", "p_type"]).repertoires
 
 
+def _refused(f: Callable) -> bool:
+    try:
+        f()
+    except (ValueError, FileNotFoundError, TypeError, KeyError):
+        return True
+    return False
+
+
+@query("refusals", """
+SELECT unnest(['barcode and count', 'more than two chains', 'missing feature', 'pairing without cells', 'reserved name', 'no such column', 'distance without a limit', 'no patterns',
+               'mixed files', 'unknown files', 'no files', 'no metadata', 'bad schema', 'missing repertoire column', 'step that is no function']) AS what, true AS refused""")
+def _(spark, sf_dir):
+    """What is refused, tried on whole tables."""
+    part = table(spark, sf_dir, "part")
+    idata = simple(spark, sf_dir)
+    three = make_receptor_schema(["p_name"], ["a", "b", "c"])
+    files = [f"{sf_dir}/part.parquet", f"{sf_dir}/part.csv"]
+    cases = {
+        "barcode and count": lambda: agg_receptors(part, "p_name", barcode_col="p_brand", count_col="p_size"),
+        "more than two chains": lambda: agg_receptors(part, three, barcode_col="p_brand", locus_col="p_type"),
+        "missing feature": lambda: agg_receptors(part, ["p_name", "nowhere"]),
+        "pairing without cells": lambda: agg_receptors(part, make_receptor_schema(["p_name"], ["a", "b"]), locus_col="p_type"),
+        "reserved name": lambda: mutate_data(idata, imd_receptor_id="p_size"),
+        "no such column": lambda: filter_data(idata, seq_options=make_seq_options("nowhere", "x")),
+        "distance without a limit": lambda: filter_data(idata, seq_options=make_seq_options("p_name", "x", "lev")),
+        "no patterns": lambda: make_seq_options("p_name", []),
+        "mixed files": lambda: file_kind(files),
+        "unknown files": lambda: file_kind([f"{sf_dir}/part.xml"]),
+        "no files": lambda: resolve_paths(spark, f"{sf_dir}/nowhere*.tsv"),
+        "no metadata": lambda: read_repertoires(spark, "<metadata>", ["p_name"]),
+        "bad schema": lambda: assert_receptor_schema({"nothing": 1}),
+        "missing repertoire column": lambda: agg_repertoires(idata, "nowhere"),
+        "step that is no function": lambda: read_repertoires(spark, files[0], ["p_name"], preprocess={"x": 1}, output_folder=_scratch(spark)),
+    }
+    return spark.createDataFrame([(what, _refused(f)) for what, f in cases.items()], "what string, refused boolean")
+
+
+@query("names", """
+SELECT unnest(['receptor', 'barcode', 'chain', 'repertoire', 'chain_count', 'sim_lev', 'annotations', 'metadata', 'version', '10x locus', 'features', 'chains', 'valid', 'invalid', 'preset']) AS what,
+       unnest(['imd_receptor_id', 'imd_barcode', 'imd_chain_id', 'imd_repertoire_id', 'imd_n_chains', 'imd_sim_lev_', 'annotations.parquet', 'metadata.json', 'version', 'chain',
+               'cdr3,v', 'TRA,TRB', 'true', 'false', 'none']) AS name""")
+def _(spark, sf_dir):
+    schema = make_receptor_schema(["cdr3", "v"], ["TRA", "TRB"])
+    rows = {k: imd_schema(k) for k in ("receptor", "barcode", "chain", "repertoire", "chain_count", "sim_lev")}
+    rows |= {k: imd_files()[k] for k in ("annotations", "metadata")} | {"version": imd_meta_schema()["version"], "10x locus": imd_rename_cols("10x")["locus"]}
+    rows |= {"features": ",".join(imd_receptor_features(schema)), "chains": ",".join(imd_receptor_chains(schema))}
+    rows |= {"valid": str(test_receptor_schema(schema)).lower(), "invalid": str(test_receptor_schema(7)).lower(), "preset": str(imd_repertoire_schema()).lower()}
+    return spark.createDataFrame(list(rows.items()), "what string, name string")
+
+
+@query("described", f"""WITH {_SIMPLE}, {_REP.format(src='simple')}, r AS (SELECT p_brand, CAST(n_barcodes AS DOUBLE) AS b, n_receptors, imd_repertoire_id AS i FROM sizes)
+SELECT string_agg(concat_ws(chr(9), i, p_brand, b, n_receptors), chr(10) ORDER BY i) AS text FROM r""")
+def _(spark, sf_dir):
+    """The table of repertoires as ``describe`` shows it."""
+    shown = agg_repertoires(simple(spark, sf_dir), "p_brand").describe(100).split("n_receptors\n")[-1]
+    return spark.createDataFrame([(shown,)], "text string")
+
+
 __all__ = ["ORACLE", "QUERIES"]
