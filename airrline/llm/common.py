@@ -14,7 +14,7 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from airrline.plans.materialize import ensure_checkpoint_dir
 from airrline.sources.files import write_bytes
@@ -22,6 +22,7 @@ from airrline.sources.files import write_bytes
 _PACKAGE = Path(__file__).resolve().parents[1]
 _SHIPPED: set[str] = set()
 MAX_BATCH_BYTES = 8 << 20  # of text worked on at once; a longer single text is still taken whole
+FILTER_BITS = 27  # a set of bits has 2 ** 27 at most, 16 MB
 
 
 def ship(spark: SparkSession) -> None:
@@ -47,6 +48,26 @@ def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def bit_filter(hashes: DataFrame, column: str) -> np.ndarray:
+    """A set of bits for 64-bit hashes, 2 ** FILTER_BITS at most, as 64-bit words; made in tasks, and small enough to broadcast.
+
+    With more hashes than it has room for, it lets more through, in the end everything.
+    """
+    bits = min(FILTER_BITS, max(12, (32 * hashes.count()).bit_length()))
+    set_bits = hashes.select(F.col(column).bitwiseAND(F.lit((1 << bits) - 1)).alias("bit"))
+    set_bits = set_bits.selectExpr("shiftright(bit, 6) AS word", "shiftleft(1L, cast(bit & 63 AS int)) AS mask")
+    words = set_bits.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(1 << bits - 6, np.uint64)
+    out[words["word"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
+    return out
+
+
+def may_hold(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash (int64) may be in a set of bits; False is sure."""
+    bit = hashes.view(np.uint64) & np.uint64(64 * len(words) - 1)
+    return (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: int, most: int = MAX_BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches where a text column would pass ``most`` bytes. Yields nothing for empty ones."""
     for batch in batches:

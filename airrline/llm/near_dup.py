@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from airrline.llm.common import as_bytes, map_arrow, sliced, store
+from airrline.llm.common import as_bytes, bit_filter, map_arrow, may_hold, sliced, store
 from airrline.llm.graph import components
 
 SHINGLE = 5
@@ -37,7 +37,6 @@ SKETCHES, ELEMENTS = 64, 8  # agree with odds of 0.8 ** 8 each at the threshold:
 SHORT, SHORT_SKETCHES, SHORT_ELEMENTS = 40, 24, 2  # shingles up to which a text has these sketches as well
 LEADS = 300_000  # shingles of the nodes that lead one group, about
 MEMBERS = 800  # nodes that meet a group's leads in one place, about
-FILTER_BITS = 27  # the filter of documents whose shingles are wanted has 2 ** 27 bits at most, 16 MB
 _BATCH = 1 << 20
 _R = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 ** 64
 _MASK = (1 << 64) - 1
@@ -140,17 +139,6 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.transform(map_arrow, run, f"id {rows.schema['id'].dataType.simpleString()}, digest binary, n long, keys array<long>")
 
 
-def _filter(rows: DataFrame, by: list[str]) -> np.ndarray:
-    """A set of bits for the hashes of ``by``, 2 ** FILTER_BITS at most, as 64-bit words; made in tasks."""
-    bits = min(FILTER_BITS, max(12, (32 * rows.count()).bit_length()))
-    set_bits = rows.select(F.xxhash64(*by).bitwiseAND(F.lit((1 << bits) - 1)).alias("bit"))
-    set_bits = set_bits.selectExpr("shiftright(bit, 6) AS word", "shiftleft(1L, cast(bit & 63 AS int)) AS mask")
-    words = set_bits.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    out = np.zeros(1 << bits - 6, np.uint64)
-    out[words["word"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
-    return out
-
-
 def shapes(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``node, shingles`` of the nodes in ``wanted`` (``node, digest, id``): hashes of labelled shingles in text order, eight bytes each.
 
@@ -158,13 +146,11 @@ def shapes(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col:
     read. Those that a broadcast set of bits rules out never leave their task,
     and no text is shuffled.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_filter(wanted, ["digest", "id"]))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(F.xxhash64("digest", "id").alias("hash")), "hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
         for batch in sliced(batches, 3, _BATCH):
-            bit = batch.column(0).to_numpy().view(np.uint64) & np.uint64(64 * len(words) - 1)
-            some = pa.array(np.flatnonzero(words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)))
+            some = pa.array(np.flatnonzero(may_hold(shared.value, batch.column(0).to_numpy())))
             if not len(some):
                 continue
             hashes, begin = word_hashes(*as_bytes(batch.column(3).take(some)))

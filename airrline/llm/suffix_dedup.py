@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from airrline.llm.common import as_bytes, map_arrow, sliced, store
+from airrline.llm.common import as_bytes, bit_filter, map_arrow, may_hold, sliced, store
 
 LENGTH = 50
 GRAM = 20  # bytes hashed for an anchor
@@ -180,11 +180,16 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def _anchors(docs: DataFrame, length: int) -> DataFrame:
+def _anchors(docs: DataFrame, length: int, wanted=None) -> DataFrame:
+    """``anchor, digest`` of every stretch; with ``wanted``, a broadcast set of bits, only those that may be in it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 0, _BATCH):
             raw, at = as_bytes(batch.column(0))
             text, anchor, _, _ = stretches(raw, at, length)
+            if wanted is not None:
+                some = may_hold(wanted.value, anchor)
+                text, anchor = text[some], anchor[some]
             whole = memoryview(np.ascontiguousarray(raw))
             digests = np.array([_digest(whole[a:b]) if b - a >= length else 0 for a, b in pairwise(at)], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(digests[text] if len(text) else text)], names=["anchor", "digest"])
@@ -287,10 +292,18 @@ def _covered(parts: DataFrame, length: int) -> DataFrame:
     return parts.select("anchor", "hash", "part", "owner").transform(map_arrow, run, "anchor long, hash long, owner long, runs array<struct<first: long, end: long>>")
 
 
-def _crowded(cut: DataFrame, most: int) -> DataFrame | None:
-    """Anchors whose different stretches have more than ``most`` bytes; None if there are none."""
+def _crowded(cut: DataFrame, most: int, length: int, shared: DataFrame | None) -> DataFrame | None:
+    """Anchors whose different stretches have more than ``most`` bytes; None if there are none.
+
+    ``shared`` has the ``places`` of each anchor, if known: few places of short
+    stretches are no crowd, which saves adding up all.
+    """
     size = F.sum(F.octet_length("part").cast("long")).alias("size")
-    many = store(cut.groupBy("anchor").agg(size).filter(F.col("size") > most).select("anchor"))
+    if shared is None:
+        many = cut.groupBy("anchor").agg(size).filter(F.col("size") > most).select("anchor")
+    else:
+        many = shared.filter(F.col("places") * 2 * length > most).select("anchor").union(cut.filter(F.col("strings") > length).select("anchor")).distinct()
+    many = store(many)
     if many.isEmpty():
         return None
     different = cut.join(many, "anchor", "left_semi").select("anchor", "part").distinct()
@@ -354,17 +367,17 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = source.select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"))
     firsts = store(rows.groupBy("sha").agg(F.min("id").alias("first")))  # stored, so a join with it can split a text with many copies
 
-    anchors = _anchors(source, length)
-    shared = anchors.groupBy("anchor").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"))
-    shared = store(shared.filter("lo < hi").select("anchor"))
-    of_text = anchors.join(shared, "anchor", "left_semi").groupBy("digest").agg(F.collect_set("anchor").alias("anchors"))
+    shared = _anchors(source, length).groupBy("anchor").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count("*").alias("places"))
+    shared = store(shared.filter("lo < hi").select("anchor", "places"))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(shared, "anchor"))
+    of_text = _anchors(source, length, bits).join(shared, "anchor", "left_semi").groupBy("digest").agg(F.collect_set("anchor").alias("anchors"))
     of_first = firsts.select(F.col("first").alias("id"), F.conv(F.substring("sha", 1, 16), 16, -10).cast("long").alias("digest"))
     wanted = store(of_text.join(of_first, "digest"))
     candidates = store(_candidates(source, wanted))
 
-    cut, met = store(_cut_out(candidates, length)), None
+    cut, met, known = store(_cut_out(candidates, length)), None, shared
     for gram in (max(LONGER, GRAM + 1), length):
-        crowded = _crowded(cut, crowd)
+        crowded, known = _crowded(cut, crowd, length, known), None
         mine = _met(cut if crowded is None else cut.join(crowded, "anchor", "left_anti"), length)
         met = mine if met is None else met.unionByName(mine)
         if crowded is None:
