@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from airrline.dataset import AirrData
 from airrline.names import BARCODE, CHAIN, COUNT, LOCUS, N_CHAINS, RECEPTOR, c
@@ -77,14 +77,14 @@ def agg_receptors(
 
 
 def _pair(rows: DataFrame, chains: Sequence[str], umi_col: str) -> DataFrame:
-    """One window over the cell finds the top chains of both loci, so one shuffle serves both."""
+    """Top UMIs of both loci come from one aggregation, summed up in map tasks; a chain is on top where its UMI is its cell's.
+
+    Joins can split a cell with many chains, which a window could not.
+    """
     rows = rows.filter(c(BARCODE).isNotNull())
-    cell = Window.partitionBy(c(BARCODE))
-    top = [F.max(F.when(c(LOCUS) == x, c(umi_col))).over(cell) for x in chains]
-    firsts = (
-        rows.withColumn("__top1", top[0]).withColumn("__top2", top[1])
-        .filter((c(LOCUS) == chains[0]) & (c(umi_col) == F.col("__top1")) & F.col("__top2").isNotNull())
-        .select(c(BARCODE), c(CHAIN).alias("__first"))
-    )
+    tops = [F.max(F.when(c(LOCUS) == x, c(umi_col))).alias(f"__top{i}") for i, x in enumerate(chains)]
+    cells = rows.groupBy(c(BARCODE)).agg(*tops).filter("__top1 IS NOT NULL").select(c(BARCODE).alias("__cell"), "__top0")
+    first = rows.filter(c(LOCUS) == chains[0]).select(c(BARCODE), c(umi_col).alias("__umi"), c(CHAIN).alias("__first"))
+    firsts = first.join(cells, (c(BARCODE) == F.col("__cell")) & (F.col("__umi") == F.col("__top0"))).select(c(BARCODE), "__first")
     ids = dense_ids(firsts, RECEPTOR, (BARCODE, "__first")).drop("__first")
     return null_safe_join(ids, rows, [BARCODE]).select(*[c(x) for x in rows.columns], c(RECEPTOR))
