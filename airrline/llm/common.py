@@ -22,7 +22,7 @@ from airrline.sources.files import write_bytes
 _PACKAGE = Path(__file__).resolve().parents[1]
 _SHIPPED: set[str] = set()
 MAX_BATCH_BYTES = 8 << 20  # of text worked on at once; a longer single text is still taken whole
-FILTER_BITS = 27  # a set of bits has 2 ** 27 at most, 16 MB
+FILTER_BITS = 25  # a set of bits has 2 ** 25 at most, 4 MB
 
 
 def ship(spark: SparkSession) -> None:

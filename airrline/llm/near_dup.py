@@ -143,26 +143,28 @@ def shapes(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col:
     """``node, shingles`` of the nodes in ``wanted`` (``node, digest, id``): hashes of labelled shingles in text order, eight bytes each.
 
     Documents are told by digest and smallest id, so of a text's copies one is
-    read. Those that a broadcast set of bits rules out never leave their task,
-    and no text is shuffled.
+    read. Those that a broadcast set of bits rules out never leave their task.
     """
     shared = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(F.xxhash64("digest", "id").alias("hash")), "hash"))
 
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 3):
+            some = np.flatnonzero(may_hold(shared.value, batch.column(0).to_numpy()))
+            if len(some):
+                yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(some)) for i in (1, 2, 3)], names=["id", "digest", "text"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 3, _BATCH):
-            some = pa.array(np.flatnonzero(may_hold(shared.value, batch.column(0).to_numpy())))
-            if not len(some):
-                continue
-            hashes, begin = word_hashes(*as_bytes(batch.column(3).take(some)))
+        for batch in sliced(batches, 1, _BATCH):
+            hashes, begin = word_hashes(*as_bytes(batch.column(1)))
             parts = [labelled_shingles(hashes[a:b]).tobytes() for a, b in pairwise(begin)]
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(some), batch.column(2).take(some), pa.array(parts, pa.binary())], names=["id", "digest", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.binary())], names=["node", "shingles"])
 
     rows = docs.select(F.col(id_col).alias("id"), digest_of(text_col).alias("digest"), F.col(text_col).alias("text"))
     rows = rows.select(F.xxhash64("digest", "id").alias("hash"), "id", "digest", "text")
-    found = rows.transform(map_arrow, run, f"id {rows.schema['id'].dataType.simpleString()}, digest binary, shingles binary")
+    found = rows.transform(map_arrow, pick, f"id {rows.schema['id'].dataType.simpleString()}, digest binary, text string")
     right = wanted.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "node")
     found = found.join(right, (F.col("digest") == F.col("__digest")) & F.col("id").eqNullSafe(F.col("__id")))
-    return found.select("node", "shingles").dropDuplicates(["node"])
+    return found.select("node", "text").dropDuplicates(["node"]).transform(map_arrow, run, "node long, shingles binary")
 
 
 def _places(keys: np.ndarray, n: int, missing: int) -> np.ndarray:
