@@ -27,7 +27,6 @@ look like a template. The count of different bodies is an estimate from 64 bits.
 from __future__ import annotations
 
 import html
-import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
