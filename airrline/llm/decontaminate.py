@@ -185,8 +185,8 @@ def leaks_of(indexes: Sequence[Index], text: str | None) -> list[tuple[int | Non
     return sorted((x for index in indexes for x in index.leaks(words)), key=lambda x: (x[0] is not None, x[0] or 0, x[1:]))
 
 
-def build_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", threshold: float = THRESHOLD, part_bytes: int = MAX_INDEX_BYTES) -> list[list[Index]]:
-    """For each part of the benchmark, within ``part_bytes`` of text, its indexes by stride, with statistics over all of it.
+def build_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", threshold: float = THRESHOLD, part_bytes: int = MAX_INDEX_BYTES) -> Iterator[list[Index]]:
+    """For each part of the benchmark, within ``part_bytes`` of text, its indexes by stride, with statistics over all of it; one part at a time.
 
     Items of fewer than GRAM words are left out, though the statistics count
     them; equal rows are one item; a NULL id stays NULL.
@@ -205,10 +205,10 @@ def build_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
 
     # the empty term gathers lengths
     counts = items.select("text").transform(map_arrow, split, "term string, n long").groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("n"))
+    counts = store(counts) if parts > 1 else counts
     whole = counts.filter("term = ''").first()
     if whole is None:
-        return []
-    out = []
+        return
     for part in range(parts):
         mine = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part)
         rows = sorted(((r["id"], r["text"]) for r in mine.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
@@ -223,8 +223,7 @@ def build_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
         else:
             terms = mine.select("text").transform(map_arrow, split, "term string, n long").select("term").distinct()
             df = {r["term"]: r["df"] for r in counts.join(terms, "term", "left_semi").collect()}
-        out.append([Index(own, df, whole["df"], whole["n"] / whole["df"], threshold) for _, own in sorted(strides.items())])
-    return out
+        yield [Index(own, df, whole["df"], whole["n"] / whole["df"], threshold) for _, own in sorted(strides.items())]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, part_bytes: int = MAX_INDEX_BYTES, out_col: str = "leaks") -> DataFrame:
@@ -234,20 +233,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", th
     are clean, repeated rows come back each. Whole texts are read. An empty
     benchmark leaves all clean. Items of fewer than GRAM words are never found,
     of fewer than VERBATIM words only as they stand; a NULL item id is reported
-    as NULL; of equal scores, any passage may give an item's shares. Parts of a
-    large benchmark are broadcast one at a time, with what was found so far
+    as NULL; the passage of the highest score, and then shares, stands for an item.
+    Parts of a large benchmark are broadcast one at a time, with what was found so far
     stored in between; the result does not depend on the parts.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     docs = docs.drop(out_col)
     kind = "array<struct<item_id: long, score: double, question: double, answer: double>>"
-    indexes = build_indexes(benchmark, threshold=threshold, part_bytes=part_bytes)
-    if not indexes:
-        return docs.withColumn(out_col, F.array().cast(kind))
     out, names = docs, []
     leak = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
-    for k, index in enumerate(indexes):
+    for k, index in enumerate(build_indexes(benchmark, threshold=threshold, part_bytes=part_bytes)):
         if k:
             out = store(out)
             shared.unpersist()
@@ -265,6 +261,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", th
 
         out = out.transform(map_arrow, run, schema)
         names.append(name)
+    if not names:
+        return docs.withColumn(out_col, F.array().cast(kind))
     found = F.concat(*names)
     known = F.array_sort(F.filter(found, lambda x: x["item_id"].isNotNull()))
     in_order = F.concat(F.array_sort(F.filter(found, lambda x: x["item_id"].isNull())), known)

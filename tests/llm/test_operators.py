@@ -492,7 +492,7 @@ def test_decontaminate_against_scoring_all(spark):
     in_parts = decontaminate.find_leaks(docs(spark, rows), bench, part_bytes=2000).collect()
     assert Counter((r.doc_id, tuple(sorted(x.item_id for x in r.leaks))) for r in in_parts) == got
     assert decontaminate.find_leaks(docs(spark, rows), bench.limit(0)).filter(F.size("leaks") > 0).count() == 0
-    index = decontaminate.build_indexes(bench)[0][0]
+    index = next(decontaminate.build_indexes(bench))[0]
     for _, text in rows:
         w = decontaminate.tokens(text)
         for p in range(len(w) // index.stride + 1):
