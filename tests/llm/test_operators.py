@@ -618,6 +618,18 @@ def test_alignment_respects_order():
         assert near_dup.similar(i, j, len(one), len(two)) == (plain.alignment(one, at, len(two)) >= 0.8 - 1e-12)
 
 
+def test_bit_filter_never_loses_a_hash(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    known, others = r.integers(-(1 << 63), (1 << 63) - 1, 3000), r.integers(-(1 << 63), (1 << 63) - 1, 20_000)
+    table = spark.createDataFrame([(int(x),) for x in known], "hash long")
+    words = common.bit_filter(table, "hash")
+    assert common.may_hold(words, known).all() and common.may_hold(words, others).mean() < 0.1
+    assert not common.may_hold(common.bit_filter(table.limit(0), "hash"), others).any()
+    monkeypatch.setattr(common, "FILTER_BITS", 12)
+    words = common.bit_filter(table, "hash")
+    assert len(words) == 64 and common.may_hold(words, known).all()
+
+
 def test_scratch_deletes_stored_tables(spark):
     import glob
 
